@@ -64,10 +64,15 @@ def encode(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     if len(known) + len(fresh) > CACHED_CHUNKS:
         known.clear()
         fresh = list({w for ws in words for w in ws})
+    ends = {w: (w.rstrip(b".,"), w[len(w.rstrip(b".,")) :]) for w in fresh}
+    # the pre-tokeniser parts a letter from the marks that end its chunk, and lower-cases
+    split = {w: (a.lower(), b) for w, (a, b) in ends.items() if a[-1:].isalpha() and w.isascii() and (b or a != a.lower())}
+    fresh = list(({w for w in fresh if w not in split} | {x for ab in split.values() for x in ab}) - known.keys())
     for at in range(0, len(fresh), 8192):
         part = fresh[at : at + 8192]
         coded = _tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
+    known.update((w, known[a] + known[b]) for w, (a, b) in split.items())
     end = np.array([end_id], "<u4").tobytes()
     return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 
