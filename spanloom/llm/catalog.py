@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_lm, packing, piece_coder, simhash
+from . import chat_format, exact_dedup, license_scan, ngram_lm, packing, piece_coder, simhash, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.decisions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coder.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -31,9 +35,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(read(spark, sf_dir, "conversations"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.decisions(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op7_sentencepiece, op8_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op5_toxicity, op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
