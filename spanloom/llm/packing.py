@@ -26,10 +26,12 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,31 @@ def _known(path: str) -> dict[bytes, bytes]:
     return {}
 
 
+#: A chunk of Latin-1 letters and marks after them: the pre-tokeniser parts the
+#: two, and normalising only lower-cases it.
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level models write for bytes, by the public rule:
+    printable Latin-1 stands for itself, the rest counts up from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+def _letters(path: str, word: str) -> bytes:
+    """Ids of one lower-case word, straight from the model."""
+    spelled = word if word.isascii() else "".join(map(_byte_letters().__getitem__, word.encode()))
+    return array("I", [t.id for t in _tokenizer(path).model.tokenize(spelled)]).tobytes()
+
+
+@lru_cache(1024)
+def _marks(path: str, marks: str) -> bytes:
+    return np.array(_tokenizer(path).encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def encode(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as little-endian 32-bit integers."""
     known, words = _known(path), [t.split() for t in texts]
@@ -64,15 +91,15 @@ def encode(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
     if len(known) + len(fresh) > CACHED_CHUNKS:
         known.clear()
         fresh = list({w for ws in words for w in ws})
-    ends = {w: (w.rstrip(b".,"), w[len(w.rstrip(b".,")) :]) for w in fresh}
-    # the pre-tokeniser parts a letter from the marks that end its chunk, and lower-cases
-    split = {w: (a.lower(), b) for w, (a, b) in ends.items() if a[-1:].isalpha() and w.isascii() and (b or a != a.lower())}
-    fresh = list(({w for w in fresh if w not in split} | {x for ab in split.values() for x in ab}) - known.keys())
-    for at in range(0, len(fresh), 8192):
-        part = fresh[at : at + 8192]
-        coded = _tokenizer(path).encode_batch([w.decode() for w in part], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-    known.update((w, known[a] + known[b]) for w, (a, b) in split.items())
+    odd = []
+    for w in fresh:
+        if m := _LATIN.fullmatch(w.decode()):
+            known[w] = _letters(path, m[1].lower()) + (_marks(path, m[2]) if m[2] else b"")
+        else:
+            odd.append(w)
+    for at in range(0, len(odd), 8192):
+        coded = _tokenizer(path).encode_batch([w.decode() for w in odd[at : at + 8192]], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd[at : at + 8192], coded, strict=True))
     end = np.array([end_id], "<u4").tobytes()
     return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
 

@@ -68,3 +68,12 @@ def test_documents(spark):
     seqs = packing.sequences(docs, PATH).collect()
     assert sum(len(s.ids) for s in seqs) == sum(w[3] for w in want) and len(seqs) == len(at)
     assert packing.place_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_chunks_of_letters_and_marks():
+    rng = np.random.default_rng(2)
+    letters = list("abcdefgh'ÀÖ×ß÷ÿéÉÜñSs.,!µ0")
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(40)) for _ in range(200)]
+    tok = Tokenizer.from_file(PATH)
+    for t, ids in zip(texts, packing.encode([t.encode() for t in texts], PATH, 1), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
