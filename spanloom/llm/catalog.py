@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, ngram_lm, packing, piece_coder, simhash, toxicity
+from . import chat_format, exact_dedup, license_scan, nearest, ngram_lm, packing, piece_coder, simhash, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op5_toxicity, op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_nearest_neighbours, op5_toxicity, op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
