@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat_format, exact_dedup, license_scan, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity
 from .common import read
 
@@ -55,9 +57,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.decisions(read(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_nearest_neighbours, op5_toxicity, op6_pii,
+    op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_nearest_neighbours, op5_toxicity, op6_pii, op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE} | pipeline
