@@ -116,7 +116,7 @@ def _final(df: DataFrame, kind: str, parent: Column, span: Column, name: Column,
 
 def build(events: DataFrame, spawns: DataFrame | None = None, options: Options = Options()) -> DataFrame:
     """All spans of all invocations. spawns: as exec_log.spawns gives them."""
-    c, root = F.col, roots(events)
+    c, root = F.col, traces.stage(roots(events))
     bounds = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "command", "patterns", "exit_code")
     shorts = bounds.drop("command", "patterns", "exit_code")
     label_id = lambda l: ids.span_id(c("trace_id"), "target", l)
@@ -197,9 +197,11 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
         s, e = clamp(timed, timed + c("totalTime"), c("a_start"), c("a_end"))
         whole = whole.unionByName(_final(owned, "spawn", c("action_span"), ids.span_id(c("trace_id"), "spawn", c("seq")), labels.spawn_name(c("mnemonic"), c("args"), c("listed"), F.transform("actual", lambda f: f["path"])), s, e, status.spawn_status(c("exit_code"), c("status")), spawn_attributes(options)))
 
+    whole = traces.stage(whole)  # the group spans are told by their children
     groups = whole.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns")
-    groups = groups.unionByName(target_spans.join(shorts.select("inv", "root_id"), "inv").filter("parent_span_id <> root_id").select("inv", F.when(c("status_code").isNotNull() & c("attrs").getItem(f"{TOOL}.target.abort_reason").isNotNull(), "skipped targets").otherwise("external deps").alias("g"), "start_ns"))
-    groups = groups.unionByName(aborted_spans.select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
+    open_targets = whole.filter("kind = 'target' and start_ns is not null")
+    groups = groups.unionByName(open_targets.join(shorts.select("inv", "root_id"), "inv").filter("parent_span_id <> root_id").select("inv", F.when(c("status_code").isNotNull() & c("attrs").getItem(f"{TOOL}.target.abort_reason").isNotNull(), "skipped targets").otherwise("external deps").alias("g"), "start_ns"))
+    groups = groups.unionByName(whole.filter("kind = 'target' and start_ns is null").select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
     grouped = groups.groupBy("inv", "g").agg(F.min("start_ns").alias("first")).join(shorts, "inv")
     group_spans = _final(grouped, "group", c("root_id"), group_id(c("g")), c("g"), F.coalesce("first", "root_start"), c("root_end"), status.success_status(F.when(c("g") != "skipped targets", True), ""), F.create_map().cast("map<string,string>"))
 

@@ -14,9 +14,9 @@ from ..functions.labels import normalize_label
 from ..functions.times import clamp
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint in the folder of spark.checkpoint.dir, or
-    a table there; a session without one gets a folder of its own."""
+def stage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut lineage with a table in the folder of spark.checkpoint.dir, partitioned
+    `by` a column if given; a session without one gets a folder of its own."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -26,7 +26,8 @@ def stage(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

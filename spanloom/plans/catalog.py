@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries as _queries
+from . import event_queries, queries as _queries  # event_queries adds to the same registry
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    assert event_queries.query is _queries.query
     return dict(_queries.QUERIES)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import rfc3339_nanos
-from ..operators import ordered
+from ..operators import ordered, traces
 
 #: Kinds of events that carry nothing for a trace.
 IGNORED = ("structuredCommandLine", "convenienceSymlinksIdentified", "workspace", "workspaceConfig", "testProgress", "execRequest", "unknown")
@@ -63,6 +63,12 @@ def invocations(events: DataFrame) -> DataFrame:
     return split.withColumn("inv", F.concat_ws("#", "file", early.cast("string"))).drop("_n")
 
 
+def bronze(events: DataFrame) -> DataFrame:
+    """The events written once, a folder a kind: each typed table then reads its
+    own kind and nothing is split or parsed again."""
+    return traces.stage(events.drop("raw").filter(~F.col("event_type").isin(*IGNORED)), by="event_type")
+
+
 def quality(events: DataFrame) -> DataFrame:
     """Events by type, and whether they are ignored."""
     return events.groupBy("event_type", F.col("event_type").isin(*IGNORED).alias("ignored")).agg(F.count("*").alias("n"))

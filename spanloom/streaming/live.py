@@ -101,6 +101,6 @@ def traces_to(write: Callable[[DataFrame, int], None], options: assemble.Options
         if batch.isEmpty():
             return
         good, _ = source.classify(batch.select("file", "seq", "raw"))
-        write(assemble.build(source.invocations(good), options=options), number)
+        write(assemble.build(source.bronze(source.invocations(good)), options=options), number)
 
     return run
