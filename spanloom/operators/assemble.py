@@ -25,9 +25,18 @@ _SPAN = ("inv", "trace_id", "span_id", "parent_span_id", "kind", "name", "start_
 
 @dataclass(frozen=True)
 class Options:
+    """redactor: what to hide. missing_target_success: what a completed target
+    without the field is. cached_from_spawns: a target is cached unless a spawn of
+    it missed the cache (else every target counts as cached, tests apart).
+    clamp: `final` fits all spans into the invocation's final end, `as_of` only
+    those that came after the end was known. aborted_labels: `error_span` or
+    `skipped`, how labels that were aborted by themselves come out."""
+
     redactor: redact.Redactor = redact.Redactor()
     missing_target_success: bool = True
     cached_from_spawns: bool = False
+    clamp: str = "final"
+    aborted_labels: str = "error_span"
 
 
 def attributes(**values: Column) -> Column:
@@ -60,9 +69,10 @@ def roots(events: DataFrame) -> DataFrame:
     """One row an invocation: ids, bounds, exit code, command and patterns."""
     started = ordered.first(typed.table(events, "started"), ["inv"], [F.col("seq")])
     finished = ordered.latest(typed.table(events, "build_finished"), ["inv"], [F.col("seq")]).select("inv", "exit_code", "exit_name", "finish_ns")
-    wall = typed.flatten_metrics(events).filter("metric = 'wall_time_ms'").groupBy("inv").agg(F.max_by("value", "seq").alias("wall_ms"))
+    wall = typed.flatten_metrics(events).filter("metric = 'wall_time_ms'").groupBy("inv").agg(F.max_by("value", "seq").alias("wall_ms"), F.min("seq").alias("wall_seq"))
+    ends = typed.table(events, "build_finished").groupBy("inv").agg(F.min("seq").alias("finish_seq"))
     patterns = typed.table(events, "pattern_expanded").groupBy("inv").agg(F.max_by("patterns", "seq").alias("patterns"))
-    joined = started.drop("event_time_ns", "seq").join(finished, "inv", "left").join(wall, "inv", "left").join(patterns, "inv", "left")
+    joined = started.drop("event_time_ns", "seq").join(finished, "inv", "left").join(wall, "inv", "left").join(patterns, "inv", "left").join(ends, "inv", "left").withColumn("end_seq", F.least("wall_seq", "finish_seq"))
     trace = ids.trace_id(F.coalesce("uuid", "inv"))
     end = F.coalesce(F.col("start_ns") + F.col("wall_ms") * 1_000_000, "finish_ns")
     return joined.withColumns({"trace_id": trace, "root_id": ids.span_id(trace, "root"), "end_ns": end}).withColumnRenamed("start_ns", "root_start").withColumnRenamed("end_ns", "root_end")
@@ -117,8 +127,9 @@ def _final(df: DataFrame, kind: str, parent: Column, span: Column, name: Column,
 def build(events: DataFrame, spawns: DataFrame | None = None, options: Options = Options()) -> DataFrame:
     """All spans of all invocations. spawns: as exec_log.spawns gives them."""
     c, root = F.col, traces.stage(roots(events))
-    bounds = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "command", "patterns", "exit_code")
+    bounds = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "end_seq", "command", "patterns", "exit_code")
     shorts = bounds.drop("command", "patterns", "exit_code")
+    upper = lambda seq: c("root_end") if options.clamp == "final" else F.when(c("end_seq") < seq, c("root_end"))
     label_id = lambda l: ids.span_id(c("trace_id"), "target", l)
     group_id = lambda g: ids.span_id(c("trace_id"), "group", g)
 
@@ -148,15 +159,20 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     ranges = placed.groupBy("inv", F.coalesce("parent", "label").alias("label")).agg(F.min_by("start_ns", F.when(c("start_ns").isNotNull(), c("seq"))).alias("child_start"), F.max("end_ns").alias("child_end"))
     targets = seen.join(ranges, ["inv", "label"], "full").withColumn("synthetic", c("state").isNull()).join(shorts, "inv")
     targets = targets.join(output_counts(events, done), ["inv", "label"], "left")
+    tested = tests.select("inv", "label").distinct().withColumn("tested", F.lit(True))
+    targets = targets.join(tested, ["inv", "label"], "left").withColumn("cached", F.lit(True))
+    if options.cached_from_spawns and spawns is not None:
+        missed = spawns.filter("not cache_hit").select("inv", "norm").distinct().withColumn("missed", F.lit(True))
+        targets = targets.withColumn("norm", labels.normalize_label(c("label"))).join(missed, ["inv", "norm"], "left").withColumn("cached", c("missed").isNull())
     skipped = F.coalesce("aborted", F.lit(False))
     start = F.when(c("synthetic"), c("child_start")).when(skipped, c("completed_ns")).otherwise(F.coalesce("configured_ns", "child_start", "root_start"))
     end = F.when(c("synthetic"), c("child_end")).otherwise(F.coalesce("completed_ns", "root_end"))
-    s, e = clamp(start, end, c("root_start"), c("root_end"))
+    s, e = clamp(start, end, c("root_start"), upper(c("closed_seq")))
     outside = labels.is_external(c("label"))
     parent = F.when(skipped, group_id(F.lit("skipped targets"))).when(outside, group_id(F.lit("external deps"))).otherwise(c("root_id"))
     state = F.when(c("synthetic") | skipped, F.lit(None).cast("boolean")).otherwise(c("success"))
     tags = F.when(F.size("tags") > 0, c("tags")).otherwise(c("configured_tags"))
-    target_attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), 20))
+    target_attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__cached=F.when(c("tested").isNull() & ~skipped & ~c("synthetic"), c("cached")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), 20))
     target_spans = _final(targets, "target", parent, label_id(c("label")), labels.target_name(c("label")), s, e, status.success_status(state, "target failed"), target_attrs)
 
     # children of targets
@@ -169,7 +185,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
 
     configs = ordered.latest(typed.table(events, "configuration").select("inv", "id", "mnemonic", "seq"), ["inv", "id"], [c("seq")]).select("inv", c("id").alias("configuration"), c("mnemonic").alias("config_mnemonic"))
     acts = under(actions).join(configs, ["inv", "configuration"], "left")
-    s, e = clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), c("root_end"))
+    s, e = clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), upper(c("seq")))
     first_of = lambda n: F.when(c("s").isNotNull(), c(f"s.{n}"))
     action_attrs = attributes(action__label=c("label"), action__label_short=labels.shorten_label(c("label")), action__mnemonic=c("mnemonic"), action__success=c("success"), action__exit_code=c("exit_code"), action__exit_code_name=c("exit_name"), action__primary_output=c("output"), action__configuration=F.coalesce("config_mnemonic", "configuration"), action__command_line=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), action__stdout=text.bytestream_display(c("stdout")), action__stderr=text.bytestream_display(c("stderr")), action__spawn__count=F.when(c("has_log"), F.coalesce("spawn_count", F.lit(0).cast("long"))), action__spawn__missing=F.when(c("has_log") & c("spawn_count").isNull(), True), action__spawn__runner=first_of("runner"), action__spawn__cache_hit=first_of("cache_hit"), action__spawn__remote_cacheable=first_of("remote_cacheable"), action__spawn__digest=first_of("digest"))
     action_id = ids.span_id(c("trace_id"), "action", c("label"), c("mnemonic"), c("output"), c("seq"))
@@ -177,7 +193,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     action_spans = _final(acts, "action", F.when(c("label").isNotNull(), label_id(c("owner"))).otherwise(c("root_id")), action_id, labels.action_name(c("mnemonic"), c("label"), c("orphan")), s, e, action_state, action_attrs)
 
     t = under(tests)
-    s, e = clamp(c("start_ns"), c("start_ns") + c("duration_ns"), c("root_start"), c("root_end"))
+    s, e = clamp(c("start_ns"), c("start_ns") + c("duration_ns"), c("root_start"), upper(c("seq")))
     test_attrs = attributes(test__status=c("status"), test__attempt=c("attempt"), test__run=c("run"), test__shard=c("shard"), test__cached_locally=c("cached"), test__cached_remotely=c("cached_remotely"), test__strategy=c("strategy"), test__hostname=c("host"), target__label=c("label"))
     test_spans = _final(t, "test", label_id(c("owner")), ids.span_id(c("trace_id"), "test", c("label"), c("attempt"), c("run"), c("shard"), c("seq")), labels.test_name(c("label"), c("attempt"), c("run"), c("shard")), s, e, status.test_status(c("status")), test_attrs)
 
@@ -186,7 +202,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     fetch_spans = _final(fetched, "fetch", group_id(F.lit("fetches")), ids.span_id(c("trace_id"), "fetch", c("url"), c("seq")), labels.fetch_name(c("url")), arrival, arrival + 1_000_000, status.success_status(c("success"), "fetch failed"), attributes(fetch__url=c("url"), fetch__success=c("success"), fetch__downloader=c("downloader")))
 
     stopped = typed.table(events, "aborted_label").join(shorts, "inv")
-    aborted_spans = _final(stopped, "target", group_id(F.lit("skipped targets")), ids.span_id(c("trace_id"), "aborted", c("label"), c("seq")), labels.target_name(c("label")), F.lit(None).cast("long"), c("event_time_ns"), status.aborted_status(c("description")), attributes(target__label=c("label"), target__abort_reason=c("reason"), target__abort_description=c("description")))
+    aborted_spans = _final(stopped, "target", group_id(F.lit("skipped targets")), ids.span_id(c("trace_id"), "aborted", c("label"), c("seq")), labels.target_name(c("label")), F.lit(None).cast("long"), c("event_time_ns"), status.aborted_status(c("description")) if options.aborted_labels == "error_span" else status.success_status(F.lit(None).cast("boolean"), ""), attributes(target__label=c("label"), target__abort_reason=c("reason"), target__abort_description=c("description")))
 
     whole = target_spans.unionByName(action_spans).unionByName(test_spans).unionByName(fetch_spans).unionByName(aborted_spans)
     if spawns is not None:

@@ -115,3 +115,37 @@ def flatten_metrics(events: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<metric string, value bigint>>")
     every = F.concat(F.array(*one), F.coalesce(actions, none), F.coalesce(runners, none))
     return doc.select("inv", "seq", F.explode(every).alias("m")).select("inv", "seq", "m.metric", "m.value").filter("value is not null")
+
+
+#: Lists in the metrics document: group -> (path, name field, value fields).
+GROUPS = {
+    "action_data": ("$.actionSummary.actionData", "mnemonic", ("actionsExecuted", "actionsCreated", "firstStartedMs", "lastEndedMs")),
+    "runner_count": ("$.actionSummary.runnerCount", "name", ("count",)),
+    "cache_misses": ("$.actionSummary.actionCacheStatistics.missDetails", "reason", ("count",)),
+    "garbage": ("$.memoryMetrics.garbageMetrics", "type", ("garbageCollected",)),
+    "package_load": ("$.packageMetrics.packageLoadMetrics", "name", ("numTargets", "computationSteps", "numTransitiveLoads")),
+    "workers": ("$.workerMetrics", "mnemonic", ("actionsExecuted", "priorActionsExecuted")),
+    "worker_pools": ("$.workerPoolMetrics.workerPoolStats", "mnemonic", ("createdCount", "destroyedCount", "evictedCount", "aliveCount")),
+    "races": ("$.dynamicExecutionMetrics.raceStatistics", "mnemonic", ("localWins", "remoteWins")),
+    "graph_values": ("$.buildGraphMetrics.evaluatedValues", "skyfunctionName", ("count",)),
+}
+
+
+def metrics_groups(events: DataFrame) -> DataFrame:
+    """inv, seq, grp, name, field, value: every list of the metrics, one row a number."""
+    doc = raw_table(events, "build_metrics")
+    none = F.array().cast("array<struct<grp string, name string, field string, value bigint>>")
+    parts = []
+    for group, (path, name, fields) in GROUPS.items():
+        kind = f"array<struct<`{name}` string, " + ", ".join(f"`{f}` bigint" for f in fields) + ">>"
+        each = F.transform(F.try_variant_get("metrics", path, kind), _numbers(group, name, fields))
+        parts.append(F.coalesce(F.flatten(each), none))
+    rows = doc.select("inv", "seq", F.explode(F.concat(*parts)).alias("m"))
+    return rows.select("inv", "seq", "m.*").filter("value is not null")
+
+
+def _numbers(group: str, name: str, fields: tuple[str, ...]):
+    def one(item: Column) -> Column:
+        return F.array(*[F.struct(F.lit(group).alias("grp"), item[name].alias("name"), F.lit(f).alias("field"), item[f].alias("value")) for f in fields])
+
+    return one

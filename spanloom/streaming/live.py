@@ -20,6 +20,7 @@ from ..functions import text
 from ..functions.redact import Redactor
 from ..operators import assemble
 from ..sources import events as source
+from ..sources import exec_log
 
 #: Arrival schema: stream, sequence number, arrival time, the event's JSON.
 EVENT = "file string, seq long, at timestamp, raw string"
@@ -36,6 +37,11 @@ def deduplicated(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("at", delay).dropDuplicatesWithinWatermark(["file", "seq"])
 
 
+def read_entries(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Execution-log lines as a stream: inv, seq, at, raw. Files may come late."""
+    return spark.readStream.schema("inv string, seq long, at timestamp, raw string").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def progress(stream: DataFrame, redactor: Redactor = Redactor()) -> DataFrame:
     """One log record per progress event, at once and without state."""
     parsed = stream.withColumn("v", F.try_parse_json("raw"))
@@ -93,14 +99,19 @@ def released(stream: DataFrame, drain_ms: int = 2300, idle_ms: int = 3_600_000,
     return timed.groupBy("file").transformWithStateInPandas(statefulProcessor=Collector(drain_ms, idle_ms), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime")
 
 
-def traces_to(write: Callable[[DataFrame, int], None], options: assemble.Options = assemble.Options()) -> Callable[[DataFrame, int], None]:
+def traces_to(write: Callable[[DataFrame, int], None], options: assemble.Options = assemble.Options(), entries: Callable[[SparkSession], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over released(): build the traces of the streams in the
-    batch with the batch operators and hand the spans to `write`."""
+    batch with the batch operators and hand the spans to `write`. entries gives
+    the execution-log lines (inv, seq, raw) collected so far; those of the batch's
+    invocations take part."""
 
     def run(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         good, _ = source.classify(batch.select("file", "seq", "raw"))
-        write(assemble.build(source.bronze(source.invocations(good)), options=options), number)
+        events = source.bronze(source.invocations(good))
+        lines = entries(batch.sparkSession).join(events.select("inv").distinct(), "inv", "left_semi") if entries else None
+        spawns = exec_log.spawns(exec_log.entries(lines), strict=False) if entries else None
+        write(assemble.build(events, spawns, options), number)
 
     return run

@@ -155,3 +155,30 @@ def test_modes_and_restart(spark):
     kept = assemble.published_actions(source.invocations(events)).select("inv", "label", "mode").collect()
     assert {(r.inv, r.label) for r in kept} == {("f#1", "//l:2"), ("f#1", "//l:3"), ("f#2", "//l:6")}
     assert assemble.build(source.invocations(events)).filter(F.col("kind") == "root").count() == 2
+
+
+def test_options(built):
+    events, _, entries = built
+    spawns = exec_log.spawns(entries)
+    spans = {r.name: r for r in assemble.build(events, spawns, assemble.Options(cached_from_spawns=True, clamp="as_of", aborted_labels="skipped")).collect()}
+    assert (spans["target //bad"].status_code, spans["target //bad"].status_desc) == ("Unset", None)
+    assert spans["target @ext//b:x" if "target @ext//b:x" in spans else "target //b:x"].attrs["bazel.target.cached"] == "true"
+    assert "bazel.target.cached" not in spans["target //a:lib"].attrs and "bazel.target.cached" not in spans["target //skip:me"].attrs
+
+
+def test_metrics_groups(built):
+    events, *_ = built
+    got = {(r.grp, r.name, r.field): r.value for r in typed.metrics_groups(events).collect()}
+    assert got == {("action_data", "CppCompile", "actionsExecuted"): 4, ("runner_count", "remote", "count"): 2}
+
+
+def test_clamp_as_of(spark):
+    def act(n):
+        return event("actionCompleted", {"label": f"//l:{n}"}, action={"success": False, "type": "T", "startTimeNanos": 5 * S, "endTimeNanos": 50 * S})
+
+    rows = [event("started", started={"uuid": "u", "startTimeMillis": 1000}), act(1), event("buildMetrics", buildMetrics={"timingMetrics": {"wallTimeInMs": 9000}}), act(2)]
+    events, _ = source.classify(spark.createDataFrame([("f", i, json.dumps(r)) for i, r in enumerate(rows)], "file string, seq long, raw string"))
+    split = source.invocations(events)
+    ends = {clamp: {r.name: r.end_ns for r in assemble.build(split, options=assemble.Options(clamp=clamp)).filter("kind = 'action'").collect()} for clamp in ("final", "as_of")}
+    assert ends["final"] == {"action T //l:1": 10 * S, "action T //l:2": 10 * S}
+    assert ends["as_of"] == {"action T //l:1": 50 * S, "action T //l:2": 10 * S}
