@@ -12,14 +12,16 @@ clipped; so one stray word in a long clean text weighs little. Features are
 chosen by chi square on documents, at most `features` of them.
 
 Training uses at most `sample` labelled rows, those with the smallest hash of
-doc_id: a documented bound, and 12,000 rows settle a few hundred weights. Word
+doc_id: a documented bound, and 12,000 rows settle a few hundred weights. They
+are staged, one text an id, so that training reads the documents once. Word
 counts for choosing features are made in Spark; the design matrix (sample x
 features) is fitted on the driver. Scoring covers every row and whole texts in
 one pass without a shuffle; the weights broadcast are bounded by `features`.
 
 Defined results: a null or wordless text scores the models' intercepts;
-repeated rows score each; a null doc_id is never a training row; label rows
-with a null are left out, of several for one id the largest counts; a category
+repeated rows score each, and of several texts of one labelled id the smallest
+is learned from; a null doc_id is never a training row; label rows with a null
+are left out, of several for one id the largest counts; a category
 with one class only predicts its rate; an empty table gives an empty result;
 columns beyond text and doc_id pass through untouched whatever their names.
 """
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, pack
+from .common import blocks, pack, stage
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
@@ -130,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
     known = known.groupBy("doc_id").agg(*[F.max(n).alias(n) for n in names])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` short rows
+    # at most `sample` ids go out and, staged, at most `sample` rows come back, however often an id repeats
+    rows = stage(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")), "labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per feature: negative and positive documents of each category that have

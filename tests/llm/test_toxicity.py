@@ -59,3 +59,16 @@ def test_chain_uses_out_of_fold_odds():
     y = np.column_stack([first, first])
     weights = toxicity.fit_chain(x, y, np.arange(400) % 4)
     assert len(weights[1]) == 5 and weights[1][4] > 0
+
+
+def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
+    docs, labels = corpus(120)
+    seen = []
+    real = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, y, f: (seen.append(len(x)), real(x, y, f))[1])
+    table = spark.createDataFrame(docs + [docs[0]] * 400 + [(0, "another text", "p", 0.5)], "doc_id long, text string, p_toxic string, reject double")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    categories = {n: c() for n, c in toxicity.CATEGORIES.items()}
+    toxicity.train(table, marks, categories)
+    toxicity.train(table, marks, categories, sample=50)
+    assert seen == [120, 50]
