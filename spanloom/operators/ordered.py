@@ -58,4 +58,5 @@ def running_bytes(df: DataFrame, keys: list[str], text: str, order: list, name:
 def slowest(df: DataFrame, keys: list[str], duration: Column, n: int, ties: list[str]) -> DataFrame:
     """The n longest rows of each key."""
     order = Window.partitionBy(*keys).orderBy(duration.desc(), *ties)
-    return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    top = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)  # on the bare number: limits each group before the shuffle
+    return top.withColumn("rank", F.col("rank").cast("long"))
