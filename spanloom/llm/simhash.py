@@ -222,10 +222,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_others(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without those that are not the lowest of their component in found."""
+    dropped = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low")).filter("doc_id <> low").select(F.col("doc_id").alias("dropped_id"))
+    return docs.join(dropped, docs[doc_id] == F.col("dropped_id"), "left_anti")
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, distance: int = 4) -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the
     smallest id. Rows of one doc_id are one document and stay or go together, by
     the lowest group they are in; rows without an id stay."""
-    found = near_duplicates(docs, text, doc_id, size, distance)
-    dropped = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("low")).filter("doc_id <> low").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs[doc_id] == F.col("dropped_id"), "left_anti")
+    return drop_others(docs, near_duplicates(docs, text, doc_id, size, distance), doc_id)
