@@ -14,7 +14,9 @@
 4. Lists above LIST_MAX (a hot group of near copies) take another exact way,
    linear in the list: each fingerprint is posted under all values within d/2
    flips of the bytes outside the triple; two fingerprints within d bits meet at
-   a common midpoint, and every pair that meets is within d.
+   a common midpoint, and every pair that meets is within d. At an odd d the
+   flips are rounded up, some that meet differ by d + 1 bits, and those at one
+   midpoint are compared like a list.
 5. Components: alternating large-star and small-star rounds over the links.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
@@ -150,13 +152,13 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _midpoints(distance: int):
     """Post each fingerprint of a hot list under every value that lies within
-    half the distance, flipping only bits outside the list's triple."""
+    half the distance, rounded up, flipping only bits outside the list's triple."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[int, np.ndarray] = {}
         for t, triple in enumerate(COVER):
             free = [i for i in range(64) if i // 8 not in triple]
-            flips = [sum(1 << i for i in c) for k in range(distance // 2 + 1) for c in combinations(free, k)]
+            flips = [sum(1 << i for i in c) for k in range((distance + 1) // 2 + 1) for c in combinations(free, k)]
             masks[t] = np.array(flips, np.uint64).view(np.int64)
         for batch in batches:
             key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -183,6 +185,9 @@ def links(fps: DataFrame, distance: int = 4, list_max: int = LIST_MAX) -> DataFr
     short = listed.filter(F.col("count") <= list_max).select("key", "fp").repartition("key").sortWithinPartitions("key")
     found = short.mapInArrow(_scan_lists(distance), "a long, b long")
     hot = listed.filter(F.col("count") > list_max).select("key", "fp").mapInArrow(_midpoints(distance), "triple long, mid long, fp long")
+    if distance % 2:
+        mids = hot.select(F.xxhash64("triple", "mid").alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+        return found.unionByName(mids.mapInArrow(_scan_lists(distance), "a long, b long")).distinct()
     roots = hot.groupBy("triple", "mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
     met = hot.join(roots, ["triple", "mid"]).filter("fp <> a").select("a", F.col("fp").alias("b"))
     return found.unionByName(met).distinct()

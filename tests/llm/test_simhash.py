@@ -86,3 +86,19 @@ def test_chain_settles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and got[1001] == 1000
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_hot_lists_lose_nothing_below_four(spark, distance):
+    rng = np.random.default_rng(7)
+    fps = set()
+    for s in rng.integers(0, 2**62, 12):
+        for _ in range(5):
+            x = int(s)
+            for b in rng.choice(62, int(rng.integers(0, 4)), replace=False):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    got = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance, 2))
+    roots = {f: f for f in fps} | {r.node: r.root for r in got.collect()}
+    assert roots == brute_components(fps, fps, distance)
