@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents in bulk-synchronous supersteps.
 
 1. Tokenise: each task cuts its texts at ASCII white space, tokenises each
-   distinct chunk once and joins the cached ids; the pre-tokeniser never lets a
+   distinct chunk once and gathers the cached ids; the pre-tokeniser never lets a
    token cross white space, so the ids are those of the whole text. Documents
    above the capacity are cut into full pieces and a rest.
 2. Sort: lengths are integers up to the capacity, so sorted documents are runs
@@ -26,42 +26,32 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, stage, utf8
+from .common import blocks, stage
 
-#: Cached chunks a worker process holds before it starts afresh.
-CACHED_CHUNKS = 400_000
+#: Cached words a worker process holds before it starts afresh.
+CACHED_WORDS = 600_000
+#: Text bytes that are tokenised at once (or one document).
+BLOCK_BYTES = 8 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
-
-
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-@cache
-def _known(path: str) -> dict[bytes, bytes]:
-    return {}
-
-
-#: A chunk of Latin-1 letters and marks after them: the pre-tokeniser parts the
-#: two, and normalising only lower-cases it.
-_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Letters of Latin-1 and marks of ASCII but the apostrophe: in a chunk of the one
+#: and then the other the pre-tokeniser parts the two, and normalising only
+#: lower-cases the letters.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+_ODD = "Straße, l'été… 3.14 (Ünï-cødé) ABC##x 日本語 it's e\u0301!"
 
 
 @cache
@@ -73,35 +63,81 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-def _letters(path: str, word: str) -> bytes:
-    """Ids of one lower-case word, straight from the model."""
-    spelled = word if word.isascii() else "".join(map(_byte_letters().__getitem__, word.encode()))
-    return array("I", [t.id for t in _tokenizer(path).model.tokenize(spelled)]).tobytes()
+class WordCoder:
+    """Ids of white-space separated chunks. Words of letters, the bulk, go to the
+    model itself and marks after them to a small cache; every other chunk takes
+    the whole tokeniser. A tokeniser that treats words otherwise is told at the
+    start and then sees every chunk whole; one that lets tokens cross white space
+    is refused."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        probe = _ODD.split()
+        if self._whole([_ODD])[0] != b"".join(self._whole(probe)):
+            raise ValueError("this tokeniser lets tokens cross white space")
+        self.direct = all(self._letters(w) == self._whole([w])[0] and self._whole([w + "##."])[0] == self._whole([w])[0] + self._whole(["##."])[0] for w in ("packing", "straße", "été"))
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in coded]
+
+    def _letters(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join(map(_byte_letters().__getitem__, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _table(self, units: pa.Array, code) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and how many each has; code makes those not known."""
+        listed, known = units.to_pylist(), self.known
+        if len(known) + len(listed) > CACHED_WORDS:
+            known.clear()
+            known[""] = b""
+        fresh = [u for u in listed if u not in known]
+        known.update(zip(fresh, code(fresh), strict=True))
+        ids = list(map(known.__getitem__, listed))
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in a row, and how many each has."""
+        marks, words = pc.utf8_ltrim(chunks, _LETTERS), pc.utf8_rtrim(chunks, _MARKS)
+        whole, after, before = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (chunks, marks, words))
+        plain = (after + before == whole) & (before > 0) & self.direct
+        words = pc.utf8_lower(words.filter(pa.array(plain))).dictionary_encode()
+        marks = marks.filter(pa.array(plain)).dictionary_encode()
+        parts = [self._table(words.dictionary, lambda x: map(self._letters, x)), self._table(marks.dictionary, self._whole), self._table(chunks.filter(pa.array(~plain)), self._whole)]
+        # two units a chunk: a word or an odd chunk, then its marks or nothing (the unit after all others)
+        n_words, n_marks, n_odd = (len(size) for _, size in parts)
+        table, size = (np.concatenate([*x, y]) for x, y in zip(zip(*parts, strict=True), (np.empty(0, "<u4"), [0]), strict=True))
+        unit = np.full((len(chunks), 2), len(size) - 1)
+        unit[plain, 0], unit[plain, 1] = words.indices.to_numpy(), n_words + marks.indices.to_numpy()
+        unit[~plain, 0] = n_words + n_marks + np.arange(n_odd)
+        return gather(table, size, unit.ravel()), size[unit].sum(axis=1)
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text and the end id. Null counts as empty."""
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = chunks.flatten().dictionary_encode()
+        table, size = self._distinct(coded.dictionary)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        stream, ends = gather(table, size, word), np.concatenate([[0], np.cumsum(size[word])])
+        cuts = ends[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
+        return [np.append(stream[a:b], np.uint32(end_id)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def gather(table: np.ndarray, size: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The stretches of the table that the units have, in their order; sizes are
+    those of the stretches, which stand one after another."""
+    starts, taken = np.cumsum(size) - size, size[units]
+    ends = np.cumsum(taken)
+    return table[np.arange(ends[-1]) + np.repeat(starts[units] - ends + taken, taken)] if len(units) else table[:0]
 
 
-@lru_cache(1024)
-def _marks(path: str, marks: str) -> bytes:
-    return np.array(_tokenizer(path).encode(marks, add_special_tokens=False).ids, "<u4").tobytes()
-
-
-def encode(texts: list[bytes], path: str, end_id: int) -> list[bytes]:
-    """The ids of each text and the end id, as little-endian 32-bit integers."""
-    known, words = _known(path), [t.split() for t in texts]
-    fresh = list({w for ws in words for w in ws} - known.keys())
-    if len(known) + len(fresh) > CACHED_CHUNKS:
-        known.clear()
-        fresh = list({w for ws in words for w in ws})
-    odd = []
-    for w in fresh:
-        if m := _LATIN.fullmatch(w.decode()):
-            known[w] = _letters(path, m[1].lower()) + (_marks(path, m[2]) if m[2] else b"")
-        else:
-            odd.append(w)
-    for at in range(0, len(odd), 8192):
-        coded = _tokenizer(path).encode_batch([w.decode() for w in odd[at : at + 8192]], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd[at : at + 8192], coded, strict=True))
-    end = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, ws)) + end for ws in words]
+@cache
+def _coder(path: str) -> WordCoder:
+    return WordCoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -111,14 +147,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             rows: list[tuple] = []
-            coded = encode(utf8(batch.column("text")), tokenizer, end_id)
+            coded = _coder(tokenizer).encode(batch.column("text"), end_id)
             for key, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity].tobytes()
                     n = len(part) // 4
-                    rows.append((key, k, at // 4, n, zlib.crc32(part), chunk, int(seen[n]), *[part] * with_ids))
+                    rows.append((key, k, at, n, zlib.crc32(part), chunk, int(seen[n]), *[part] * with_ids))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
