@@ -64,7 +64,8 @@ def argument_after(args: Column, flag: str) -> Column:
     return F.when(at > 0, F.try_element_at(args, (at + 1).cast("int")))
 
 
-def first_and_count(items: Column, shown: int, sep: str = ", ") -> Column:
-    """The first items, joined, and how many more there are."""
-    more = F.size(items) - shown
+def first_and_count(items: Column, shown: int, sep: str = ", ", total: Column | None = None) -> Column:
+    """The first items, joined, and how many more there are. total: how many in
+    all, where the list holds the first ones alone."""
+    more = (F.size(items) if total is None else total) - shown
     return F.concat(F.array_join(F.slice(items, 1, shown), sep), F.when(more > 0, F.concat(F.lit(f"{sep}... and "), more.cast("string"), F.lit(" more"))).otherwise(""))

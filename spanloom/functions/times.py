@@ -40,7 +40,13 @@ def clamp(start: Column, end: Column, lower: Column, upper: Column) -> tuple[Col
 
 def to_timestamp(nanos: Column) -> Column:
     """For display; instants before the epoch become the epoch."""
-    return F.timestamp_micros((F.greatest(nanos, F.lit(0).cast("long")) / 1000).cast("long"))
+    return F.timestamp_micros(F.call_function("div", F.greatest(nanos, F.lit(0).cast("long")), F.lit(1000).cast("long")))
+
+
+def absolute(nanos: Column, least: int = 10**18) -> Column:
+    """The instant, or null where it is too small to be one (before September
+    2001 by default), as times counted from a process's start are."""
+    return F.when(nanos >= least, nanos)
 
 
 def sane_start(start: Column, reference: Column, minutes: int = 5) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, labels, redact, status, text
 from ..functions.times import clamp
+from ..sources import exec_log
 from . import ordered, traces, typed
 
 #: Fixed value: what attribute keys and root spans begin with.
@@ -20,6 +21,8 @@ TOOL = "bazel"
 #: Options that turn publishing of all actions on or off.
 PUBLISH = "--build_event_publish_all_actions"
 _ON, _OFF = (PUBLISH, f"{PUBLISH}=true", f"{PUBLISH}=1"), (PUBLISH.replace("--", "--no", 1), f"{PUBLISH}=false", f"{PUBLISH}=0")
+#: Fixed value: how many files an attribute names.
+SHOWN = 20
 _SPAN = ("inv", "trace_id", "span_id", "parent_span_id", "kind", "name", "start_ns", "end_ns", "status_code", "status_desc", "attrs")
 
 
@@ -109,7 +112,8 @@ def root_attributes(events: DataFrame, options: Options = Options()) -> DataFram
 
 
 def output_counts(events: DataFrame, completed: DataFrame) -> DataFrame:
-    """inv, label, outputs: the files that each completed target's sets reach."""
+    """inv, label, output_count and outputs (the first of them): the files that each
+    completed target's sets reach."""
     sets = ordered.latest(typed.table(events, "named_set").drop("event_time_ns"), ["inv", "set_id"], [F.col("seq")])
     key = lambda s: F.concat_ws("\x01", "inv", s)
     edges = sets.select(key(F.col("set_id")).alias("a"), F.explode("children").alias("c"), "inv").select("a", key(F.col("c")).alias("b"))
@@ -117,7 +121,13 @@ def output_counts(events: DataFrame, completed: DataFrame) -> DataFrame:
     reached = traces.closure(edges, wanted.select(key(F.col("s")).alias("r")), "a", "b", "r")
     files = sets.select(key(F.col("set_id")).alias("node"), F.posexplode("files").alias("pos", "file"))
     by_root = wanted.withColumn("root", key(F.col("s"))).join(reached, "root").select("inv", "label", "node").distinct().join(files, "node")
-    return by_root.groupBy("inv", "label").agg(F.count("*").alias("output_count"), F.transform(F.array_sort(F.collect_list(F.struct("node", "pos", "file"))), lambda f: f["file"]).alias("outputs"))
+    listed = traces.first_and_total(by_root, ["inv", "label"], "file", ["node", "pos", "file"], SHOWN)
+    return listed.select("inv", "label", F.col("total").alias("output_count"), F.col("shown").alias("outputs"))
+
+
+def action_counts(events: DataFrame) -> DataFrame:
+    """inv, label, actions: published actions of each target."""
+    return published_actions(events).groupBy("inv", "label").agg(F.count("*").alias("actions"), F.count_if(~F.col("success")).alias("actions_failed"))
 
 
 def _final(df: DataFrame, kind: str, parent: Column, span: Column, name: Column, start: Column, end: Column, state: Column, attrs: Column) -> DataFrame:
@@ -156,7 +166,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     seen = traces.lifecycle(configured, done, ["inv", "label"])
     children = actions.select("inv", "label", "start_ns", "end_ns", "seq").unionByName(tests.select("inv", "label", "start_ns", (c("start_ns") + c("duration_ns")).alias("end_ns"), "seq")).filter("label is not null")
     placed = traces.parents(children, seen.select("inv", c("label").alias("target")).withColumn("t", c("target")), ["inv"], "label", "target", "t")
-    ranges = placed.groupBy("inv", F.coalesce("parent", "label").alias("label")).agg(F.min_by("start_ns", F.when(c("start_ns").isNotNull(), c("seq"))).alias("child_start"), F.max("end_ns").alias("child_end"))
+    ranges = traces.child_bounds(placed.select("inv", F.coalesce("parent", "label").alias("label"), "start_ns", "end_ns", "seq"), ["inv", "label"], "start_ns", "end_ns", c("seq")).drop("children")
     targets = seen.join(ranges, ["inv", "label"], "full").withColumn("synthetic", c("state").isNull()).join(shorts, "inv")
     targets = targets.join(output_counts(events, done), ["inv", "label"], "left")
     tested = tests.select("inv", "label").distinct().withColumn("tested", F.lit(True))
@@ -172,7 +182,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     parent = F.when(skipped, group_id(F.lit("skipped targets"))).when(outside, group_id(F.lit("external deps"))).otherwise(c("root_id"))
     state = F.when(c("synthetic") | skipped, F.lit(None).cast("boolean")).otherwise(c("success"))
     tags = F.when(F.size("tags") > 0, c("tags")).otherwise(c("configured_tags"))
-    target_attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__cached=F.when(c("tested").isNull() & ~skipped & ~c("synthetic"), c("cached")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), 20))
+    target_attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__cached=F.when(c("tested").isNull() & ~skipped & ~c("synthetic"), c("cached")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), SHOWN, total=c("output_count")))
     target_spans = _final(targets, "target", parent, label_id(c("label")), labels.target_name(c("label")), s, e, status.success_status(state, "target failed"), target_attrs)
 
     # children of targets
@@ -184,10 +194,10 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
         return found.withColumn("owner", F.coalesce("parent", "label")).join(ends, ["inv", "owner"], "left").join(shorts, "inv")
 
     configs = ordered.latest(typed.table(events, "configuration").select("inv", "id", "mnemonic", "seq"), ["inv", "id"], [c("seq")]).select("inv", c("id").alias("configuration"), c("mnemonic").alias("config_mnemonic"))
-    acts = under(actions).join(configs, ["inv", "configuration"], "left")
+    acts = traces.named(under(actions), configs, ["inv"], "configuration", "config_mnemonic", "config_name")
     s, e = clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), upper(c("seq")))
     first_of = lambda n: F.when(c("s").isNotNull(), c(f"s.{n}"))
-    action_attrs = attributes(action__label=c("label"), action__label_short=labels.shorten_label(c("label")), action__mnemonic=c("mnemonic"), action__success=c("success"), action__exit_code=c("exit_code"), action__exit_code_name=c("exit_name"), action__primary_output=c("output"), action__configuration=F.coalesce("config_mnemonic", "configuration"), action__command_line=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), action__stdout=text.bytestream_display(c("stdout")), action__stderr=text.bytestream_display(c("stderr")), action__spawn__count=F.when(c("has_log"), F.coalesce("spawn_count", F.lit(0).cast("long"))), action__spawn__missing=F.when(c("has_log") & c("spawn_count").isNull(), True), action__spawn__runner=first_of("runner"), action__spawn__cache_hit=first_of("cache_hit"), action__spawn__remote_cacheable=first_of("remote_cacheable"), action__spawn__digest=first_of("digest"))
+    action_attrs = attributes(action__label=c("label"), action__label_short=labels.shorten_label(c("label")), action__mnemonic=c("mnemonic"), action__success=c("success"), action__exit_code=c("exit_code"), action__exit_code_name=c("exit_name"), action__primary_output=c("output"), action__configuration=c("config_name"), action__command_line=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), action__stdout=text.bytestream_display(c("stdout")), action__stderr=text.bytestream_display(c("stderr")), action__spawn__count=F.when(c("has_log"), F.coalesce("spawn_count", F.lit(0).cast("long"))), action__spawn__missing=F.when(c("has_log") & c("spawn_count").isNull(), True), action__spawn__runner=first_of("runner"), action__spawn__cache_hit=first_of("cache_hit"), action__spawn__remote_cacheable=first_of("remote_cacheable"), action__spawn__digest=first_of("digest"))
     action_id = ids.span_id(c("trace_id"), "action", c("label"), c("mnemonic"), c("output"), c("seq"))
     action_state = status.success_status(F.when(~c("orphan"), c("success")), "Action failed")
     action_spans = _final(acts, "action", F.when(c("label").isNotNull(), label_id(c("owner"))).otherwise(c("root_id")), action_id, labels.action_name(c("mnemonic"), c("label"), c("orphan")), s, e, action_state, action_attrs)
@@ -218,7 +228,7 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     open_targets = whole.filter("kind = 'target' and start_ns is not null")
     groups = groups.unionByName(open_targets.join(shorts.select("inv", "root_id"), "inv").filter("parent_span_id <> root_id").select("inv", F.when(c("status_code").isNotNull() & c("attrs").getItem(f"{TOOL}.target.abort_reason").isNotNull(), "skipped targets").otherwise("external deps").alias("g"), "start_ns"))
     groups = groups.unionByName(whole.filter("kind = 'target' and start_ns is null").select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
-    grouped = groups.groupBy("inv", "g").agg(F.min("start_ns").alias("first")).join(shorts, "inv")
+    grouped = traces.groups(groups, ["inv"], "g", "start_ns").join(shorts, "inv")
     group_spans = _final(grouped, "group", c("root_id"), group_id(c("g")), c("g"), F.coalesce("first", "root_start"), c("root_end"), status.success_status(F.when(c("g") != "skipped targets", True), ""), F.create_map().cast("map<string,string>"))
 
     attrs = root_attributes(events, options)
@@ -238,25 +248,43 @@ def action_rows(acts: DataFrame, action_id: Column, orphan: bool = False) -> Dat
 def spawn_attributes(options: Options) -> Column:
     c = F.col
     ms = {f"spawn__{n}_ms": F.nullif((c(d) / 1_000_000).cast("long"), F.lit(0).cast("long")) for n, d in (("execution_wall_time", "executionWallTime"), ("queue_time", "queueTime"), ("network_time", "networkTime"), ("setup_time", "setupTime"), ("fetch_time", "fetchTime"), ("upload_time", "uploadTime"), ("process_outputs_time", "processOutputsTime"), ("retry_time", "retryTime"), ("parse_time", "parseTime"))}
-    shown = F.concat(F.array_join(F.slice("listed", 1, 20), ", "), F.when(F.size("listed") > 20, F.concat(F.lit("... ("), F.size("listed").cast("string"), F.lit(" outputs total)"))).otherwise(""))
+    shown = F.concat(F.array_join(F.slice("listed", 1, SHOWN), ", "), F.when(F.size("listed") > SHOWN, F.concat(F.lit("... ("), F.size("listed").cast("string"), F.lit(" outputs total)"))).otherwise(""))
     return attributes(spawn__target_label=c("label"), spawn__target_label_short=labels.shorten_label(c("label")), spawn__mnemonic=c("mnemonic"), spawn__runner=c("runner"), spawn__cache_hit=c("cache_hit"), spawn__remote_cacheable=c("remote_cacheable"), spawn__status=c("status"), spawn__exit_code=F.nullif("exit_code", F.lit(0)), spawn__digest=c("digest"), spawn__primary_output=F.get("listed", 0), spawn__listed_outputs=shown, spawn__output_count=F.nullif(F.size("actual"), F.lit(0)), spawn__command=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), **ms)
 
 
-def span_events(events: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """inv, seq, name, attrs: the ordered events on the roots."""
+def build_log(events: DataFrame, redactor: redact.Redactor = redact.Redactor(), limit: int = text.PROGRESS_BYTES) -> DataFrame:
+    """inv, seq, stdout and stderr: the tail of each stream of progress, for those
+    who keep no log records. seq is that of the last event."""
+    progress = typed.table(events, "progress").select("inv", "seq", F.explode(F.array(*[F.struct(F.lit(n).alias("stream"), redactor.text(text.strip_ansi(F.col(n))).alias("body")) for n in ("stdout", "stderr")])).alias("p"))
+    rows = progress.select("inv", "seq", "p.stream", "p.body").filter("body <> ''")
+    tails = ordered.tail(rows, ["inv", "stream"], "body", ["seq"], limit)
+    last = rows.groupBy("inv").agg(F.max("seq").alias("seq"))
+    sides = tails.groupBy("inv").agg(*[F.max(F.when(F.col("stream") == n, F.col("tail"))).alias(n) for n in ("stdout", "stderr")])
+    return last.join(sides, "inv")
+
+
+def span_events(events: DataFrame, manifest: DataFrame | None = None, log_status: DataFrame | None = None, with_log: bool = False, redactor: redact.Redactor = redact.Redactor()) -> DataFrame:
+    """inv, seq, name, attrs: the ordered events on the roots. manifest and
+    log_status: as exec_log.manifest and exec_log.status give them; with_log: one
+    event holds the tails of the progress streams."""
     c = F.col
 
     def rows(df: DataFrame, name: str, attrs: Column) -> DataFrame:
         return df.select("inv", "seq", F.lit(name).alias("name"), attrs.alias("attrs"))
 
     get = lambda kind: typed.table(events, kind)
-    out = rows(get("configuration"), "configuration", attributes(config__id=c("id"), config__mnemonic=c("mnemonic"), config__platform=c("platform"), config__cpu=c("cpu"), config__is_tool=c("is_tool")))
+    out = rows(get("configuration"), "configuration", attributes(config__id=c("id"), config__mnemonic=c("mnemonic"), config__platform=c("platform")))
+    out = out.unionByName(rows(get("configuration").filter("nullif(cpu, '') is not null or is_tool is not null"), "configuration_detail", attributes(config__id=c("id"), config__cpu=c("cpu"), config__is_tool=c("is_tool"))))
     out = out.unionByName(rows(get("test_summary"), "test_summary", attributes(target__label=c("label"), test__overall_status=c("status"), test__total_run_count=c("total_run_count"), test__run_count=c("run_count"), test__attempt_count=c("attempt_count"), test__shard_count=c("shard_count"), test__total_num_cached=c("total_num_cached"))))
     out = out.unionByName(rows(get("target_summary"), "target_summary", attributes(target__label=c("label"), target__overall_build_success=c("build_success"), target__overall_test_status=c("test_status"))))
     out = out.unionByName(rows(get("pattern_skipped"), "pattern_skipped", attributes(patterns=F.array_join("patterns", ", "))))
     out = out.unionByName(rows(get("build_tool_logs"), "build_tool_log", attributes(log__name=c("name"), log__uri=c("uri"))))
     if manifest is not None:
-        out = out.unionByName(rows(manifest.filter("state is not null").withColumn("seq", F.lit(0).cast("long")), "exec_log", attributes(exec_log__state=c("state"), exec_log__path=c("path"), exec_log__unsupported=c("unsupported"))))
+        for seq, name, told in exec_log.steps(log_status is not None):
+            side = manifest if log_status is None else manifest.join(log_status, "inv", "left")
+            out = out.unionByName(side.withColumn("seq", seq).filter("seq is not null").select("inv", "seq", F.lit(f"{TOOL}.exec_log.{name}").alias("name"), told.alias("attrs")))
+    if with_log:
+        out = out.unionByName(rows(build_log(events, redactor), "build.log", attributes(progress__stderr=c("stderr"), progress__stdout=c("stdout"))))
     return out
 
 

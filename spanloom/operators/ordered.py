@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.text import TRUNCATED, tail_bytes
+
 
 def running(keys: list[str], order: list) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -55,6 +57,22 @@ def running_bytes(df: DataFrame, keys: list[str], text: str, order: list, name:
     return df.withColumn(name, F.sum(F.octet_length(text).cast("long")).over(running(keys, order)))
 
 
+def tail(df: DataFrame, keys: list[str], text: str, order: list[str], limit: int, marker: str = TRUNCATED) -> DataFrame:
+    """keys, tail and chunks (the rows it comes from): the last bytes of each key's
+    texts put together, from a whole character on. Where something had to go the
+    marker stands in front, and the limit counts it. Rows wholly outside the limit
+    go before any list is made, so a list holds `limit` bytes at most."""
+    filled = df.select(*keys, *order, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = F.octet_length("_text")
+    near = running_bytes(filled, keys, "_text", [*order, "_text"], "_upto", newest_first=True).filter(F.col("_upto") - own <= limit)
+    cut = tail_bytes(F.col("_text"), (limit - (F.col("_upto") - own)).cast("int"))
+    lists = near.select(*keys, *order, "_upto", F.when(F.col("_upto") > limit, cut).otherwise(F.col("_text")).alias("_text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_text"))), lambda c: c["_text"]), "")
+    grouped = lists.groupBy(*keys).agg(whole.alias("_whole"), F.max("_upto").alias("_total"), F.count("*").alias("chunks"))
+    short = F.concat(F.lit(marker), tail_bytes(F.col("_whole"), max(0, limit - len(marker.encode()))))
+    return grouped.select(*keys, F.when(F.col("_total") > limit, short).otherwise(F.col("_whole")).alias("tail"), "chunks")
+
+
 def slowest(df: DataFrame, keys: list[str], duration: Column, n: int, ties: list[str]) -> DataFrame:
     """The n longest rows of each key."""
     order = Window.partitionBy(*keys).orderBy(duration.desc(), *ties)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_label
@@ -16,11 +16,14 @@ from ..functions.times import clamp
 
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage with a table in the folder of spark.checkpoint.dir, partitioned
-    `by` a column if given; a session without one gets a folder of its own."""
+    `by` a column if given. A local session without that setting, as in tests, gets
+    a folder of its own; on a cluster the setting must be there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
@@ -81,28 +84,77 @@ def first_spawn(spawns: DataFrame, keys: list[str], order: list[Column], *attrib
     return got.select(*keys, "spawn_count", "_s.*")
 
 
-def closure(edges: DataFrame, roots: DataFrame, parent: str, child: str, root: str, rounds: int = 64) -> DataFrame:
+def named(rows: DataFrame, names: DataFrame, keys: list[str], key: str, name: str, out: str) -> DataFrame:
+    """rows with `out`: the name of their key, else the key itself. names: the keys,
+    the key and its name, a row a key."""
+    found = names.select(*keys, key, F.col(name).alias("_name"))
+    return rows.join(found, [*keys, key], "left").withColumn(out, F.coalesce("_name", F.col(key).cast("string"))).drop("_name")
+
+
+def child_bounds(children: DataFrame, keys: list[str], start: str, end: str, seq: Column) -> DataFrame:
+    """What a parent known by its children alone takes from them: the start of the
+    first that has one, the last end, and how many there are."""
+    return children.groupBy(*keys).agg(F.min_by(start, F.when(F.col(start).isNotNull(), seq)).alias("child_start"), F.max(end).alias("child_end"), F.count("*").alias("children"))
+
+
+def groups(children: DataFrame, keys: list[str], group: str, start: str) -> DataFrame:
+    """One row for each group that has a child, and its first start."""
+    return children.groupBy(*keys, group).agg(F.min(start).alias("first"))
+
+
+def first_and_total(rows: DataFrame, keys: list[str], item: str, order: list[str], shown: int) -> DataFrame:
+    """keys, total and shown: how many rows a key has and the first few items. The
+    ranking is limited before the shuffle and no list is longer than `shown`."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    top = rows.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= shown)
+    lists = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(item).alias("_item")))), lambda x: x["_item"]).alias("shown"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("total")).join(lists, keys)
+
+
+def closure(edges: DataFrame, roots: DataFrame, parent: str, child: str, root: str, rounds: int | None = None) -> DataFrame:
     """(root, node) for all nodes that a root reaches, itself included, cycles and
     diamonds once. Each round joins the frontier alone; rounds are staged, so the
-    plan stays short and survives lost executors."""
+    plan stays short and survives lost executors. It ends when a round adds nothing;
+    `rounds`, if given, stops the job beyond that depth."""
     step = edges.select(F.col(parent).alias("node"), F.col(child).alias("_next")).distinct()
     frontier = stage(roots.select(F.col(root).alias("root"), F.col(root).alias("node")).distinct())
-    done = frontier
-    for _ in range(rounds):
+    done, depth = frontier, 0
+    while rounds is None or depth < rounds:
         reached = frontier.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
         frontier = stage(reached.join(done, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
             return done
-        done = done.unionByName(frontier)
+        done, depth = done.unionByName(frontier), depth + 1
     raise RuntimeError("closure deeper than the allowed rounds")
 
 
 def trace_check(spans: DataFrame, trace: str, span_id: str, parent: str, name: str, tool: str) -> DataFrame:
-    """Span count, whether a root named by the tool is there, and dangling parents."""
-    known = spans.select(F.col(trace), F.col(span_id).alias("_id")).distinct()
-    joined = spans.join(known, (spans[trace] == known[trace]) & (spans[parent] == known["_id"]), "left").select(spans["*"], known["_id"])
-    return joined.groupBy(trace).agg(
-        F.count("*").alias("span_count"),
-        F.bool_or(F.col(parent).isNull() & F.startswith(F.col(name), F.lit(tool))).alias("has_root"),
-        F.count_if(F.col(parent).isNotNull() & F.col("_id").isNull()).alias("dangling"),
-    )
+    """Span count, whether a root named by the tool is there, and dangling parents.
+    Each span is a definition of its id and a reference to its parent's; one
+    grouping by id tells which references meet none, a roll-up counts them."""
+    root = F.col(parent).isNull() & F.startswith(F.col(name), F.lit(tool))
+    none = F.lit(None).cast("string")
+    marks = F.array(
+        F.struct(F.col(span_id).cast("string").alias("id"), F.lit(1).alias("defined"), F.lit(0).alias("used"), root.alias("root")),
+        F.struct(F.when(F.col(parent).isNotNull(), F.col(parent).cast("string")).otherwise(none).alias("id"), F.lit(0).alias("defined"), F.lit(1).alias("used"), F.lit(False).alias("root")),
+    )
+    each = spans.select(F.col(trace), F.explode(marks).alias("m")).select(trace, "m.*").filter("defined = 1 or id is not null")
+    by_id = each.groupBy(trace, "id").agg(F.sum("defined").alias("spans"), F.sum("used").alias("used"), F.bool_or("root").alias("root"))
+    return by_id.groupBy(trace).agg(F.sum("spans").alias("span_count"), F.bool_or("root").alias("has_root"), F.coalesce(F.sum(F.when(F.col("spans") == 0, F.col("used"))), F.lit(0).cast("long")).alias("dangling"))
+
+
+def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: str, end: str, levels: int = 5) -> DataFrame:
+    """spans with depth (0 for a root) and place: their number in the trace, parents
+    before children, siblings by start (those without one by their end). Ancestors
+    are found by one join a level; a span that no root is over has no depth and
+    comes after all others."""
+    at = F.coalesce(F.col(start), F.col(end), F.lit(0).cast("long"))
+    up = spans.select(F.col(trace).alias("_t"), F.col(span_id).alias("_id"), F.col(parent).alias("_up"), at.alias("_at"))
+    found = spans.withColumns({"_next": F.col(parent), "_path": F.array(F.struct(at.alias("at"), F.col(span_id).alias("id")))})
+    for _ in range(levels - 1):
+        joined = found.join(up, (F.col(trace) == F.col("_t")) & (F.col("_next") == F.col("_id")), "left")
+        longer = F.when(F.col("_id").isNotNull(), F.concat(F.array(F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))), F.col("_path"))).otherwise(F.col("_path"))
+        found = joined.withColumns({"_path": longer, "_next": F.when(F.col("_id").isNotNull(), F.col("_up")).otherwise(F.col("_next"))}).drop("_t", "_id", "_up", "_at")
+    depth = F.when(F.col("_next").isNull(), F.size("_path") - 1)
+    order = Window.partitionBy(trace).orderBy(F.col("depth").isNull(), "_path")
+    return found.withColumn("depth", depth).withColumn("place", F.row_number().over(order)).drop("_next", "_path")

@@ -108,7 +108,8 @@ def synthetic_target_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     absent = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    return lines.join(absent, "l_orderkey", "left_semi").groupBy(F.col("l_orderkey").alias("label")).agg(F.min_by(ns("l_shipdate"), at).alias("start_ns"), F.max(ns("l_shipdate")).alias("end_ns"), F.count("*").alias("children"))
+    timed = lines.join(absent, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("label"), ns("l_shipdate").alias("at"), at.alias("seq"))
+    return traces.child_bounds(timed, ["label"], "at", "at", F.col("seq")).withColumnsRenamed({"child_start": "start_ns", "child_end": "end_ns"})
 
 
 _DAY = 86_400_000_000_000
@@ -125,7 +126,7 @@ def clamp_to_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.clamp_columns(lines.join(bounds, "l_orderkey"), "start_ns", "end_ns", "lo", "hi").drop("lo", "hi")
 
 
-_SPAWNS = """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+_SPAWNS = """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY ALL),
 a AS (SELECT DISTINCT l_orderkey, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey ELSE l_partkey END AS output FROM lineitem WHERE l_linenumber <= 3),
 t AS (SELECT s.*, 0 AS rank, l_partkey AS output FROM s UNION ALL SELECT s.*, 1, l_suppkey FROM s WHERE l_suppkey <> l_partkey),
 m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min((rank, output)) AS best FROM t JOIN a USING (l_orderkey, output) GROUP BY ALL)
@@ -135,7 +136,7 @@ m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min((rank, output))
 def _spawns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    spawns = lines.filter("l_returnflag <> 'N'").groupBy(*key).agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    spawns = lines.groupBy(*key).agg(F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
     word = lambda c: F.col(c).cast("string")
     spawns = spawns.withColumn("candidates", labels.spawn_candidates(F.array(word("l_partkey")), F.array(word("l_suppkey"))))
     output = F.when(F.col("l_partkey") % 3 == 0, word("l_suppkey")).otherwise(word("l_partkey"))
@@ -174,10 +175,9 @@ def first_spawn_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, s_nationkey, coalesce(n_name, s_nationkey::VARCHAR) AS configuration FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 0) ON n_nationkey = s_nationkey")
 def config_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configurations are a handful a build; nations have 25 rows by the schema."""
-    names = F.broadcast(table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"))
-    joined = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(names, "s_nationkey", "left")
-    return joined.select("s_suppkey", "s_nationkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("configuration"))
+    """The name of a key, or the key itself where it has none."""
+    names = table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return traces.named(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), names, [], "s_nationkey", "n_name", "configuration")
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || c_custkey, 's' || c_mktsegment FROM customer
@@ -211,9 +211,9 @@ def root_attribute_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT DISTINCT p_brand, p_name FROM part), l AS (SELECT p_brand, list(p_name ORDER BY p_name) AS names FROM p GROUP BY 1)
 SELECT p_brand, len(names) AS output_count, array_to_string(names[1:20], ', ') || CASE WHEN len(names) > 20 THEN ', ... and ' || (len(names) - 20) || ' more' ELSE '' END AS output_files FROM l""")
 def target_outputs_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array_sort(F.collect_set("p_name"))
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("names"))
-    return rows.select("p_brand", F.size("names").cast("long").alias("output_count"), text.first_and_count(F.col("names"), 20).alias("output_files"))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_name").distinct()
+    listed = traces.first_and_total(rows, ["p_brand"], "p_name", ["p_name"], 20)
+    return listed.select("p_brand", F.col("total").alias("output_count"), text.first_and_count(F.col("shown"), 20, total=F.col("total")).alias("output_files"))
 
 
 def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,20 +258,11 @@ def trace_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.trace_check(span_tree(spark, sf_dir), "trace_id", "span_id", "parent_span_id", "name", "bazel")
 
 
-@query("SELECT DISTINCT o_custkey AS invocation, CASE o_orderstatus WHEN 'F' THEN 'fetches' WHEN 'P' THEN 'skipped targets' ELSE 'external deps' END AS group_name FROM orders")
+@query("SELECT o_custkey AS invocation, CASE o_orderstatus WHEN 'F' THEN 'fetches' WHEN 'P' THEN 'skipped targets' ELSE 'external deps' END AS group_name, min(epoch_us(o_orderdate::TIMESTAMP) * 1000) AS first FROM orders GROUP BY 1, 2")
 def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("o_orderstatus") == "F", "fetches").when(F.col("o_orderstatus") == "P", "skipped targets").otherwise("external deps")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("invocation"), name.alias("group_name")).distinct()
-
-
-@query("SELECT user_id, 'actions.' || event_type AS metric, count(*) AS value FROM events GROUP BY 1, 2")
-def metrics_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nested metrics document per user, flattened to rows again."""
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").count()
-    document = counts.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_type").alias("mnemonic"), F.col("count").cast("string").alias("actionsExecuted"))).alias("actionData"))).alias("metrics"))
-    data = F.from_json(F.get_json_object("metrics", "$.actionData"), "array<struct<mnemonic: string, actionsExecuted: string>>")
-    rows = document.select("user_id", F.explode(data).alias("d"))
-    return rows.select("user_id", F.concat(F.lit("actions."), F.col("d.mnemonic")).alias("metric"), F.col("d.actionsExecuted").try_cast("bigint").alias("value"))
+    children = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("invocation"), name.alias("group_name"), ns("o_orderdate").alias("start_ns"))
+    return traces.groups(children, ["invocation"], "group_name", "start_ns")
 
 
 @query("""SELECT conv_id, turn, '--action_env=' || CASE turn % 3 WHEN 0 THEN 'API_token' WHEN 1 THEN 'PATH' ELSE 'db_Password' END || '=' || CASE turn % 3 WHEN 1 THEN text ELSE '***' END AS secret_arg,
@@ -305,15 +296,6 @@ def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_bytes(F.col("text"), 4096, "...").alias("short"))
 
 
-@query("""WITH r AS (SELECT *, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM conversations)
-SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS tail, count(*) AS chunks FROM r WHERE b <= 2000 GROUP BY 1""")
-def progress_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest chunks that fit a byte budget; older rows go before any list is made."""
-    rows = ordered.running_bytes(table(spark, sf_dir, "conversations"), ["conv_id"], "text", ["turn", "role", "text"], "bytes", newest_first=True).filter("bytes <= 2000")
-    chunks = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(chunks, lambda c: c["text"]), "").alias("tail"), F.count("*").alias("chunks"))
-
-
 @query("""WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '@@//' WHEN 1 THEN '@repo' || p_size || '//' WHEN 2 THEN '@only' ELSE '//' END || p_name AS label FROM part)
 SELECT p_partkey, ltrim(label, '@') AS normal, CASE WHEN label LIKE '@@%' THEN substr(label, 3) WHEN label LIKE '@%//%' THEN substr(label, instr(label, '//')) ELSE label END AS short, label LIKE '@%' AS external FROM l""")
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,13 +314,6 @@ def slowest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.slowest(timed, ["o_orderpriority"], F.col("duration_ns"), 5, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
-@query("""SELECT doc_id, source, octet_length(encode(text)) > 20000 AS entry_over, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS total_bytes FROM documents""")
-def size_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries over the cap, and the running total of each log."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return ordered.running_bytes(docs, ["source"], "text", ["doc_id"], "total_bytes").select("doc_id", "source", (F.octet_length("text") > 20000).alias("entry_over"), "total_bytes")
-
-
 @query("""WITH n AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY p_name) AS outputs, count(*) AS listed FROM n GROUP BY 1""")
 def spawn_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")

@@ -5,11 +5,11 @@ The event table has file, seq, raw (the event's JSON) and, once classified, v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import rfc3339_nanos
-from ..operators import ordered, traces
+from ..operators import traces
 
 #: Kinds of events that carry nothing for a trace.
 IGNORED = ("structuredCommandLine", "convenienceSymlinksIdentified", "workspace", "workspaceConfig", "testProgress", "execRequest", "unknown")
@@ -17,13 +17,15 @@ IGNORED = ("structuredCommandLine", "convenienceSymlinksIdentified", "workspace"
 
 def scan_ndjson(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
     """(events, quarantine). Blank lines are skipped. FAILFAST stops at the first
-    bad line; PERMISSIVE hands bad lines on in the quarantine. Line order comes
-    from the split's start and the place in it, so splitting a file is safe."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = lines.filter(F.trim("value") != "")
-    order = Window.partitionBy("file").orderBy("block", "line")
-    numbered = lines.withColumn("seq", F.row_number().over(order).cast("long")).select("file", "seq", F.col("value").alias("raw"))
-    return classify(numbered, mode)
+    bad line; PERMISSIVE hands bad lines on in the quarantine.
+
+    seq rises with the lines of a file and needs no sort: the start of the line's
+    split plus its number in the task. A task reads no more bytes than the splits
+    of a file are apart and a line has one byte at least, so numbers of one split
+    stay below those of the next."""
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("seq"), F.col("value").alias("raw"))
+    return classify(lines.filter(F.trim("raw") != ""), mode)
 
 
 def unwrap_envelope(envelopes: DataFrame, column: str = "value") -> DataFrame:
@@ -56,11 +58,16 @@ def classify(events: DataFrame, mode: str = "PERMISSIVE") -> tuple[DataFrame, Da
 def invocations(events: DataFrame) -> DataFrame:
     """Events of one stream up to its last message, numbered by invocation: each
     `started` opens the next; inv names stream and number. A stream that starts
-    once is one invocation, early events included."""
-    cut = ordered.cut_after_last(events, ["file"], F.col("last_message"), ["seq"])
-    split = ordered.split_invocations(cut, ["file"], F.col("event_type") == "started", ["seq"], "_n")
-    early = F.greatest(F.col("_n"), F.lit(1))
-    return split.withColumn("inv", F.concat_ws("#", "file", early.cast("string"))).drop("_n")
+    once is one invocation, early events included.
+
+    Only starts and last messages are gathered, a row a stream, and joined back:
+    payloads are never sorted, and a stream that holds a large part of all rows
+    is split by the skew join."""
+    begins, ends = F.when(F.col("event_type") == "started", F.col("seq")), F.when(F.col("last_message"), F.col("seq"))
+    marks = events.filter("event_type = 'started' or last_message").groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list(begins)).alias("_begins"), F.min(ends).alias("_end"))
+    joined = events.join(marks, F.col("file").eqNullSafe(F.col("_file")), "left").filter("_end is null or seq <= _end")
+    number = F.greatest(F.size(F.filter("_begins", lambda b: b <= F.col("seq"))), F.lit(1))
+    return joined.withColumn("inv", F.concat_ws("#", "file", F.coalesce(number, F.lit(1)).cast("string"))).drop("_file", "_begins", "_end")
 
 
 def bronze(events: DataFrame) -> DataFrame:

@@ -30,11 +30,44 @@ def manifest(options: DataFrame, started: DataFrame) -> DataFrame:
     named = F.filter(listed, lambda o: F.startswith(o, F.lit(COMPACT[0])) | F.startswith(o, F.lit(COMPACT[1])))
     wanted = F.get(F.filter(F.transform(named, path), lambda p: p != ""), 0)
     bad = F.array_distinct(F.flatten(F.array(*[_named(listed, flag, name) for flag, name in UNSUPPORTED.items()])))
-    rows = options.groupBy("inv").agg(F.min_by(wanted, F.when(wanted.isNotNull(), F.col("seq"))).alias("log"), F.array_distinct(F.flatten(F.collect_list(bad))).alias("unsupported_flags"))
-    joined = rows.join(started.select("inv", "workspace_dir"), "inv", "left")
-    full = F.when(F.startswith("log", F.lit("/")), F.col("log")).when(F.nullif("workspace_dir", F.lit("")).isNotNull(), F.concat_ws("/", "workspace_dir", "log"))
+    first = F.when(wanted.isNotNull(), F.col("seq"))
+    rows = options.groupBy("inv").agg(F.min_by(wanted, first).alias("log"), F.coalesce(F.min(first), F.min("seq")).alias("seq"), F.array_distinct(F.flatten(F.collect_list(bad))).alias("unsupported_flags"))
+    begun = started.groupBy("inv").agg(F.min_by("workspace_dir", "seq").alias("workspace_dir"), F.min("seq").alias("started_seq"))
+    joined = rows.join(begun, "inv", "left")
+    full = F.when(F.startswith("log", F.lit("/")), F.col("log")).when(F.col("log").isNotNull() & F.nullif("workspace_dir", F.lit("")).isNotNull(), F.concat_ws("/", "workspace_dir", "log"))
     state = F.when(F.col("log").isNull(), F.when(F.size("unsupported_flags") > 0, "unsupported")).when(full.isNull(), "skipped").otherwise("started")
-    return joined.select("inv", "log", full.alias("path"), state.alias("state"), F.array_join("unsupported_flags", ", ").alias("unsupported"))
+    return joined.select("inv", "log", full.alias("path"), state.alias("state"), F.array_join("unsupported_flags", ", ").alias("unsupported"), "seq", "started_seq")
+
+
+def steps(read: bool) -> list[tuple[Column, str, Column]]:
+    """What happens to a log, as (when, name, attributes) over the manifest: a
+    relative path whose workspace is not known yet is skipped, and taken up again
+    once the invocation starts; `read` adds how reading it ended, over status()
+    joined to it. `when` is null where a step does not happen."""
+    c = F.col
+    early = ~F.startswith("log", F.lit("/")) & (c("started_seq").isNull() | (c("started_seq") > c("seq")) | c("path").isNull())
+    told = lambda **x: F.map_filter(F.create_map(*[y for k, v in x.items() for y in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull())
+    out = [
+        (F.when(c("unsupported") != "", c("seq")), "unsupported_format", told(flag=c("unsupported"))),
+        (F.when(c("log").isNotNull() & early, c("seq")), "tailer_skipped", told(path=c("log"), reason=F.lit("workspace_directory_not_set"))),
+        (F.when(c("path").isNotNull(), F.when(early, c("started_seq")).otherwise(c("seq"))), "tailer_started", told(path=c("path"))),
+    ]
+    end = F.when(c("path").isNotNull(), F.lit(2**62).cast("long"))  # after all else
+    return out + ([(end, "tailer_finished", told(spawns_received=F.coalesce("spawns_received", F.lit(0).cast("long")), status=F.coalesce("status", F.lit("ok")), error=c("error")))] if read else [])
+
+
+def status(log: DataFrame) -> DataFrame:
+    """inv, spawns_received, status and error of each log: it failed where a spawn
+    names an output that the log lacks. Spawns before the fault count."""
+    get = F.try_variant_get("v", "$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>")
+    own = log.filter("kind = 'spawn'").select("inv", "seq", F.explode_outer(get).alias("o")).select("inv", "seq", F.col("o.outputId").alias("id"))
+    known = log.filter("id <> 0 and kind <> 'spawn'").select("inv", "id").distinct().withColumn("_known", F.lit(True))
+    bad = F.col("id").isNotNull() & F.col("_known").isNull()
+    by_spawn = own.join(known, ["inv", "id"], "left").groupBy("inv", "seq").agg(F.bool_or(bad).alias("bad"))
+    fault = by_spawn.groupBy("inv").agg(F.min(F.when(F.col("bad"), F.col("seq"))).alias("_fault"))
+    counted = by_spawn.join(fault, "inv").groupBy("inv", "_fault").agg(F.count_if(F.col("_fault").isNull() | (F.col("seq") < F.col("_fault"))).alias("spawns_received"))
+    failed = F.col("_fault").isNotNull()
+    return counted.select("inv", "spawns_received", F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "output id without entry").alias("error"))
 
 
 def _time(path: str) -> Column:

@@ -52,9 +52,15 @@ def write_otlp_json(spans: DataFrame, path: str, batch: int = 512, mode: str = "
 def idempotent_sink(path: str, keys: tuple[str, ...] = ("trace_id", "span_id")):
     """For foreachBatch: each micro-batch writes its own folder, named by its
     number, so a batch that is run again replaces itself; duplicates within a
-    batch go."""
+    batch go, and so do rows that an earlier batch has written (of which the key
+    columns alone are read)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh, spark = batch.dropDuplicates(list(keys)), batch.sparkSession
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if number and root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            earlier = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < number).select(*keys)
+            fresh = fresh.join(earlier, list(keys), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write

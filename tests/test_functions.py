@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import ids, labels, redact, status, text, times
+from spanloom.operators import ordered, traces
 
 
 def values(spark, build, cases, schema):
@@ -81,3 +82,17 @@ def test_ids_and_status(spark):
     assert values(spark, lambda c: status.enum_name(c, status.TEST_STATUS), [("2",), ("PASSED",), ("77",), ("odd",), (None,)], "c string") == ["FLAKY", "PASSED", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
     assert [tuple(x) for x in values(spark, status.root_status, [(0,), (3,), (None,)], "c int")] == [("Ok", None), ("Error", "exit code 3"), ("Unset", None)]
     assert [tuple(x) for x in values(spark, status.spawn_status, [(0, ""), (1, "x"), (None, None)], "c int, s string")] == [("Unset", None), ("Error", "exit_code=1 status=x"), ("Unset", None)]
+
+
+def test_tail_and_tree(spark):
+    rows = spark.createDataFrame([("a", 1, "xxxé"), ("a", 2, "yyy"), ("b", 1, "short"), ("c", 1, None)], "k string, seq long, text string")
+    got = {r.k: (r.tail, r.chunks) for r in ordered.tail(rows, ["k"], "text", ["seq"], 7, "~").collect()}
+    assert got == {"a": ("~xéyyy", 2), "b": ("short", 1), "c": ("", 1)}
+    assert ordered.tail(rows, ["k"], "text", ["seq"], 6, "~").filter("k = 'a'").first().tail == "~éyyy"
+    assert ordered.tail(rows, ["k"], "text", ["seq"], 5, "~").filter("k = 'a'").first().tail == "~yyy"
+    spans = spark.createDataFrame([("t", "r", None, 5), ("t", "b", "r", 9), ("t", "a", "r", 7), ("t", "x", "b", 1), ("t", "lost", "gone", 0)], "t string, id string, up string, s long")
+    placed = {r.id: (r.depth, r.place) for r in traces.tree_order(spans, "t", "id", "up", "s", "s").collect()}
+    assert placed == {"r": (0, 1), "a": (1, 2), "b": (1, 3), "x": (2, 4), "lost": (None, 5)}
+    (check,) = traces.trace_check(spans, "t", "id", "up", "id", "r").collect()
+    assert (check.span_count, check.has_root, check.dangling) == (5, True, 1)
+    assert spark.range(1).select(F.unix_micros(times.to_timestamp(F.lit(1700000000123456999)))).first()[0] == 1700000000123456

@@ -63,3 +63,6 @@ def test_sinks(spark, tmp_path):
     write(spans.union(spans), 7)
     write(spans, 7)
     assert spark.read.parquet(f"{tmp_path}/idem").count() == spans.count()
+    write(spans, 8)
+    write(spans.limit(3), 0)
+    assert spark.read.parquet(f"{tmp_path}/idem/batch=8").count() == 0

@@ -122,11 +122,20 @@ def test_side_tables(built):
     (s,) = assemble.summary(events).collect()
     assert (s.targets, s.targets_ok, s.targets_failed, s.actions, s.actions_failed, s.exit_code, s["mode"]) == (2, 1, 0, 2, 1, 1, "full")
     names = [r.name for r in assemble.span_events(events).collect()]
-    assert sorted(names) == ["build_tool_log", "build_tool_log", "configuration"]
+    assert sorted(names) == ["build_tool_log", "build_tool_log", "configuration", "configuration_detail"]
+    (st,) = exec_log.status(entries).collect()
+    assert (st.spawns_received, st.status, st.error) == (2, "ok", None)
+    manifest = exec_log.manifest(typed.table(events, "options_parsed"), typed.table(events, "started"))
+    told = {r.name: r.attrs for r in assemble.span_events(events, manifest, exec_log.status(entries), with_log=True).collect()}
+    assert told["bazel.exec_log.tailer_started"] == {"path": "/ws/log.bin"} and told["bazel.exec_log.tailer_finished"] == {"spawns_received": "2", "status": "ok"}
+    assert told["build.log"] == {"bazel.progress.stdout": "hi --define=TOKEN=***"} and told["configuration_detail"]["bazel.config.cpu"] == "k8"
+    assert told["bazel.exec_log.unsupported_format"] == {"flag": "--execution_log_json_file"}
     broken = entries.unionByName(exec_log.entries(events.sparkSession.createDataFrame([("broken", 1, '{"spawn": {"outputs": [{"outputId": 5}]}}')], "inv string, seq long, raw string")))
     assert exec_log.spawns(broken, strict=False).select("inv").distinct().count() == 1
     with pytest.raises(Exception, match="output id without entry"):
         exec_log.spawns(broken).collect()
+    failed = {r.inv: (r.spawns_received, r.status, r.error) for r in exec_log.status(broken).collect()}
+    assert failed["broken"] == (0, "failed", "output id without entry")
 
 
 def test_caps_envelope_workspace(spark, built):
