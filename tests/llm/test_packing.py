@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -75,5 +76,14 @@ def test_chunks_of_letters_and_marks():
     letters = list("abcdefgh'ÀÖ×ß÷ÿéÉÜñSs.,!µ0")
     texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(40)) for _ in range(200)]
     tok = Tokenizer.from_file(PATH)
-    for t, ids in zip(texts, packing.encode([t.encode() for t in texts], PATH, 1), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
+    texts += ["it's we'll x-y_z ''' 's", "<|ENDOFTEXT|> <|endoftext|>x", "İ ſ ǅ K K", "a\x1cb\x85c d", "ﬁ́ 日本 語"]
+    coder = packing.WordCoder(PATH)
+    assert coder.direct
+    coder.known.update({f"filler {i}": b"" for i in range(packing.CACHED_WORDS - 50)})  # the cache starts afresh on the way
+    for at in range(0, len(texts), 50):
+        for t, ids in zip(texts[at : at + 50], coder.encode(pa.array(texts[at : at + 50]), 1), strict=True):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
+    coder.direct = False  # any other tokeniser sees whole chunks
+    assert [x.tolist() for x in coder.encode(pa.array(texts), 1)] == [tok.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    with pytest.raises(ValueError, match="cross white space"):
+        packing.WordCoder(public_tokenizers.path("byte_bpe_50k.json"))
