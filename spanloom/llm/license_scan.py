@@ -1,21 +1,23 @@
 r"""License scans by diagonal voting, in DataFrame functions only.
 
 1. Words of each text (A-Z lower-cased), as one array.
-2. A text that holds none of the templates' anchor words (one word of every
-   template k-gram) can hold no k-gram; only the others are scanned further.
-   That loses nothing.
+2. A k-gram of a template votes unless it has common words alone. A text that
+   holds none of the templates' anchor words (one word of every voting k-gram)
+   can hold no such k-gram; only the others are scanned further. That loses
+   nothing.
 3. Every rolling word k-gram of these texts is hashed and joined to the hashes
    of the templates' k-grams; the words are compared, so equal hashes of other
    words do not count. A hit votes for its diagonal: place in the text less
    place in the template.
-4. Votes are added per (text, template, diagonal), diagonals at most `drift`
+4. Votes are added per (text, template, diagonal) as bits by place, diagonals at most `drift`
    apart are merged (words put in or left out), and a merged span is verified:
-   the share of the template's k-grams that it covers must reach `coverage`
+   the share of the template's voting k-grams that it covers must reach `coverage`
    and the span must not be longer than twice the template.
 5. Base phrases are found word by word in the texts that hold all their words.
 
 Votes are partially aggregated; a text's spans meet in one small group, whose
-size its own length bounds. Templates are constants: broadcasting them is safe.
+size its own length bounds. Templates are a parameter and known on the driver:
+broadcasting them is safe. A very long text is one row of words.
 
 Defined results: null counts as empty, with 0 words and no labels; repeated rows
 and null ids are scanned each; equal spans of several templates give all their
@@ -32,29 +34,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
+from .license_texts import TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: The phrases and labels every scan reports.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices by label, public wordings, each of at most 60 words.
-TEMPLATES = (
-    ("mit", "released under the MIT License"),
-    ("mit", "licensed under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3.0", "licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
+#: Words that mark no licence; k-grams of these alone do not vote.
+COMMON = frozenset("a all an and any are as at be been but by can do for from has have if in into is it its may more no nor not of on one or other shall so such that the their them these this those to was which will with you your".split())
 
 
 def words_of(text: Column) -> Column:
@@ -67,22 +55,24 @@ def _split(text: str) -> list[str]:
     return re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
-def template_grams(k: int) -> list[tuple[int, int, int, str, str]]:
-    """(template, its k-grams in number, place, k-gram, label)."""
+def template_grams(k: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[int, int, int, str, str]]:
+    """(template, its voting k-grams in number, place, k-gram, label)."""
     out = []
-    for n, (label, text) in enumerate(TEMPLATES):
+    for n, (label, text) in enumerate(templates):
         words = _split(text)
-        out += [(n, len(words) - k + 1, i, " ".join(words[i : i + k]), label) for i in range(len(words) - k + 1)]
+        grams = [(i, words[i : i + k]) for i in range(len(words) - k + 1)]
+        voting = [(i, " ".join(g)) for i, g in grams if not COMMON.issuperset(g)]
+        out += [(n, len(voting), i, g, label) for i, g in voting]
     return out
 
 
-def anchors(k: int) -> list[str]:
-    """A small set of words that meets every template k-gram, rarest-looking (longest) first."""
-    left, taken = {g for *_, g, _ in template_grams(k)}, []
+def anchors(k: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
+    """A small set of words that meets every voting k-gram, rarest-looking (longest) first."""
+    left, taken = {g for *_, g, _ in template_grams(k, templates)}, []
     while left:
         count: dict[str, int] = {}
         for g in left:
-            for w in set(g.split()):
+            for w in set(g.split()) - COMMON:
                 count[w] = count.get(w, 0) + 1
         best = max(count, key=lambda w: (len(w) > 4, count[w], w))
         taken.append(best)
@@ -106,33 +96,37 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(held, F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, drift: int = 2, coverage: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3, drift: int = 2, coverage: float = 0.75, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(documents, spans). documents: one row per input row with its uid, base
     places and words; spans: verified spans with uid, label, first and last word,
     coverage. Both start from one staged table."""
+    if not template_grams(k, templates):
+        raise ValueError("no template has a k-gram that can vote")
     spark = docs.sparkSession
     words = F.col("words")
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), words_of(F.col(f"`{text}`")).alias("words"))
     found = base.select(
         F.monotonically_increasing_id().alias("uid"), "doc_id", F.size("words").cast("long").alias("n_words"),
         *[_places(words, p).alias(f"base_{n}") for n, p in enumerate(PHRASES)],
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, anchors(k)))), words).alias("words"),
+        F.when(F.arrays_overlap(words, F.array(*map(F.lit, anchors(k, templates)))), words).alias("words"),
     )
     staged = stage(found, "license-words")
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.concat_ws(" ", F.slice("words", i, k)))
     exploded = staged.filter(F.size("words") >= k).select("uid", F.posexplode(grams).alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
-    values = ", ".join(f"({n}, {size}, {i}, '{g}', '{label}')" for n, size, i, g, label in template_grams(k))
-    templates = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, grams, place, wanted, label)").withColumn("hash", F.xxhash64("wanted"))
-    hits = exploded.join(F.broadcast(templates), "hash").filter("gram = wanted")
-    votes = hits.groupBy("uid", "template", "grams", "label", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("covered"), F.min("at").alias("first"), F.max("at").alias("last"))
+    known = spark.createDataFrame(template_grams(k, templates), "template int, grams int, place int, wanted string, label string").withColumn("hash", F.xxhash64("wanted"))
+    hits = exploded.join(F.broadcast(known), "hash").filter("gram = wanted")
+    # places as bits of 64-bit words, `word` by word: templates may have any length
+    votes = hits.groupBy("uid", "template", "grams", "label", (F.col("at") - F.col("place")).alias("diagonal"), F.expr("place div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, place % 64)")).alias("covered"), F.min("at").alias("first"), F.max("at").alias("last"))
     along = Window.partitionBy("uid", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > drift, F.lit(True)).cast("int")
+    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > drift, F.lit(True)).cast("int")  # equal ones of other words are no step
     merged = (
         votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(along))
+        .groupBy("uid", "template", "grams", "label", "span", "word")
+        .agg(F.bit_or("covered").alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"))
         .groupBy("uid", "template", "grams", "label", "span")
-        .agg(F.bit_or("covered").alias("covered"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
-        .withColumn("coverage", F.bit_count("covered") / F.col("grams"))
+        .agg(F.sum(F.bit_count("covered")).alias("covered"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
+        .withColumn("coverage", F.col("covered") / F.col("grams"))
     )
     spans = merged.filter((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") < 2 * (F.col("grams") + k)))
     return staged, spans.select("uid", "label", "first", "last", "coverage")
