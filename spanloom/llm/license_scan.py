@@ -21,7 +21,8 @@ broadcasting them is safe. A very long text is one row of words.
 
 Defined results: null counts as empty, with 0 words and no labels; repeated rows
 and null ids are scanned each; equal spans of several templates give all their
-labels; an empty table gives an empty result; extra columns are not read.
+labels, and so do wordings that differ by a word or two put in (the GNU licences);
+an empty table gives an empty result; extra columns are not read.
 Score: 1 where a base phrase stands, else the best coverage of a verified span,
 else 0.
 """
