@@ -7,8 +7,6 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat_format, exact_dedup, license_scan, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity
 from .common import read
 
@@ -33,12 +31,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-#: The key of the surrogates; whoever runs this on real data sets their own.
-PII_KEY = "spanloom"
-
-
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.decisions(read(spark, sf_dir, "documents"), PII_KEY)
+    return pii.decisions(read(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +58,8 @@ QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE} | pipeline
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE}

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,15 @@ WHITE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (as in tests) a local folder is made and
-    set as the checkpoint folder of this session.
+    Only where that setting is absent in a local session (as in tests) a local
+    folder is made and set as the checkpoint folder of this session; on a cluster
+    the setting must be there.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -37,6 +41,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, by: str, *order: str) -> DataFrame:
+    """Staged like stage(), bucketed `by` a column and sorted, so that a join on it
+    does not move the rows. The table's name goes again at once: the files stay."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").bucketBy(partitions(spark), by).sortBy(by, *order)
+     .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
+    staged = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return staged
+
+
+#: At most so many keys are hot, whatever the input.
+HOT_KEYS = 10_000
+
+
+def hot_limit(rows: int) -> int:
+    """More than so many of the rows make a key hot: then no more than HOT_KEYS are."""
+    return max(100, rows // HOT_KEYS)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, limit: int) -> DataFrame:
+    """rows joined to facts, which has one row a key and how many rows have it. Rows
+    of hot keys (above the limit, so HOT_KEYS at most) stay where they are and meet
+    their facts by broadcast; all others are shuffled."""
+    hot, cold = F.broadcast(facts.filter(F.col(count) > limit).drop(count)), facts.filter(F.col(count) <= limit).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def pack(docs: DataFrame) -> DataFrame:
     """Each row as one struct `row`, so that no column of the input can clash
     with the columns an operator adds."""
@@ -64,7 +96,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most max_bytes of text, or one row."""
     for batch in batches:
-        sizes = [len(x) for x in utf8(batch.column(text))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if i > start and total + n > max_bytes:

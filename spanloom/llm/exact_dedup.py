@@ -3,26 +3,29 @@
 1. Every row's text, without white space, gets a SHA-256; its first 48 bits are
    the fingerprint. The rows are staged once, bucketed by the partition (chunk)
    that read them, so the texts never move again unless they are suspects.
-2. Each run of rows sends its distinct fingerprints, sorted and Golomb-Rice
-   coded, to the owners of the fingerprint ranges. A fingerprint that a hot text
-   repeats costs one entry a run, however many copies the run holds.
-3. Owners decode, find the fingerprints that more than one run sent, and reply
-   with one bitmap a message. Replies are put together per chunk and joined to
-   the staged rows on the bucketing column: only the bitmaps are shuffled.
-4. Rows whose bit is set, or which repeat within their run, are suspects. Only
+2. Chunks form units of about a million rows. A unit sends its distinct
+   fingerprints, sorted and Golomb-Rice coded, to the owners of the fingerprint
+   ranges: one message an owner. A fingerprint that a hot text repeats costs one
+   entry a unit, however many copies the unit holds.
+3. Owners decode, find the fingerprints that more than one unit sent, and reply
+   with one bitmap a message. A unit puts its replies together to one bitmap a
+   chunk and batch, joined to the staged rows on the bucketing column: of the
+   rows themselves only fingerprints and places are shuffled.
+4. Rows whose bit is set, or which repeat within their unit, are suspects. Only
    suspects are shuffled, grouped by the bytes of the normalised text; partial
-   aggregation leaves one row a task for a hot text.
-
-Defined results: null text is empty; all empty texts are one group; of equal
-rows (same text and doc_id) exactly one stays, the first staged; a null doc_id
-comes after all others in ties; an empty table gives an empty result; columns
-beyond text and doc_id pass through untouched whatever their names.
+   aggregation leaves one row a task for a hot text, and rows of hot texts meet
+   their group by broadcast.
+
+Defined results: null text is empty; all empty texts are one group; a very long
+text is one row, hashed whole; of equal rows (same text and doc_id) exactly one
+stays, the first staged; a null doc_id comes after all others in ties; an empty
+table gives an empty result; columns beyond text and doc_id pass through
+untouched whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, pack, partitions, shared_dir, stage
+from .common import WHITE, blocks, bucketed, hot_limit, join_hot, pack, partitions, stage, utf8
 
 FP_BITS = 48
 #: Distinct fingerprints that one owner should hold: 16 bytes each while it works.
 FPS_PER_OWNER = 2_000_000
+#: Rows that one unit should hold: 20 bytes each while it works.
+UNIT_ROWS = 1_000_000
 
 
 def rice_encode(values: np.ndarray) -> bytes:
@@ -68,96 +73,81 @@ def _sign(text_field: int):
         chunk = TaskContext.get().partitionId()
         for run, batch in enumerate(batches):
             text = batch.column("row").field(text_field)
-            digests = [hashlib.sha256((x or b"").translate(None, WHITE.encode())).digest() for x in text.cast(pa.large_binary()).to_pylist()]
+            slices = blocks(iter([pa.record_batch({"text": text})]), "text", 8 << 20)
+            digests = [hashlib.sha256(x.translate(None, WHITE.encode())).digest() for part in slices for x in utf8(part.column("text"))]
             fp = np.frombuffer(b"".join(d[:6] + b"\0\0" for d in digests), "<u8").astype(np.int64)
-            _, slot, count = np.unique(fp, return_inverse=True, return_counts=True)
             n = len(fp)
             chars = pc.fill_null(pc.utf8_length(text.cast(pa.large_string())), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.full(n, chunk, np.int32)), pa.array(np.full(n, run, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(slot.astype(np.int32)), pa.array(fp), pa.array((count > 1)[slot]), chars.cast(pa.int64()), pa.array([d.hex() for d in digests])],
-                ["row", "chunk", "run", "pos", "slot", "fp", "local", "chars", "sha"],
+                [batch.column("row"), pa.array(np.full(n, chunk, np.int32)), pa.array(np.full(n, run, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(fp), chars.cast(pa.int64()), pa.array([d.hex() for d in digests])],
+                ["row", "chunk", "run", "pos", "fp", "chars", "sha"],
             )
 
     return sign
 
 
-def _messages(owners: int):
-    """Distinct fingerprints of each run, one message an owner."""
-    names = [x.split()[0] for x in _MESSAGE.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk, run, slot, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk", "run", "slot", "fp"))
-            out: list[tuple] = []
-            cuts = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(run) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(fp)], strict=True):
-                if a == b:
-                    continue
-                keys, first = np.unique(fp[a:b], return_index=True)
-                slots = slot[a:b][first]
-                owner = (keys.astype(np.float64) * (owners / 2.0**FP_BITS)).astype(np.int64)
-                for o in np.unique(owner):
-                    mine = owner == o
-                    # within a message the slots rise by one a key as long as the run came in one piece
-                    out.append((int(o), int(chunk[a]), int(run[a]), int(mine.sum()), rice_encode(keys[mine]), slots[mine].astype("<i4").tobytes() if np.any(np.diff(slots[mine]) != 1) else None, int(slots[mine][0])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
+def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
+    return (keys.astype(np.float64) * (owners / 2.0**FP_BITS)).astype(np.int64)
 
-    return send
 
+def _send(owners: int):
+    """The distinct fingerprints of a unit, one message an owner."""
 
-_MESSAGE = "owner long, chunk int, run int, n int, codes binary, slots binary, first int"
+    def send(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(rows["fp"].to_numpy())
+        whose = _owner(keys, owners)
+        cuts = [0, *(np.flatnonzero(np.diff(whose)) + 1), len(keys)]
+        shares = [keys[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pd.DataFrame({"owner": [int(whose[a]) for a in cuts[:-1]], "unit": rows["unit"].iloc[0], "n": [len(x) for x in shares], "codes": [rice_encode(x) for x in shares]})
+
+    return send
 
 
 def _reply(messages: pd.DataFrame) -> pd.DataFrame:
-    """One owner: a bit for each received fingerprint that another run sent too."""
+    """One owner: a bit for each received fingerprint that another unit sent too."""
     lists = [rice_decode(c, n) for c, n in zip(messages["codes"], messages["n"], strict=True)]
-    keys, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    again, at, bitmaps = (count > 1)[inverse], 0, []
-    for x in lists:
-        bits = again[at : at + len(x)]
-        bitmaps.append(np.packbits(bits).tobytes() if bits.any() else None)
-        at += len(x)
-    out = messages[["chunk", "run", "n", "slots", "first"]].assign(bits=bitmaps)
-    return out[out["bits"].notna()]
-
-
-def _flags(replies: pd.DataFrame) -> pd.DataFrame:
-    """One chunk: its replies as one bitmap a run, least significant bit first."""
-    runs: dict[int, list[np.ndarray]] = {}
-    for run, n, slots, first, bits in zip(*(replies[c] for c in ("run", "n", "slots", "first", "bits")), strict=True):
-        at = np.frombuffer(slots, "<i4") if slots else np.arange(first, first + n)
-        runs.setdefault(run, []).append(at[np.unpackbits(np.frombuffer(bits, np.uint8))[:n] == 1])
-    maps: list[bytes] = [b""] * (max(runs) + 1)
-    for run, hits in runs.items():
-        bits = np.zeros(int(max(h.max() for h in hits)) + 1, np.uint8)
-        bits[np.concatenate(hits)] = 1
-        maps[run] = np.packbits(bits, bitorder="little").tobytes()
-    return pd.DataFrame({"chunk": [replies["chunk"].iloc[0]], "maps": [maps]})
-
-
-def _flagged(docs: DataFrame, text: str) -> DataFrame:
-    """The staged rows with `suspect`: another row may have the same text."""
+    _, inverse, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    again, ends = (count > 1)[inverse], np.cumsum(messages["n"])
+    return messages[["owner", "unit", "n"]].assign(bits=[np.packbits(again[b - n : b]).tobytes() for b, n in zip(ends, messages["n"], strict=True)])
+
+
+def _flags(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    """One unit: its replies, in the order of their ranges, as a bit a fingerprint;
+    then for each chunk a bitmap a run, least significant bit first."""
+    _, slot, count = np.unique(rows["fp"].to_numpy(), return_inverse=True, return_counts=True)
+    ordered = replies.sort_values("owner")
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(ordered["bits"], ordered["n"], strict=True)])
+    hits = rows[((count > 1) | (bits == 1))[slot]]
+    out = []
+    for chunk, held in hits.groupby("chunk"):
+        maps: list[bytes] = [b""] * (int(held["run"].max()) + 1)
+        for run, at in held.groupby("run")["pos"]:
+            marks = np.zeros(int(at.max()) + 1, np.uint8)
+            marks[at.to_numpy()] = 1
+            maps[run] = np.packbits(marks, bitorder="little").tobytes()
+        out.append((chunk, maps))
+    return pd.DataFrame(out, columns=["chunk", "maps"])
+
+
+def _flagged(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """The staged rows with `suspect` (another row may have the same text), and how
+    many they are."""
     spark, packed = docs.sparkSession, pack(docs)
-    schema = T.StructType([packed.schema["row"], *T.StructType.fromDDL("chunk int, run int, pos int, slot int, fp long, local boolean, chars long, sha string").fields])
-    name = f"dedup_{uuid.uuid4().hex}"
-    rows = packed.mapInArrow(_sign(docs.columns.index(text)), schema)
-    (rows.write.format("parquet").bucketBy(partitions(spark), "chunk").sortBy("chunk", "run", "pos")
-     .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
-    staged = spark.table(name)
-    owners = max(partitions(spark), staged.count() // FPS_PER_OWNER + 1)
-    flags = stage(
-        staged.select("chunk", "run", "slot", "fp").mapInArrow(_messages(owners), _MESSAGE)
-        .groupBy("owner").applyInPandas(_reply, "chunk int, run int, n int, slots binary, first int, bits binary")
-        .groupBy("chunk").applyInPandas(_flags, "chunk int, maps array<binary>"), "dedup-flags")
-    byte = F.expr("try_cast(conv(hex(substring(try_element_at(maps, run + 1), cast(slot div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, slot % 8)")) != 0, F.lit(False))
-    return staged.join(flags.hint("shuffle_hash"), "chunk", "left").withColumn("suspect", F.col("local") | bit).drop("maps")
+    schema = T.StructType([packed.schema["row"], *T.StructType.fromDDL("chunk int, run int, pos int, fp long, chars long, sha string").fields])
+    staged = bucketed(packed.mapInArrow(_sign(docs.columns.index(text)), schema), "dedup", "chunk", "run", "pos")
+    total = staged.count()
+    owners, units = (max(partitions(spark), total // n + 1) for n in (FPS_PER_OWNER, UNIT_ROWS))
+    places = staged.select(F.pmod(F.xxhash64("chunk"), F.lit(units)).alias("unit"), "chunk", "run", "pos", "fp")
+    replies = places.groupBy("unit").applyInPandas(_send(owners), "owner long, unit long, n int, codes binary").groupBy("owner").applyInPandas(_reply, "owner long, unit long, n int, bits binary")
+    flags = stage(places.groupBy("unit").cogroup(replies.groupBy("unit")).applyInPandas(_flags, "chunk int, maps array<binary>"), "dedup-flags")
+    byte = F.expr("try_cast(conv(hex(substring(try_element_at(maps, run + 1), cast(pos div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, pos % 8)")) != 0, F.lit(False))
+    return staged.join(flags.hint("shuffle_hash"), "chunk", "left").withColumn("suspect", bit).drop("maps"), total
 
 
 def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: row (the input row), sha, keep_id, group_size, kept."""
-    flagged = _flagged(docs, text)
+    flagged, total = _flagged(docs, text)
     key = F.col(f"row.`{doc_id}`")
     single = flagged.filter(~F.col("suspect")).select("row", "sha", key.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     suspects = flagged.filter("suspect")
@@ -169,7 +159,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         .groupBy("sha").agg(F.min("best").alias("best"), F.max("group_size").alias("group_size"), F.count("*").alias("texts"))
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long")))
     )
-    grouped = suspects.join(groups, "sha").select(
+    told = stage(groups.withColumn("rows", F.col("group_size")), "groups")
+    grouped = join_hot(suspects, told, "sha", "rows", hot_limit(total)).select(
         "row", "sha", F.col("best.id").alias("keep_id"), "group_size",
         ((F.col("chunk") == F.col("best.chunk")) & (F.col("run") == F.col("best.run")) & (F.col("pos") == F.col("best.pos"))).alias("kept"),
     )

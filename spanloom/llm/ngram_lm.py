@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import mmap
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -47,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, shared_dir, stage, utf8
+from .common import blocks, bucketed, partitions, stage, utf8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Text bytes a block holds at most (or one document).
@@ -263,11 +262,8 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per input row: learn from the documents not held out, score all.
     perplexity of a text is 10 ** (-score / n_tokens)."""
     spark = docs.sparkSession
-    name = f"lm_{uuid.uuid4().hex}"
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    (chosen.mapInArrow(_blocks, _BLOCKS).write.format("parquet").bucketBy(partitions(spark), "block").sortBy("block")
-     .option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
-    staged = spark.table(name)
+    staged = bucketed(chosen.mapInArrow(_blocks, _BLOCKS), "lm", "block")
     size = staged.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     pair_shards = max(partitions(spark), size["tokens"] // SHARD_KEYS + 1)
     word_shards = max(partitions(spark), 3 * size["words"] // SHARD_KEYS + 1)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, utf8
+from .common import blocks, hot_limit, join_hot, stage, utf8
 
 #: A-Z to a-z, all else as it is.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text", 8 << 20):
             fps = np.array([fingerprint_bits(shingle_hashes(t, size)) for t in utf8(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -193,38 +193,40 @@ def links(fps: DataFrame, distance: int = 4, list_max: int = LIST_MAX) -> DataFr
     return found.unionByName(met).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node it is connected to), for nodes with edges.
 
     Alternates large-star (bigger neighbours link to the smallest neighbour) and
     small-star (smaller neighbours link to it) until nothing changes; each round
-    is staged, so the plan stays short and survives lost executors."""
+    is staged, so the plan stays short and survives lost executors. Rows of a node
+    with very many edges are not brought to one place (join_hot)."""
     edges = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "links")
-    before = None
-    for _ in range(rounds):
+    before, size = None, edges.count()
+    while True:
+        limit = hot_limit(2 * size)
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, low, "a", "n", limit).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "b", "n", limit).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
         edges = stage(small, "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             return edges.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
-        before = state
-    raise RuntimeError("components did not settle")
+        before, size = state, state[0]
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 4, distance: int = 4, list_max: int = LIST_MAX) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id."""
     rows = stage(fingerprints(docs, text, doc_id, size), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), distance, list_max))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     named = stage(rooted, "rooted")
-    ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    limit = hot_limit(rows.count())
+    ids = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("of"))
+    by_fp = stage(join_hot(named, ids, "root", "of", limit).select("fp", "n", "component_id"), "by-fp")
+    return join_hot(rows, by_fp, "fp", "n", limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_others(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
