@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,12 +63,19 @@ def hot_limit(rows: int) -> int:
     return max(100, rows // HOT_KEYS)
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, limit: int) -> DataFrame:
-    """rows joined to facts, which has one row a key and how many rows have it. Rows
-    of hot keys (above the limit, so HOT_KEYS at most) stay where they are and meet
-    their facts by broadcast; all others are shuffled."""
-    hot, cold = F.broadcast(facts.filter(F.col(count) > limit).drop(count)), facts.filter(F.col(count) <= limit).drop(count)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, spread: str, count: str, limit: int) -> DataFrame:
+    """rows joined to facts, which has a row for every key and how many rows have
+    it. Rows of hot keys (above the limit, so HOT_KEYS at most) meet their facts by
+    broadcast; in the shuffled join, which serves the others, they are spread by
+    another column, so that no key gathers more rows than the limit."""
+    told = [c for c in facts.columns if c not in (key, count)]
+    hot = facts.filter(F.col(count) > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in told])
+    cold = facts.filter(F.col(count) <= limit).select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in told])
+    met = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    at = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(key, spread).cast(rows.schema[key].dataType))
+    both = met.withColumn("_at", at).join(cold, F.col("_at").eqNullSafe(F.col("_cold")), "left")
+    of = [F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in told]
+    return both.select(*rows.columns, *of)
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -93,6 +102,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+@cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back: workers are kept from stage to stage, and what one
+    operator no longer needs should not stand beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most max_bytes of text, or one row."""
     for batch in batches:
@@ -105,6 +127,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int) -> Iter
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -150,7 +150,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     flagged, total = _flagged(docs, text)
     key = F.col(f"row.`{doc_id}`")
     single = flagged.filter(~F.col("suspect")).select("row", "sha", key.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    suspects = flagged.filter("suspect")
+    suspects = stage(flagged.filter("suspect").drop("suspect", "fp"), "suspects")
     # equal bytes are one group here; two texts of one SHA-256 would be two groups and stop the job
     body = F.translate(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), WHITE, "")
     best = F.min(F.struct(-F.col("chars"), key.isNull(), key.alias("id"), "chunk", "run", "pos")).alias("best")
@@ -160,7 +160,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts with one SHA-256")).cast("long")))
     )
     told = stage(groups.withColumn("rows", F.col("group_size")), "groups")
-    grouped = join_hot(suspects, told, "sha", "rows", hot_limit(total)).select(
+    grouped = join_hot(suspects, told, "sha", "pos", "rows", hot_limit(total)).select(
         "row", "sha", F.col("best.id").alias("keep_id"), "group_size",
         ((F.col("chunk") == F.col("best.chunk")) & (F.col("run") == F.col("best.run")) & (F.col("pos") == F.col("best.pos"))).alias("kept"),
     )

@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import blocks, stage
 
 #: Cached words a worker process holds before it starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 #: Text bytes that are tokenised at once (or one document).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
 #: Letters of Latin-1 and marks of ASCII but the apostrophe: in a chunk of the one
 #: and then the other the pre-tokeniser parts the two, and normalising only

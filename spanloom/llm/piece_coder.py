@@ -12,12 +12,16 @@ space. Distinct words of a batch are merged together in flat numpy arrays:
   merge of that word is kept for the round, which is the library's order;
 - the arrays are compacted and the rounds repeat until no pair remains.
 
+Before the first round words are cut wherever two neighbouring characters stand
+side by side in no piece: no merge can cross such a place, so long unbroken texts
+(of scripts without spaces, say) fall into short segments that merge together.
+
 Symbols that are no piece become their UTF-8 bytes. Decoding joins the pieces'
 bytes by id, turns the space mark into a space and drops the one that encoding
 put in front.
 
 Defined results: null or empty text gives the begin and end ids alone and
-decodes to the empty text; rows with a null or repeated doc_id are encoded each;
+decodes to the empty text; a very long text is encoded whole; rows with a null or repeated doc_id are encoded each;
 an empty table gives an empty result; extra columns are not read; the mark
 U+2581 in a text decodes to a space, as in the library.
 """
@@ -76,6 +80,8 @@ class PieceModel:
         by = np.argsort(keys)
         self.pair_keys, self.pair_ids = keys[by], np.array(list(pairs.values()), np.int64)[by]
         self.pieces = n
+        # characters that stand side by side in some piece
+        self.bigrams = np.array(sorted({ord(a) << 32 | ord(b) for p in self.ids for a, b in zip(p, p[1:])}), np.int64)
         blank = {self.bos, self.eos}
         self.surface = [b"" if i in blank else bytes([int(np.flatnonzero(self.byte_ids == i)[0])]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         self.surface[sp.unk_id()] = " ⁇ ".encode()
@@ -97,7 +103,12 @@ class PieceModel:
         points = np.frombuffer(flat.encode("utf-32-le"), "<u4").astype(np.int64)
         chars, inverse = np.unique(points, return_inverse=True)
         sym = np.array([self.symbol(chr(c)) for c in chars], np.int64)[inverse] if len(points) else points
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        whole = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        beside = points[:-1] << 32 | points[1:]
+        at = np.minimum(np.searchsorted(self.bigrams, beside), len(self.bigrams) - 1)
+        cut = (self.bigrams[at] != beside) | (whole[:-1] != whole[1:])
+        word = np.concatenate([[0], np.cumsum(cut)]) if len(points) else whole
+        owner = whole[np.flatnonzero(np.diff(word, prepend=-1))]  # the word of each segment
         done_sym, done_word = [], []
         piece, rank = self._pairs(sym, word, np.full(len(sym), -1), np.full(len(sym), _BIG), np.ones(len(sym), bool))
         while len(sym):
@@ -130,7 +141,7 @@ class PieceModel:
             sym, word, piece, rank = new[:4]
         sym, word = np.concatenate([*done_sym, sym]), np.concatenate([*done_word, word])
         order = np.argsort(word, kind="stable")
-        return self._ids(sym[order], word[order], len(words))
+        return self._ids(sym[order], owner[word[order]], len(words))
 
     def _pairs(self, sym: np.ndarray, word: np.ndarray, piece: np.ndarray, rank: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """piece and rank of each symbol with the next of its word, renewed where asked."""

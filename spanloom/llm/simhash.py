@@ -206,9 +206,9 @@ def components(edges: DataFrame) -> DataFrame:
         limit = hot_limit(2 * size)
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both, low, "a", "n", limit).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
+        large = join_hot(both, low, "a", "b", "n", limit).filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, low, "b", "n", limit).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
+        small = join_hot(large, low, "b", "a", "n", limit).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
         edges = stage(small, "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = stage(rooted, "rooted")
     limit = hot_limit(rows.count())
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("of"))
-    by_fp = stage(join_hot(named, ids, "root", "of", limit).select("fp", "n", "component_id"), "by-fp")
-    return join_hot(rows, by_fp, "fp", "n", limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = stage(join_hot(named, ids, "root", "fp", "of", limit).select("fp", "n", "component_id"), "by-fp")
+    return join_hot(rows, by_fp, "fp", "doc_id", "n", limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_others(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

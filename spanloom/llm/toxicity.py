@@ -43,7 +43,7 @@ from .common import blocks, pack, stage
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -176,12 +176,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
             counts, words = count_matrix(batch.column("text").to_pylist(), vocabulary, {})
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(n) for n in names), pa.array([c.astype("<i4").tobytes() for c in counts], pa.binary()), pa.array(words, pa.int64())], ["doc_id", *names, "counts", "words"])
 
-    table = rows.mapInArrow(design, "doc_id long, " + ", ".join(f"`{n}` int" for n in names) + ", counts binary, words long").collect()  # at most `sample` x `features`
-    table.sort(key=lambda r: r["doc_id"])
-    counts = np.array([np.frombuffer(r["counts"], "<i4") for r in table], np.float32).reshape(len(table), len(vocabulary))
-    x = surprise(counts, np.array([r["words"] for r in table], np.float32), rate.astype(np.float32)).astype(np.float64)
-    y = np.array([[r[n] for n in names] for r in table], np.float64).reshape(len(table), len(names))
-    fold = np.array([hash_fold(r["doc_id"], folds) for r in table], np.int64)
+    table = rows.mapInArrow(design, "doc_id long, " + ", ".join(f"`{n}` int" for n in names) + ", counts binary, words long").toArrow().sort_by("doc_id")  # at most `sample` x `features`
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").astype(np.float32).reshape(len(table), len(vocabulary))
+    x = surprise(counts, table.column("words").to_numpy().astype(np.float32), rate.astype(np.float32)).astype(np.float64)
+    y = np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float64).reshape(len(table), len(names))
+    ids = table.column("doc_id").to_pylist()
+    del table, counts
+    fold = np.array([hash_fold(i, folds) for i in ids], np.int64)
     return Chain(names, vocabulary, rate, fit_chain(x, y, fold))
 
 
