@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity
+from . import chat_format, exact_dedup, license_scan, merkle, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity, whitening
 from .common import read
 
 
@@ -51,9 +51,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.decisions(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_nearest_neighbours, op5_toxicity, op6_pii,
-    op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan,
+    op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan, op11_merkle_manifest,
+    op12_whitening,
 )
 
 
@@ -62,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_chat_formatting": chat_format.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
