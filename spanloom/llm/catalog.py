@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, merkle, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity, whitening
+from . import chat_format, curve_packing, exact_dedup, license_scan, merkle, nearest, ngram_lm, packing, pii, piece_coder, simhash, toxicity, whitening
 from .common import read
 
 
@@ -59,10 +59,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.place_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = (
     op1_exact_dedup, op2_best_fit_packing, op3_lm_scoring, op4_nearest_neighbours, op5_toxicity, op6_pii,
     op7_sentencepiece, op8_simhash, op9_chat_formatting, op10_license_scan, op11_merkle_manifest,
-    op12_whitening,
+    op12_whitening, op13_curve_packing,
 )
 
 
