@@ -12,7 +12,10 @@ r"""License scans by diagonal voting, in DataFrame functions only.
 4. Votes are added per (text, template, diagonal) as bits by place, diagonals at most `drift`
    apart are merged (words put in or left out), and a merged span is verified:
    the share of the template's voting k-grams that it covers must reach `coverage`
-   and the span must not be longer than twice the template.
+   and the span must not be longer than twice the template. Wordings that differ in
+   a deciding word or two (versions, Lesser, Affero) are rivals: of the k-grams that
+   a template has and a rival of another label lacks, the span must cover the same
+   share, or the text is the rival's.
 5. Base phrases are found word by word in the texts that hold all their words.
 
 Votes are partially aggregated; a text's spans meet in one small group, whose
@@ -21,8 +24,7 @@ broadcasting them is safe. A very long text is one row of words.
 
 Defined results: null counts as empty, with 0 words and no labels; repeated rows
 and null ids are scanned each; equal spans of several templates give all their
-labels, and so do wordings that differ by a word or two put in (the GNU licences);
-an empty table gives an empty result; extra columns are not read.
+labels, a wording that is part of another one too; an empty table gives an empty result; extra columns are not read.
 Score: 1 where a base phrase stands, else the best coverage of a verified span,
 else 0.
 """
@@ -81,6 +83,29 @@ def anchors(k: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[
     return taken
 
 
+def rivals(k: int, coverage: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[int, list[list[tuple[int, int]]], list[float]]]:
+    """(template, a mask a rival, how many of its k-grams must be covered). Rivals
+    have another label and share at least half of the template's voting k-grams;
+    masks are bits by place, as (64-bit word, bits) in signed numbers."""
+    grams: dict[int, list[tuple[int, str]]] = {}
+    for n, _, i, g, _ in template_grams(k, templates):
+        grams.setdefault(n, []).append((i, g))
+    out = []
+    for n, mine in grams.items():
+        masks: dict[tuple, int] = {}
+        for m, other in grams.items():
+            theirs = {g for _, g in other}
+            apart = [i for i, g in mine if g not in theirs]
+            if templates[m][0] != templates[n][0] and apart and len(apart) * 2 <= len(mine):
+                words: dict[int, int] = {}
+                for i in apart:
+                    words[i // 64] = words.get(i // 64, 0) | 1 << i % 64
+                masks[tuple(sorted((w, b - (b >> 63 << 64)) for w, b in words.items()))] = len(apart)
+        if masks:
+            out.append((n, [list(x) for x in masks], [coverage * c for c in masks.values()]))
+    return out
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Where the words of a phrase stand consecutively, from 0."""
     parts = phrase.split()
@@ -126,11 +151,15 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3
         .groupBy("uid", "template", "grams", "label", "span", "word")
         .agg(F.bit_or("covered").alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"))
         .groupBy("uid", "template", "grams", "label", "span")
-        .agg(F.sum(F.bit_count("covered")).alias("covered"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "covered"))).alias("bits"), F.sum(F.bit_count("covered")).alias("covered"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
         .withColumn("coverage", F.col("covered") / F.col("grams"))
     )
     spans = merged.filter((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") < 2 * (F.col("grams") + k)))
-    return staged, spans.select("uid", "label", "first", "last", "coverage")
+    against = spark.createDataFrame(rivals(k, coverage, templates), "template int, masks array<array<struct<word:bigint,mask:bigint>>>, needed array<double>")  # as many rows as templates
+    hit = lambda mask: F.aggregate(mask, F.lit(0), lambda n, m: n + F.bit_count(F.coalesce(F.col("bits")[m["word"]], F.lit(0).cast("long")).bitwiseAND(m["mask"])))
+    told = F.forall(F.zip_with("masks", "needed", lambda mask, n: hit(mask) >= n), lambda fine: fine)
+    own = spans.join(F.broadcast(against), "template", "left").filter(F.coalesce(told, F.lit(True)))
+    return staged, own.select("uid", "label", "first", "last", "coverage")
 
 
 def decisions(docs: DataFrame) -> DataFrame:

@@ -21,10 +21,11 @@ _APACHE = (
 )
 
 
-def _gnu(name: str) -> str:
+def _gnu(name: str, version: str = "3", thing: str = "program") -> str:
+    licence = " ".join(f"GNU {name} General Public License".split())
     return (
-        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."
+        f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the {licence} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {licence} for more details."
     )
 
 
@@ -61,7 +62,11 @@ NOTICES = (
     ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("apache-2.0", _APACHE),
-    ("gpl-3.0", _gnu("").replace("  ", " ")),
+    ("gpl-3.0", _gnu("")),
+    ("gpl-2.0", _gnu("", "2")),
+    ("gpl-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("lgpl-2.0", _gnu("Library", "2", "library")),
+    ("lgpl-2.1", _gnu("Lesser", "2.1", "library")),
     ("lgpl-3.0", _gnu("Lesser")),
     ("agpl-3.0", _gnu("Affero")),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),

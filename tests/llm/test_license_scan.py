@@ -23,12 +23,18 @@ def split(text):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
 
+def grams_of(notice, k):
+    t = split(notice)
+    return {j: tuple(t[j : j + k]) for j in range(len(t) - k + 1) if set(t[j : j + k]) - ls.COMMON}
+
+
 def votes(text, k=3, drift=2, coverage=0.75, templates=TEMPLATES):
     words, found, best = split(text or ""), set(), 0.0
-    for label, notice in templates:
-        t = split(notice)
-        voting = [j for j in range(len(t) - k + 1) if set(t[j : j + k]) - ls.COMMON]
-        n = len(voting)
+    grams = [grams_of(notice, k) for _, notice in templates]
+    for (label, notice), own in zip(templates, grams, strict=True):
+        t, voting, n = split(notice), list(own), len(own)
+        apart = [{j for j, g in own.items() if g not in other.values()} for (rival, _), other in zip(templates, grams, strict=True) if rival != label]
+        apart = [a for a in apart if a and len(a) <= n / 2]
         hits = {}
         for i in range(len(words) - k + 1):
             for j in voting:
@@ -41,8 +47,9 @@ def votes(text, k=3, drift=2, coverage=0.75, templates=TEMPLATES):
             spans[-1] += hits[d]
             last = d
         for s in spans:
-            share = len({j for _, j in s}) / n
-            if share >= coverage and max(i for i, _ in s) + k - 1 - min(i for i, _ in s) < 2 * (n + k):
+            covered = {j for _, j in s}
+            share = len(covered) / n
+            if share >= coverage and all(len(covered & a) >= coverage * len(a) for a in apart) and max(i for i, _ in s) + k - 1 - min(i for i, _ in s) < 2 * (n + k):
                 found.add(label)
                 best = max(best, share)
     return found, best
@@ -102,3 +109,28 @@ def test_own_templates_of_any_length(spark):
         got.setdefault(r.doc_id, set()).add(r.label)
     assert {i: votes(t, templates=templates)[0] for i, t in enumerate(texts)} == {i: got.get(i, set()) for i in range(len(texts))}
     assert [got.get(i, set()) for i in range(6)] == [{"long"}, {"long"}, {"long"}, set(), {"short"}, set()]
+
+
+_TERMS = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2}General Public License for more details."
+
+
+def test_headers_that_differ_in_a_word(spark):
+    """GNU headers of every name and version give their own label alone (`gpl` is the base one)."""
+    cases = [
+        (_TERMS.format("program", ";", "", "2"), {"gpl", "gpl-2.0"}),
+        (_TERMS.format("program", ":", "", "3"), {"gpl", "gpl-3.0"}),
+        (_TERMS.format("library", ";", "Lesser ", "2.1"), {"gpl", "lgpl", "lgpl-2.1"}),
+        (_TERMS.format("program", ":", "Lesser ", "3"), {"gpl", "lgpl", "lgpl-3.0"}),
+        (_TERMS.format("program", ":", "Affero ", "3"), {"gpl", "agpl", "agpl-3.0"}),
+        (_TERMS.format("library", ";", "Library ", "2"), {"gpl", "lgpl-2.0"}),
+        ("licensed under the GNU General Public License, version 2.", {"gpl", "gpl-2.0"}),
+        ("licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
+        ("under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", {"gpl", "gpl-2.0"}),
+        ("licensed under the GNU Affero General Public License", {"gpl", "agpl"}),
+        ("licensed under the GNU Lesser General Public License", {"gpl"}),
+        ("licensed under CC BY-NC 4.0 and all", {"cc-by", "cc-by-nc"}),
+    ]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in ls.decisions(docs).collect()}
+    for i, (text, labels) in enumerate(cases):
+        assert got[i] == labels, (text[:90], got[i])
