@@ -63,8 +63,9 @@ PATTERNS = {
     "name": _FREE + rf"(?:{_TITLES})\.? {_WORD}(?: (?:{_WORD}|\p{{Lu}}\.(?= \p{{Lu}})))*+" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without one of these has no mention: a digit, an address sign, or a title.
-_START = rf"[@0-9]|(?=[DFHMPSгΚκ])(?:{_TITLES})\.? \p{{Lu}}"
+#: A text without one of these has no mention: a digit, an address sign, the prefix
+#: of a secret that may have no digit, or a title. (Assigned secrets have a digit.)
+_START = rf"[@0-9]|(?:AKIA|ASIA)[A-Z]|gh[pos]_[A-Za-z]|sk-[A-Za-z_-]|(?=[DFHMPSгΚκ])(?:{_TITLES})\.? \p{{Lu}}"
 
 #: Given names by gender and script, family names by script.
 GIVEN = {
