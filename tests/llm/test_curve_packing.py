@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -17,10 +18,12 @@ def test_chunks_as_whole_texts():
     rng = np.random.default_rng(1)
     letters = list("abcdefgh'ÀÖß éÉ  \n\t .,!0 日  \x1c\x85​")
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(3000)]
+    texts += [" ".join("".join(rng.choice(letters, int(rng.integers(1, 7)))) for _ in range(20)) for _ in range(1000)]
+    texts += [" ".join("".join(rng.choice(list("abé'.,-!5日\n"), int(rng.integers(1, 9)))) for _ in range(20)) for _ in range(1000)]
     texts += [None, "", " ", "  a", "a  ", "it's we'll 's <|endoftext|> x<|endoftext|> <|endoftext|>", "a ́b", "x \U0001f600 y", "word " * 5000, "\ud83d".encode("utf-16", "surrogatepass").decode("utf-16", "replace")]
     tok, coder = Tokenizer.from_file(PATH), cp.ChunkCoder(PATH)
     for at in range(0, len(texts), 500):
-        for t, ids in zip(texts[at : at + 500], coder.encode(texts[at : at + 500], 0), strict=True):
+        for t, ids in zip(texts[at : at + 500], coder.encode(pa.array(texts[at : at + 500], pa.string()), 0), strict=True):
             assert ids.tolist() == tok.encode(t or "", add_special_tokens=False).ids + [0], repr(t)
 
 
