@@ -61,11 +61,10 @@ def modes(events: DataFrame) -> DataFrame:
 
 def published_actions(events: DataFrame) -> DataFrame:
     """Actions that the mode in force at their place lets through: failed ones
-    always, others in full mode. One sorted pass over actions and options."""
-    actions = typed.table(events, "action_completed")
-    both = actions.withColumn("_mode", F.lit(None).cast("string")).withColumn("_act", F.lit(True)).unionByName(modes(events).select("inv", F.col("from_seq").alias("seq"), F.col("mode").alias("_mode"), F.lit(False).alias("_act")), allowMissingColumns=True)
-    known = ordered.as_of(both, ["inv"], F.col("_mode"), ["seq"], "mode").filter("_act")
-    return known.withColumn("mode", F.coalesce("mode", F.lit("lightweight"))).filter("not success or mode = 'full'").drop("_mode", "_act")
+    always, others in full mode. Options events are few: they become intervals that
+    the actions of their invocation fall into, and no action is sorted."""
+    known = ordered.in_force(typed.table(events, "action_completed"), modes(events), ["inv"], "seq", "from_seq", "mode")
+    return known.withColumn("mode", F.coalesce("mode", F.lit("lightweight"))).filter("not success or mode = 'full'")
 
 
 def roots(events: DataFrame) -> DataFrame:
@@ -113,15 +112,16 @@ def root_attributes(events: DataFrame, options: Options = Options()) -> DataFram
 
 def output_counts(events: DataFrame, completed: DataFrame) -> DataFrame:
     """inv, label, output_count and outputs (the first of them): the files that each
-    completed target's sets reach."""
+    completed target's sets reach, by the depth of the set, its id and their place.
+    Sets that several targets name are followed once."""
     sets = ordered.latest(typed.table(events, "named_set").drop("event_time_ns"), ["inv", "set_id"], [F.col("seq")])
     key = lambda s: F.concat_ws("\x01", "inv", s)
     edges = sets.select(key(F.col("set_id")).alias("a"), F.explode("children").alias("c"), "inv").select("a", key(F.col("c")).alias("b"))
     wanted = completed.select("inv", "label", F.explode("file_set_ids").alias("s"))
     reached = traces.closure(edges, wanted.select(key(F.col("s")).alias("r")), "a", "b", "r")
     files = sets.select(key(F.col("set_id")).alias("node"), F.posexplode("files").alias("pos", "file"))
-    by_root = wanted.withColumn("root", key(F.col("s"))).join(reached, "root").select("inv", "label", "node").distinct().join(files, "node")
-    listed = traces.first_and_total(by_root, ["inv", "label"], "file", ["node", "pos", "file"], SHOWN)
+    nearest = wanted.withColumn("root", key(F.col("s"))).join(reached, "root").groupBy("inv", "label", "node").agg(F.min("depth").alias("depth"))
+    listed = traces.first_and_total(nearest.join(files, "node"), ["inv", "label"], "file", ["depth", "node", "pos", "file"], SHOWN)
     return listed.select("inv", "label", F.col("total").alias("output_count"), F.col("shown").alias("outputs"))
 
 
@@ -134,115 +134,194 @@ def _final(df: DataFrame, kind: str, parent: Column, span: Column, name: Column,
     return df.select("inv", "trace_id", span.alias("span_id"), parent.alias("parent_span_id"), F.lit(kind).alias("kind"), name.alias("name"), start.alias("start_ns"), end.alias("end_ns"), state["code"].alias("status_code"), state["description"].alias("status_desc"), attrs.alias("attrs"))
 
 
-def build(events: DataFrame, spawns: DataFrame | None = None, options: Options = Options()) -> DataFrame:
-    """All spans of all invocations. spawns: as exec_log.spawns gives them."""
-    c, root = F.col, traces.stage(roots(events))
-    bounds = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "end_seq", "command", "patterns", "exit_code")
-    shorts = bounds.drop("command", "patterns", "exit_code")
-    upper = lambda seq: c("root_end") if options.clamp == "final" else F.when(c("end_seq") < seq, c("root_end"))
-    label_id = lambda l: ids.span_id(c("trace_id"), "target", l)
-    group_id = lambda g: ids.span_id(c("trace_id"), "group", g)
+def _under_root(df: DataFrame, shorts: DataFrame, options: Options) -> DataFrame:
+    """df with its invocation's trace and bounds; upper is the end that binds it."""
+    upper = F.col("root_end") if options.clamp == "final" else F.when(F.col("end_seq") < F.col("seq"), F.col("root_end"))
+    return df.join(shorts, "inv").withColumn("upper", upper)
 
-    configured = ordered.latest(typed.table(events, "target_configured"), ["inv", "label"], [c("seq")]).withColumnRenamed("event_time_ns", "configured_ns").withColumnRenamed("seq", "configured_seq").withColumnRenamed("tags", "configured_tags")
-    done_rows = typed.table(events, "target_completed", options.missing_target_success)
-    done = ordered.latest(done_rows, ["inv", "label"], [c("seq")]).withColumnRenamed("event_time_ns", "completed_ns").withColumnRenamed("seq", "closed_seq")
-    actions = published_actions(events).drop("event_time_ns")
-    tests = typed.table(events, "test_result")
-    if spawns is not None:
-        candidates = labels.spawn_candidates(c("listed"), F.transform("actual", lambda f: f["path"]))
-        spawns = spawns.withColumns({"norm": labels.normalize_label(F.coalesce("label", F.lit(""))), "mnemonic": F.coalesce("mnemonic", F.lit("")), "candidates": candidates, "first_candidate": F.get(candidates, 0)})
-        keyed = ordered.latest(actions.select("inv", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), F.coalesce("mnemonic", F.lit("")).alias("mnemonic"), F.coalesce("output", F.lit("")).alias("output"), "seq"), ["inv", "norm", "mnemonic", "output"], [c("seq")]).withColumnRenamed("seq", "action_seq")
-        matched = traces.match_ranked(spawns, keyed, ["inv"], ["seq"], "candidates", ["norm", "mnemonic"], "output", "action_seq")
-        orphan = traces.orphans(spawns, matched, ["inv", "seq"], ["inv", "norm", "mnemonic", "first_candidate"], "start_time_ns", "end_time_ns", "label", "seq")
-        first = spawns.join(matched.select("inv", "seq", "action_seq"), ["inv", "seq"]).groupBy("inv", "action_seq").agg(F.count("*").alias("spawn_count"), F.min_by(F.struct("runner", "cache_hit", "remote_cacheable", "digest", *[(c(d) / 1_000_000).cast("long").alias(d) for d in ("executionWallTime", "queueTime", "fetchTime", "networkTime", "uploadTime", "setupTime", "processOutputsTime")]), "seq").alias("s"))
-        logged = spawns.select("inv").distinct().withColumn("has_log", F.lit(True))
-        actions = actions.join(first.withColumnRenamed("action_seq", "seq"), ["inv", "seq"], "left").join(logged, "inv", "left").withColumn("orphan", F.lit(False))
-        lost = orphan.select("inv", "label", "mnemonic", c("first_candidate").alias("output"), "start_ns", "end_ns", c("spawns").alias("spawn_count"), F.lit(True).alias("success"), F.lit(True).alias("orphan"), F.lit(True).alias("has_log"), F.lit(-1).cast("long").alias("seq"))
-        actions = actions.unionByName(lost, allowMissingColumns=True)
-    else:
-        actions = actions.withColumns({"orphan": F.lit(False), "has_log": F.lit(False), "spawn_count": F.lit(None).cast("long"), "s": F.lit(None).cast("struct<runner string, cache_hit boolean, remote_cacheable boolean, digest string>")})
 
-    # targets: configured or completed, plus those known by their children alone
-    seen = traces.lifecycle(configured, done, ["inv", "label"])
-    children = actions.select("inv", "label", "start_ns", "end_ns", "seq").unionByName(tests.select("inv", "label", "start_ns", (c("start_ns") + c("duration_ns")).alias("end_ns"), "seq")).filter("label is not null")
-    placed = traces.parents(children, seen.select("inv", c("label").alias("target")).withColumn("t", c("target")), ["inv"], "label", "target", "t")
-    ranges = traces.child_bounds(placed.select("inv", F.coalesce("parent", "label").alias("label"), "start_ns", "end_ns", "seq"), ["inv", "label"], "start_ns", "end_ns", c("seq")).drop("children")
-    targets = seen.join(ranges, ["inv", "label"], "full").withColumn("synthetic", c("state").isNull()).join(shorts, "inv")
-    targets = targets.join(output_counts(events, done), ["inv", "label"], "left")
-    tested = tests.select("inv", "label").distinct().withColumn("tested", F.lit(True))
-    targets = targets.join(tested, ["inv", "label"], "left").withColumn("cached", F.lit(True))
-    if options.cached_from_spawns and spawns is not None:
-        missed = spawns.filter("not cache_hit").select("inv", "norm").distinct().withColumn("missed", F.lit(True))
-        targets = targets.withColumn("norm", labels.normalize_label(c("label"))).join(missed, ["inv", "norm"], "left").withColumn("cached", c("missed").isNull())
+def _label_id(label: Column) -> Column:
+    return ids.span_id(F.col("trace_id"), "target", label)
+
+
+def _group_id(group: str | Column) -> Column:
+    return ids.span_id(F.col("trace_id"), "group", F.lit(group) if isinstance(group, str) else group)
+
+
+def _action_bounds() -> tuple[Column, Column]:
+    c = F.col
+    return clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), c("upper"))
+
+
+def _action_id() -> Column:
+    c = F.col
+    return ids.span_id(c("trace_id"), "action", c("label"), c("mnemonic"), c("output"), c("seq"))
+
+
+def without_log(actions: DataFrame) -> DataFrame:
+    """Actions of an invocation without an execution log."""
+    return actions.withColumns({"orphan": F.lit(False), "has_log": F.lit(False), "spawn_count": F.lit(None).cast("long"), "s": F.lit(None).cast("struct<runner string, cache_hit boolean, remote_cacheable boolean, digest string>")})
+
+
+def action_spans(acts: DataFrame, options: Options = Options()) -> DataFrame:
+    """Spans of actions that know their owner (a target's label), the owner's end
+    (completed_ns), config_name and what their spawns tell."""
+    c, (s, e) = F.col, _action_bounds()
+    first_of = lambda n: F.when(c("s").isNotNull(), c(f"s.{n}"))
+    attrs = attributes(action__label=c("label"), action__label_short=labels.shorten_label(c("label")), action__mnemonic=c("mnemonic"), action__success=c("success"), action__exit_code=c("exit_code"), action__exit_code_name=c("exit_name"), action__primary_output=c("output"), action__configuration=c("config_name"), action__command_line=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), action__stdout=text.bytestream_display(c("stdout")), action__stderr=text.bytestream_display(c("stderr")), action__spawn__count=F.when(c("has_log"), F.coalesce("spawn_count", F.lit(0).cast("long"))), action__spawn__missing=F.when(c("has_log") & c("spawn_count").isNull(), True), action__spawn__runner=first_of("runner"), action__spawn__cache_hit=first_of("cache_hit"), action__spawn__remote_cacheable=first_of("remote_cacheable"), action__spawn__digest=first_of("digest"))
+    state = status.success_status(F.when(~c("orphan"), c("success")), "Action failed")
+    return _final(acts, "action", F.when(c("label").isNotNull(), _label_id(c("owner"))).otherwise(c("root_id")), _action_id(), labels.action_name(c("mnemonic"), c("label"), c("orphan")), s, e, state, attrs)
+
+
+def test_spans(tests: DataFrame) -> DataFrame:
+    """Spans of tests that know their owner."""
+    c = F.col
+    s, e = clamp(c("start_ns"), c("start_ns") + c("duration_ns"), c("root_start"), c("upper"))
+    attrs = attributes(test__status=c("status"), test__attempt=c("attempt"), test__run=c("run"), test__shard=c("shard"), test__cached_locally=c("cached"), test__cached_remotely=c("cached_remotely"), test__strategy=c("strategy"), test__hostname=c("host"), target__label=c("label"))
+    return _final(tests, "test", _label_id(c("owner")), ids.span_id(c("trace_id"), "test", c("label"), c("attempt"), c("run"), c("shard"), c("seq")), labels.test_name(c("label"), c("attempt"), c("run"), c("shard")), s, e, status.test_status(c("status")), attrs)
+
+
+def fetch_spans(fetched: DataFrame) -> DataFrame:
+    c, arrival = F.col, F.coalesce("event_time_ns", "root_start")
+    attrs = attributes(fetch__url=c("url"), fetch__success=c("success"), fetch__downloader=c("downloader"))
+    return _final(fetched, "fetch", _group_id("fetches"), ids.span_id(c("trace_id"), "fetch", c("url"), c("seq")), labels.fetch_name(c("url")), arrival, arrival + 1_000_000, status.success_status(c("success"), "fetch failed"), attrs)
+
+
+def target_spans(targets: DataFrame) -> DataFrame:
+    c = F.col
     skipped = F.coalesce("aborted", F.lit(False))
     start = F.when(c("synthetic"), c("child_start")).when(skipped, c("completed_ns")).otherwise(F.coalesce("configured_ns", "child_start", "root_start"))
     end = F.when(c("synthetic"), c("child_end")).otherwise(F.coalesce("completed_ns", "root_end"))
-    s, e = clamp(start, end, c("root_start"), upper(c("closed_seq")))
-    outside = labels.is_external(c("label"))
-    parent = F.when(skipped, group_id(F.lit("skipped targets"))).when(outside, group_id(F.lit("external deps"))).otherwise(c("root_id"))
+    s, e = clamp(start, end, c("root_start"), c("upper"))
+    parent = F.when(skipped, _group_id("skipped targets")).when(labels.is_external(c("label")), _group_id("external deps")).otherwise(c("root_id"))
     state = F.when(c("synthetic") | skipped, F.lit(None).cast("boolean")).otherwise(c("success"))
     tags = F.when(F.size("tags") > 0, c("tags")).otherwise(c("configured_tags"))
-    target_attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__cached=F.when(c("tested").isNull() & ~skipped & ~c("synthetic"), c("cached")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), SHOWN, total=c("output_count")))
-    target_spans = _final(targets, "target", parent, label_id(c("label")), labels.target_name(c("label")), s, e, status.success_status(state, "target failed"), target_attrs)
+    attrs = attributes(target__label=c("label"), target__label_short=labels.shorten_label(c("label")), target__kind=c("kind"), target__test_size=c("test_size"), target__tags=F.array_join(tags, ", "), target__success=F.when(~skipped, c("success")), target__cached=F.when(c("tested").isNull() & ~skipped & ~c("synthetic"), c("cached")), target__abort_reason=c("reason"), target__abort_description=c("description"), target__synthetic=F.when(c("synthetic"), True), target__output_count=c("output_count"), target__output_files=text.first_and_count(c("outputs"), SHOWN, total=c("output_count")))
+    return _final(targets, "target", parent, _label_id(c("label")), labels.target_name(c("label")), s, e, status.success_status(state, "target failed"), attrs)
 
-    # children of targets
-    at = seen.select("inv", c("label").alias("target"), c("label").alias("t"), "completed_ns")
-    ends = at.select("inv", c("t").alias("owner"), "completed_ns")
 
-    def under(df: DataFrame) -> DataFrame:
-        found = traces.parents(df, at, ["inv"], "label", "target", "t")
-        return found.withColumn("owner", F.coalesce("parent", "label")).join(ends, ["inv", "owner"], "left").join(shorts, "inv")
+def aborted_spans(stopped: DataFrame, options: Options = Options()) -> DataFrame:
+    c = F.col
+    state = status.aborted_status(c("description")) if options.aborted_labels == "error_span" else status.success_status(F.lit(None).cast("boolean"), "")
+    return _final(stopped, "target", _group_id("skipped targets"), ids.span_id(c("trace_id"), "aborted", c("label"), c("seq")), labels.target_name(c("label")), F.lit(None).cast("long"), c("event_time_ns"), state, attributes(target__label=c("label"), target__abort_reason=c("reason"), target__abort_description=c("description")))
 
-    configs = ordered.latest(typed.table(events, "configuration").select("inv", "id", "mnemonic", "seq"), ["inv", "id"], [c("seq")]).select("inv", c("id").alias("configuration"), c("mnemonic").alias("config_mnemonic"))
-    acts = traces.named(under(actions), configs, ["inv"], "configuration", "config_mnemonic", "config_name")
-    s, e = clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), upper(c("seq")))
-    first_of = lambda n: F.when(c("s").isNotNull(), c(f"s.{n}"))
-    action_attrs = attributes(action__label=c("label"), action__label_short=labels.shorten_label(c("label")), action__mnemonic=c("mnemonic"), action__success=c("success"), action__exit_code=c("exit_code"), action__exit_code_name=c("exit_name"), action__primary_output=c("output"), action__configuration=c("config_name"), action__command_line=text.truncate_bytes(F.array_join(options.redactor.args(c("args")), " "), text.ATTRIBUTE_BYTES, "...(truncated)"), action__stdout=text.bytestream_display(c("stdout")), action__stderr=text.bytestream_display(c("stderr")), action__spawn__count=F.when(c("has_log"), F.coalesce("spawn_count", F.lit(0).cast("long"))), action__spawn__missing=F.when(c("has_log") & c("spawn_count").isNull(), True), action__spawn__runner=first_of("runner"), action__spawn__cache_hit=first_of("cache_hit"), action__spawn__remote_cacheable=first_of("remote_cacheable"), action__spawn__digest=first_of("digest"))
-    action_id = ids.span_id(c("trace_id"), "action", c("label"), c("mnemonic"), c("output"), c("seq"))
-    action_state = status.success_status(F.when(~c("orphan"), c("success")), "Action failed")
-    action_spans = _final(acts, "action", F.when(c("label").isNotNull(), label_id(c("owner"))).otherwise(c("root_id")), action_id, labels.action_name(c("mnemonic"), c("label"), c("orphan")), s, e, action_state, action_attrs)
 
-    t = under(tests)
-    s, e = clamp(c("start_ns"), c("start_ns") + c("duration_ns"), c("root_start"), upper(c("seq")))
-    test_attrs = attributes(test__status=c("status"), test__attempt=c("attempt"), test__run=c("run"), test__shard=c("shard"), test__cached_locally=c("cached"), test__cached_remotely=c("cached_remotely"), test__strategy=c("strategy"), test__hostname=c("host"), target__label=c("label"))
-    test_spans = _final(t, "test", label_id(c("owner")), ids.span_id(c("trace_id"), "test", c("label"), c("attempt"), c("run"), c("shard"), c("seq")), labels.test_name(c("label"), c("attempt"), c("run"), c("shard")), s, e, status.test_status(c("status")), test_attrs)
+def spawn_spans(owned: DataFrame, options: Options = Options()) -> DataFrame:
+    """Spans of spawns that know their action's span and bounds (a_start, a_end)."""
+    c = F.col
+    timed = F.when(c("totalTime").isNotNull(), c("start_time_ns"))
+    s, e = clamp(timed, timed + c("totalTime"), c("a_start"), c("a_end"))
+    return _final(owned, "spawn", c("action_span"), ids.span_id(c("trace_id"), "spawn", c("seq")), labels.spawn_name(c("mnemonic"), c("args"), c("listed"), F.transform("actual", lambda f: f["path"])), s, e, status.spawn_status(c("exit_code"), c("status")), spawn_attributes(options))
+
+
+def spawn_keys(spawns: DataFrame) -> DataFrame:
+    """spawns with what they may know their action by."""
+    candidates = labels.spawn_candidates(F.col("listed"), F.transform("actual", lambda f: f["path"]))
+    return spawns.withColumns({"norm": labels.normalize_label(F.coalesce("label", F.lit(""))), "mnemonic": F.coalesce("mnemonic", F.lit("")), "candidates": candidates, "first_candidate": F.get(candidates, 0)})
+
+
+#: What an action takes from its first spawn.
+TOLD = ("runner", "cache_hit", "remote_cacheable", "digest")
+
+
+@dataclass(frozen=True)
+class Early:
+    """What a live run has already handed on, told in few rows.
+
+    children: inv, kind (action, test or fetch), label, start_ns, end_ns, seq, at
+    least the first and the last child of each label. spawns: inv, action_seq,
+    spawn_count, seq (of the first), s (what it tells) and norm and missed (whether
+    one missed the cache), a row an action."""
+
+    children: DataFrame
+    spawns: DataFrame | None = None
 
-    fetched = typed.table(events, "fetch").join(shorts, "inv")
-    arrival = F.coalesce("event_time_ns", "root_start")
-    fetch_spans = _final(fetched, "fetch", group_id(F.lit("fetches")), ids.span_id(c("trace_id"), "fetch", c("url"), c("seq")), labels.fetch_name(c("url")), arrival, arrival + 1_000_000, status.success_status(c("success"), "fetch failed"), attributes(fetch__url=c("url"), fetch__success=c("success"), fetch__downloader=c("downloader")))
 
-    stopped = typed.table(events, "aborted_label").join(shorts, "inv")
-    aborted_spans = _final(stopped, "target", group_id(F.lit("skipped targets")), ids.span_id(c("trace_id"), "aborted", c("label"), c("seq")), labels.target_name(c("label")), F.lit(None).cast("long"), c("event_time_ns"), status.aborted_status(c("description")) if options.aborted_labels == "error_span" else status.success_status(F.lit(None).cast("boolean"), ""), attributes(target__label=c("label"), target__abort_reason=c("reason"), target__abort_description=c("description")))
+def build(events: DataFrame, spawns: DataFrame | None = None, options: Options = Options(), early: Early | None = None) -> DataFrame:
+    """All spans of all invocations. spawns: as exec_log.spawns gives them. early:
+    spans that are out already count as children, but are not built again.
 
-    whole = target_spans.unionByName(action_spans).unionByName(test_spans).unionByName(fetch_spans).unionByName(aborted_spans)
+    What several branches use is staged once: roots, published actions, targets,
+    the owner of each label, spawns with the action that they match."""
+    c, root = F.col, traces.stage(roots(events))
+    shorts = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "end_seq")
+
+    configured = ordered.latest(typed.table(events, "target_configured"), ["inv", "label"], [c("seq")]).withColumnRenamed("event_time_ns", "configured_ns").withColumnRenamed("seq", "configured_seq").withColumnRenamed("tags", "configured_tags")
+    done_rows = typed.table(events, "target_completed", options.missing_target_success)
+    done = ordered.latest(done_rows, ["inv", "label"], [c("seq")]).withColumnRenamed("event_time_ns", "completed_ns").withColumnRenamed("seq", "closed_seq")
+    seen = traces.stage(traces.lifecycle(configured, done, ["inv", "label"]))
+    actions = traces.stage(published_actions(events).drop("event_time_ns"))
+    tests = typed.table(events, "test_result")
+    placed = None
     if spawns is not None:
-        to_action = matched.select("inv", "seq", "action_seq").join(action_rows(acts, action_id), ["inv", "action_seq"])
-        to_orphan = spawns.join(matched.select("inv", "seq"), ["inv", "seq"], "left_anti").join(action_rows(acts.filter("orphan"), action_id, orphan=True), ["inv", "norm", "mnemonic", "first_candidate"]).select("inv", "seq", "action_span", "a_start", "a_end")
-        owned = spawns.join(to_action.select("inv", "seq", "action_span", "a_start", "a_end").unionByName(to_orphan), ["inv", "seq"]).join(shorts, "inv")
-        timed = F.when(c("totalTime").isNotNull(), c("start_time_ns"))
-        s, e = clamp(timed, timed + c("totalTime"), c("a_start"), c("a_end"))
-        whole = whole.unionByName(_final(owned, "spawn", c("action_span"), ids.span_id(c("trace_id"), "spawn", c("seq")), labels.spawn_name(c("mnemonic"), c("args"), c("listed"), F.transform("actual", lambda f: f["path"])), s, e, status.spawn_status(c("exit_code"), c("status")), spawn_attributes(options)))
+        spawns = spawn_keys(spawns)
+        keyed = ordered.latest(actions.select("inv", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), F.coalesce("mnemonic", F.lit("")).alias("mnemonic"), F.coalesce("output", F.lit("")).alias("output"), "seq"), ["inv", "norm", "mnemonic", "output"], [c("seq")]).withColumnRenamed("seq", "action_seq")
+        spawns = traces.stage(spawns)
+        matched = traces.match_ranked(spawns, keyed, ["inv"], ["seq"], "candidates", ["norm", "mnemonic"], "output", "action_seq").drop("rank")
+        placed = traces.stage(spawns.drop("candidates").join(matched, ["inv", "seq"], "left"))
+        lone = placed.filter("action_seq is null")
+        orphan = lone.groupBy("inv", "norm", "mnemonic", "first_candidate").agg(F.min("start_time_ns").alias("start_ns"), F.max("end_time_ns").alias("end_ns"), F.count("*").alias("spawn_count"), F.min_by("label", "seq").alias("label"))
+        told = placed.filter("action_seq is not null").select("inv", "action_seq", F.lit(1).cast("long").alias("spawn_count"), "seq", F.struct(*TOLD).alias("s"))
+        logged = placed.select("inv")
+        if early is not None and early.spawns is not None:
+            told, logged = told.unionByName(early.spawns.select(*told.columns)), logged.unionByName(early.spawns.select("inv"))
+        first = told.groupBy("inv", c("action_seq").alias("seq")).agg(F.sum("spawn_count").alias("spawn_count"), F.min_by("s", told["seq"]).alias("s"))
+        actions = actions.join(first, ["inv", "seq"], "left").join(logged.distinct().withColumn("has_log", F.lit(True)), "inv", "left").withColumns({"orphan": F.lit(False), "has_log": F.coalesce("has_log", F.lit(False))})
+        lost = orphan.select("inv", "label", "mnemonic", c("first_candidate").alias("output"), "start_ns", "end_ns", "spawn_count", F.lit(True).alias("success"), F.lit(True).alias("orphan"), F.lit(True).alias("has_log"), F.lit(-1).cast("long").alias("seq"))
+        actions = traces.stage(actions.unionByName(lost, allowMissingColumns=True))
+    else:
+        actions = without_log(actions)
+
+    # whose child is a label: a target of that label, or of its normal form, or one known by its children alone
+    children = actions.select("inv", "label", "start_ns", "end_ns", "seq").unionByName(tests.select("inv", "label", "start_ns", (c("start_ns") + c("duration_ns")).alias("end_ns"), "seq")).filter("label is not null")
+    tested = tests.select("inv", "label")
+    if early is not None:
+        children = children.unionByName(early.children.filter("kind <> 'fetch' and label is not null").select(*children.columns))
+        tested = tested.unionByName(early.children.filter("kind = 'test'").select("inv", "label"))
+    found = traces.parents(children.select("inv", "label").distinct(), seen.select("inv", c("label").alias("target"), c("label").alias("t")), ["inv"], "label", "target", "t")
+    owners = traces.stage(found.select("inv", "label", F.coalesce("parent", "label").alias("owner")).join(seen.select("inv", c("label").alias("owner"), "completed_ns"), ["inv", "owner"], "left"))
+    ranges = traces.child_bounds(children.join(owners, ["inv", "label"]).select("inv", c("owner").alias("label"), "start_ns", "end_ns", "seq"), ["inv", "label"], "start_ns", "end_ns", c("seq")).drop("children")
+    targets = seen.join(ranges, ["inv", "label"], "full").withColumn("synthetic", c("state").isNull())
+    targets = targets.join(output_counts(events, done), ["inv", "label"], "left")
+    targets = targets.join(tested.distinct().withColumn("tested", F.lit(True)), ["inv", "label"], "left").withColumn("cached", F.lit(True))
+    if options.cached_from_spawns and placed is not None:
+        missed = placed.filter("not cache_hit").select("inv", "norm")
+        missed = missed if early is None or early.spawns is None else missed.unionByName(early.spawns.filter("missed").select("inv", "norm"))
+        targets = targets.withColumn("norm", labels.normalize_label(c("label"))).join(missed.distinct().withColumn("missed", F.lit(True)), ["inv", "norm"], "left").withColumn("cached", c("missed").isNull())
+    whole = target_spans(_under_root(targets.withColumn("seq", c("closed_seq")), shorts, options))
+
+    configs = ordered.latest(typed.table(events, "configuration").select("inv", "id", "mnemonic", "seq"), ["inv", "id"], [c("seq")]).select("inv", c("id").alias("configuration"), c("mnemonic").alias("config_mnemonic"))
+    acts = _under_root(traces.named(actions.join(owners, ["inv", "label"], "left"), configs, ["inv"], "configuration", "config_mnemonic", "config_name"), shorts, options)
+    whole = whole.unionByName(action_spans(acts, options))
+    whole = whole.unionByName(test_spans(_under_root(tests.join(owners, ["inv", "label"]), shorts, options)))
+    whole = whole.unionByName(fetch_spans(_under_root(typed.table(events, "fetch"), shorts, options)))
+    whole = whole.unionByName(aborted_spans(_under_root(typed.table(events, "aborted_label"), shorts, options), options))
+    if placed is not None:
+        known = traces.stage(action_rows(acts))
+        to_action = placed.filter("action_seq is not null").join(known.filter("not orphan").select("inv", c("seq").alias("action_seq"), "action_span", "a_start", "a_end"), ["inv", "action_seq"])
+        to_orphan = placed.filter("action_seq is null").join(known.filter("orphan").drop("seq", "orphan"), ["inv", "norm", "mnemonic", "first_candidate"])
+        whole = whole.unionByName(spawn_spans(_under_root(to_action.unionByName(to_orphan.select(*to_action.columns)), shorts, options), options))
 
     whole = traces.stage(whole)  # the group spans are told by their children
     groups = whole.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns")
+    if early is not None:
+        groups = groups.unionByName(early.children.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns"))
     open_targets = whole.filter("kind = 'target' and start_ns is not null")
     groups = groups.unionByName(open_targets.join(shorts.select("inv", "root_id"), "inv").filter("parent_span_id <> root_id").select("inv", F.when(c("status_code").isNotNull() & c("attrs").getItem(f"{TOOL}.target.abort_reason").isNotNull(), "skipped targets").otherwise("external deps").alias("g"), "start_ns"))
     groups = groups.unionByName(whole.filter("kind = 'target' and start_ns is null").select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
     grouped = traces.groups(groups, ["inv"], "g", "start_ns").join(shorts, "inv")
-    group_spans = _final(grouped, "group", c("root_id"), group_id(c("g")), c("g"), F.coalesce("first", "root_start"), c("root_end"), status.success_status(F.when(c("g") != "skipped targets", True), ""), F.create_map().cast("map<string,string>"))
+    group_spans = _final(grouped, "group", c("root_id"), _group_id(c("g")), c("g"), F.coalesce("first", "root_start"), c("root_end"), status.success_status(F.when(c("g") != "skipped targets", True), ""), F.create_map().cast("map<string,string>"))
 
     attrs = root_attributes(events, options)
-    root_rows = bounds.join(attrs, "inv", "left")
+    root_rows = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "command", "patterns", "exit_code").join(attrs, "inv", "left")
     root_spans = _final(root_rows, "root", F.lit(None).cast("string"), c("root_id"), labels.root_name(c("command"), c("patterns"), TOOL), c("root_start"), c("root_end"), status.root_status(c("exit_code")), F.coalesce("attrs", F.create_map().cast("map<string,string>")))
     return root_spans.unionByName(group_spans).unionByName(whole).select(*_SPAN)
 
 
-def action_rows(acts: DataFrame, action_id: Column, orphan: bool = False) -> DataFrame:
-    """What spawns need of their action: id and bounds."""
-    c = F.col
-    s, e = clamp(c("start_ns"), F.coalesce("end_ns", "completed_ns", "root_end"), c("root_start"), c("root_end"))
-    key = [labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), c("mnemonic"), c("output").alias("first_candidate")] if orphan else [c("seq").alias("action_seq")]
-    return acts.filter("orphan" if orphan else "not orphan").select("inv", *key, action_id.alias("action_span"), s.alias("a_start"), e.alias("a_end"))
+def action_rows(acts: DataFrame) -> DataFrame:
+    """What spawns need of their action: id, bounds, and what an orphan is known by."""
+    c, (s, e) = F.col, _action_bounds()
+    return acts.select("inv", "seq", "orphan", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), "mnemonic", c("output").alias("first_candidate"), _action_id().alias("action_span"), s.alias("a_start"), e.alias("a_end"))
 
 
 def spawn_attributes(options: Options) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import TRUNCATED, tail_bytes
+from .staging import stage
 
 
 def running(keys: list[str], order: list) -> WindowSpec:
@@ -31,6 +32,33 @@ def as_of(df: DataFrame, keys: list[str], value: Column, order: list, name: str)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(running(keys, order)))
 
 
+def in_force(rows: DataFrame, changes: DataFrame, keys: list[str], seq: str, since: str, value: str) -> DataFrame:
+    """rows with `value`, the last one that changes (keys, since, value) set at or
+    before their seq, null before the first. Changes are few: they alone are sorted,
+    into intervals, and meet the rows of their key in a hash join; rows are not
+    sorted, and those of a key that holds many are split by the skew join."""
+    after = Window.partitionBy(*keys).orderBy(since)
+    spans = changes.groupBy(*keys, since).agg(F.max(value).alias(value)).withColumn("_until", F.lead(since).over(after))
+    facts = spans.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(since).alias("_since"), "_until", F.col(value).alias("_value"))
+    at = (F.col("_since") <= F.col(seq)) & (F.col("_until").isNull() | (F.col("_until") > F.col(seq)))
+    for k in keys:
+        at = at & (F.col(k) == F.col(f"_k_{k}"))
+    return rows.join(facts.hint("shuffle_hash"), at, "left").select(*rows.columns, F.col("_value").alias(value))
+
+
+def numbered(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their number within the key, by a sort over ranges: a key with most
+    of the rows lies in many ranges, and what each has before it comes from counts.
+    Staged once sorted, so numbers and rows see the same places."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stage(rows.repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ahead = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_ahead"))
+    met = placed.join(ahead, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return met.select(*rows.columns, (F.col("_at") + F.col("_ahead") + 1).alias(name))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key, as an overwritten map entry. Aggregated before
     the shuffle, so a hot key is one row a task."""

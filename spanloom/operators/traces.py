@@ -5,33 +5,13 @@ is not bounded by the schema are joined without hints and left to AQE."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import normalize_label
 from ..functions.times import clamp
-
-
-def stage(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Cut lineage with a table in the folder of spark.checkpoint.dir, partitioned
-    `by` a column if given. A local session without that setting, as in tests, gets
-    a folder of its own; on a cluster the setting must be there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
-        base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .ordered import numbered
+from .staging import stage
 
 
 def lifecycle(configured: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,8 +73,9 @@ def named(rows: DataFrame, names: DataFrame, keys: list[str], key: str, name: st
 
 def child_bounds(children: DataFrame, keys: list[str], start: str, end: str, seq: Column) -> DataFrame:
     """What a parent known by its children alone takes from them: the start of the
-    first that has one, the last end, and how many there are."""
-    return children.groupBy(*keys).agg(F.min_by(start, F.when(F.col(start).isNotNull(), seq)).alias("child_start"), F.max(end).alias("child_end"), F.count("*").alias("children"))
+    first that has one (of equal seq the earliest), the last end, and how many there are."""
+    first = F.when(F.col(start).isNotNull(), F.struct(seq.alias("seq"), F.col(start).alias("start")))
+    return children.groupBy(*keys).agg(F.min_by(start, first).alias("child_start"), F.max(end).alias("child_end"), F.count("*").alias("children"))
 
 
 def groups(children: DataFrame, keys: list[str], group: str, start: str) -> DataFrame:
@@ -112,19 +93,21 @@ def first_and_total(rows: DataFrame, keys: list[str], item: str, order: list[str
 
 
 def closure(edges: DataFrame, roots: DataFrame, parent: str, child: str, root: str, rounds: int | None = None) -> DataFrame:
-    """(root, node) for all nodes that a root reaches, itself included, cycles and
-    diamonds once. Each round joins the frontier alone; rounds are staged, so the
-    plan stays short and survives lost executors. It ends when a round adds nothing;
-    `rounds`, if given, stops the job beyond that depth."""
+    """(root, node, depth) for all nodes that a root reaches, itself included (depth
+    0), cycles and diamonds once, at the depth of the first visit. Each round joins
+    the frontier alone; rounds are staged, so the plan stays short and survives lost
+    executors. It ends when a round adds nothing; `rounds`, if given, stops the job
+    beyond that depth. Roots that are given several times are followed once."""
     step = edges.select(F.col(parent).alias("node"), F.col(child).alias("_next")).distinct()
-    frontier = stage(roots.select(F.col(root).alias("root"), F.col(root).alias("node")).distinct())
+    frontier = stage(roots.select(F.col(root).alias("root"), F.col(root).alias("node")).distinct().withColumn("depth", F.lit(0)))
     done, depth = frontier, 0
     while rounds is None or depth < rounds:
+        depth += 1
         reached = frontier.join(step, "node").select("root", F.col("_next").alias("node")).distinct()
-        frontier = stage(reached.join(done, ["root", "node"], "left_anti"))
+        frontier = stage(reached.join(done, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return done
-        done, depth = done.unionByName(frontier), depth + 1
+        done = done.unionByName(frontier)
     raise RuntimeError("closure deeper than the allowed rounds")
 
 
@@ -143,18 +126,55 @@ def trace_check(spans: DataFrame, trace: str, span_id: str, parent: str, name: s
     return by_id.groupBy(trace).agg(F.sum("spans").alias("span_count"), F.bool_or("root").alias("has_root"), F.coalesce(F.sum(F.when(F.col("spans") == 0, F.col("used"))), F.lit(0).cast("long")).alias("dangling"))
 
 
-def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: str, end: str, levels: int = 5) -> DataFrame:
+def depths(links: DataFrame) -> DataFrame:
+    """links (trace, id, up) with depth, 0 for a root, null for what no root is over:
+    spans below a missing parent or in a cycle. Pointer doubling: each round joins
+    every open span to the one that its pointer shows, which doubles the distance,
+    so a tree of depth d takes log2(d) rounds. Rounds carry ids alone and are staged;
+    a cycle stays open, and ends when the distance exceeds the largest trace."""
+    c, whole = F.col, links
+    now = stage(links.select("trace", "id", c("up").alias("at"), F.lit(1).alias("steps")))
+    done, open_ = now.filter("at is null"), now.filter("at is not null")
+    reach, most = 1, None
+    while not open_.isEmpty():
+        if most is None and reach >= 4:  # deeper than most: how far can it go
+            most = whole.groupBy("trace").count().agg(F.max("count")).first()[0]
+        if most is not None and reach > most:
+            break
+        known = done.unionByName(open_).select(c("trace").alias("_t"), c("id").alias("_i"), c("at").alias("_at"), c("steps").alias("_steps"))
+        met = open_.join(known, (c("trace") == c("_t")) & (c("at") == c("_i")))  # who points at nothing leaves
+        moved = stage(met.select("trace", "id", c("_at").alias("at"), (c("steps") + c("_steps")).alias("steps")))
+        done, open_ = done.unionByName(moved.filter("at is null")), moved.filter("at is not null")
+        reach *= 2
+    return links.join(done.select("trace", "id", (c("steps") - 1).alias("depth")), ["trace", "id"], "left")
+
+
+def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: str, end: str) -> DataFrame:
     """spans with depth (0 for a root) and place: their number in the trace, parents
-    before children, siblings by start (those without one by their end). Ancestors
-    are found by one join a level; a span that no root is over has no depth and
-    comes after all others."""
+    before children, siblings by start (those without one by their end), then id.
+    Trees may have any depth. A span that no root is over, be its parent missing or
+    in a cycle, has no depth and comes after all others.
+
+    Depths come from pointer doubling over ids. Then each span's path (start and id
+    of each ancestor, which sort as they stand) doubles in the same way, as many
+    rounds as the deepest tree needs; spans are numbered by trace and path over
+    ranges, and meet their other columns once, at the end. A path is as long as its
+    span is deep. Rows of one trace and id are one span, with one place; rows
+    without a trace or id have neither depth nor place."""
+    c = F.col
     at = F.coalesce(F.col(start), F.col(end), F.lit(0).cast("long"))
-    up = spans.select(F.col(trace).alias("_t"), F.col(span_id).alias("_id"), F.col(parent).alias("_up"), at.alias("_at"))
-    found = spans.withColumns({"_next": F.col(parent), "_path": F.array(F.struct(at.alias("at"), F.col(span_id).alias("id")))})
-    for _ in range(levels - 1):
-        joined = found.join(up, (F.col(trace) == F.col("_t")) & (F.col("_next") == F.col("_id")), "left")
-        longer = F.when(F.col("_id").isNotNull(), F.concat(F.array(F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))), F.col("_path"))).otherwise(F.col("_path"))
-        found = joined.withColumns({"_path": longer, "_next": F.when(F.col("_id").isNotNull(), F.col("_up")).otherwise(F.col("_next"))}).drop("_t", "_id", "_up", "_at")
-    depth = F.when(F.col("_next").isNull(), F.size("_path") - 1)
-    order = Window.partitionBy(trace).orderBy(F.col("depth").isNull(), "_path")
-    return found.withColumn("depth", depth).withColumn("place", F.row_number().over(order)).drop("_next", "_path")
+    step = F.concat(F.lpad(F.hex(at.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0"), F.hex(F.encode(F.col(span_id).cast("string"), "utf-8")), F.lit("."))
+    each = spans.select(F.col(trace).alias("trace"), F.col(span_id).alias("id"), F.struct(F.col(parent).alias("up"), step.alias("path")).alias("own")).filter("trace is not null and id is not null")
+    links = stage(each.groupBy("trace", "id").agg(F.min("own").alias("own")).select("trace", "id", "own.*"))
+    known = stage(depths(links.select("trace", "id", "up")).join(links.select("trace", "id", "path"), ["trace", "id"]))
+    deepest = known.agg(F.max("depth")).first()[0] or 0
+    paths = known.withColumn("up", F.when(c("depth").isNotNull(), c("up")))
+    reach = 1
+    while reach <= deepest:
+        ahead = paths.select(c("trace").alias("_t"), c("id").alias("_i"), c("up").alias("_up"), c("path").alias("_path"))
+        met = paths.join(ahead, (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
+        paths = stage(met.select("trace", "id", c("_up").alias("up"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"), "depth"))
+        reach *= 2
+    placed = numbered(paths.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), "path"), "trace", [c("_lost"), c("path")], "place")
+    told = placed.select(c("trace").alias("_t"), c("id").alias("_i"), "depth", c("place").cast("int").alias("place"))
+    return spans.join(told, (F.col(trace) == c("_t")) & (F.col(span_id) == c("_i")), "left").drop("_t", "_i")

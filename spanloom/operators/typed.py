@@ -5,6 +5,8 @@ and 64-bit integers come quoted or bare."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,18 @@ def raw_table(events: DataFrame, kind: str) -> DataFrame:
     return got.select(*_BASE, *[F.try_variant_get("v", path, of).alias(name) for name, (path, of) in columns.items()])
 
 
+def times(kind: str, at: Callable[[str], Column]) -> dict[str, Column]:
+    """Start, end and duration of a kind in nanoseconds, from its listed columns."""
+    if kind == "started":
+        return {"start_ns": F.coalesce(at("event_time_ns"), rfc3339_nanos(at("start_text")), at("start_ms") * 1_000_000)}
+    if kind == "action_completed":
+        return {n: F.coalesce(at(n), rfc3339_nanos(at(f"{n[:-3]}_text"))) for n in ("start_ns", "end_ns")}
+    if kind == "test_result":
+        seconds = F.regexp_extract(at("duration_text"), r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)")
+        return {"start_ns": F.coalesce(at("start_ns"), rfc3339_nanos(at("start_text"))), "duration_ns": F.coalesce(at("duration_ns"), (seconds * 1_000_000_000).cast("long"))}
+    return {}
+
+
 def _blank(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
@@ -58,8 +72,7 @@ def table(events: DataFrame, kind: str, missing_target_success: bool = True) ->
     lists = [n for n, (_, of) in KINDS[kind][1].items() if of == _TEXTS]
     raw = raw.withColumns({n: F.coalesce(F.filter(n, lambda x: x.isNotNull()), F.array().cast(_TEXTS)) for n in lists}) if lists else raw
     if kind == "started":
-        start = F.coalesce(rfc3339_nanos(F.col("start_text")), F.col("start_ms") * 1_000_000)
-        return raw.withColumns({"command": F.coalesce(_blank("command"), F.lit("unknown")), "start_ns": F.coalesce("event_time_ns", start), "host": _blank("host"), "user": _blank("user")}).drop("start_ms", "start_text")
+        return raw.withColumns({"command": F.coalesce(_blank("command"), F.lit("unknown")), **times(kind, F.col), "host": _blank("host"), "user": _blank("user")}).drop("start_ms", "start_text")
     if kind == "build_finished":
         return raw.withColumn("finish_ns", F.coalesce(rfc3339_nanos(F.col("finish_text")), F.col("finish_ms") * 1_000_000)).drop("finish_ms", "finish_text")
     if kind == "workspace_status":
@@ -73,15 +86,12 @@ def table(events: DataFrame, kind: str, missing_target_success: bool = True) ->
         files = F.transform("files", lambda f: F.coalesce(F.nullif(f["name"], F.lit("")), f["uri"]))
         return raw.withColumns({"files": F.coalesce(F.filter(files, lambda f: f.isNotNull()), F.array().cast(_TEXTS)), "children": F.coalesce(F.transform("children", lambda c: c["id"]), F.array().cast(_TEXTS))})
     if kind == "action_completed":
-        times = {"start_ns": F.coalesce("start_ns", rfc3339_nanos(F.col("start_text"))), "end_ns": F.coalesce("end_ns", rfc3339_nanos(F.col("end_text")))}
         plain = lambda c: F.coalesce(F.col(f"{c}_uri"), F.when(~F.startswith(c, F.lit("{")), F.col(c)))
-        return raw.withColumns(times | {"success": F.coalesce("success", F.lit(False)), "exit_name": _blank("exit_name"), "stdout": plain("stdout"), "stderr": plain("stderr")}).drop("start_text", "end_text", "stdout_uri", "stderr_uri")
+        return raw.withColumns(times(kind, F.col) | {"success": F.coalesce("success", F.lit(False)), "exit_name": _blank("exit_name"), "stdout": plain("stdout"), "stderr": plain("stderr")}).drop("start_text", "end_text", "stdout_uri", "stderr_uri")
     if kind == "fetch":
         return raw.withColumn("success", F.coalesce("success", F.lit(False)))
     if kind == "test_result":
-        seconds = F.regexp_extract("duration_text", r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)")
-        times = {"start_ns": F.coalesce("start_ns", rfc3339_nanos(F.col("start_text"))), "duration_ns": F.coalesce("duration_ns", (seconds * 1_000_000_000).cast("long"))}
-        return raw.withColumns(times | {"host": _blank("host")}).drop("start_text", "duration_text").filter("label is not null")
+        return raw.withColumns(times(kind, F.col) | {"host": _blank("host")}).drop("start_text", "duration_text").filter("label is not null")
     if kind == "progress":
         return raw.filter("coalesce(stdout, '') <> '' or coalesce(stderr, '') <> ''")
     if kind == "aborted_label":

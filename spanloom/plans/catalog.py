@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, kind_queries, queries as _queries  # the others add to the same registry
+from . import event_queries, kind_queries, queries as _queries, state_queries  # the others add to the same registry
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    assert event_queries.query is kind_queries.query is _queries.query
+    assert event_queries.query is kind_queries.query is state_queries.query is _queries.query
     return dict(_queries.QUERIES)
 
 

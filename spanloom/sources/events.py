@@ -5,6 +5,8 @@ The event table has file, seq, raw (the event's JSON) and, once classified, v
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,12 @@ def unwrap_envelope(envelopes: DataFrame, column: str = "value") -> DataFrame:
 
 def classify(events: DataFrame, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
     """(events, quarantine): the type is the first key of id; an event that is no
-    JSON or has no id is quarantined, or stops the job in FAILFAST mode."""
-    parsed = events.withColumn("v", F.try_parse_json("raw")).withColumn("event_type", F.get(F.json_object_keys(F.get_json_object("raw", "$.id")), 0))
+    JSON or has no id is quarantined, or stops the job in FAILFAST mode.
+
+    What comes from parsing is generated as a row of one: filters on it then read
+    the result, where those on a plain column would parse once more each."""
+    kind = F.get(F.json_object_keys(F.get_json_object("raw", "$.id")), 0)
+    parsed = events.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v"), kind.alias("event_type")))))
     reason = F.when(F.col("v").isNull(), "not JSON").when(F.col("event_type").isNull(), "missing event id")
     parsed = parsed.withColumn("last_message", F.coalesce(F.try_variant_get("v", "$.lastMessage", "boolean"), F.try_variant_get("v", "$.last_message", "boolean"), F.lit(False)))
     if "event_time_ns" not in events.columns:
@@ -64,7 +70,10 @@ def invocations(events: DataFrame) -> DataFrame:
     payloads are never sorted, and a stream that holds a large part of all rows
     is split by the skew join."""
     begins, ends = F.when(F.col("event_type") == "started", F.col("seq")), F.when(F.col("last_message"), F.col("seq"))
-    marks = events.filter("event_type = 'started' or last_message").groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list(begins)).alias("_begins"), F.min(ends).alias("_end"))
+    # a text without these words (or an escape that may hide one) is no mark, and need not be parsed to tell
+    told = [F.contains("raw", F.lit(w)) for w in ("started", "lastMessage", "last_message", "\\u")] if "raw" in events.columns else [F.lit(True)]
+    likely = events.filter(reduce(Column.__or__, told))
+    marks = likely.filter("event_type = 'started' or last_message").groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list(begins)).alias("_begins"), F.min(ends).alias("_end"))
     joined = events.join(marks, F.col("file").eqNullSafe(F.col("_file")), "left").filter("_end is null or seq <= _end")
     number = F.greatest(F.size(F.filter("_begins", lambda b: b <= F.col("seq"))), F.lit(1))
     return joined.withColumn("inv", F.concat_ws("#", "file", F.coalesce(number, F.lit(1)).cast("string"))).drop("_file", "_begins", "_end")

@@ -5,10 +5,11 @@ directory, unresolvedSymlink, symlinkAction, runfilesTree, inputSet or spawn."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import SECOND, to_nanos
+from ..operators.traces import stage
 
 #: Flags that name a log, the supported ones first.
 COMPACT = ("--execution_log_compact_file=", "--experimental_execution_log_compact_file=")
@@ -21,13 +22,17 @@ def _named(options: Column, flag: str, name: str) -> Column:
     return F.transform(F.filter(options, lambda o: F.startswith(o, F.lit(flag)) & (o != flag)), lambda o: F.lit(name))
 
 
+def names_log(option: Column) -> Column:
+    return F.startswith(option, F.lit(COMPACT[0])) | F.startswith(option, F.lit(COMPACT[1]))
+
+
 def manifest(options: DataFrame, started: DataFrame) -> DataFrame:
     """Per invocation the log's path (the first that an option names; relative
     ones under the workspace), its state, and the flags that are not supported.
     options: the typed options table."""
     listed = F.concat("cmd_line", "explicit")
     path = lambda o: F.regexp_replace(o, "^(?:" + "|".join(COMPACT) + ")", "")
-    named = F.filter(listed, lambda o: F.startswith(o, F.lit(COMPACT[0])) | F.startswith(o, F.lit(COMPACT[1])))
+    named = F.filter(listed, names_log)
     wanted = F.get(F.filter(F.transform(named, path), lambda p: p != ""), 0)
     bad = F.array_distinct(F.flatten(F.array(*[_named(listed, flag, name) for flag, name in UNSUPPORTED.items()])))
     first = F.when(wanted.isNotNull(), F.col("seq"))
@@ -58,11 +63,11 @@ def steps(read: bool) -> list[tuple[Column, str, Column]]:
 
 def status(log: DataFrame) -> DataFrame:
     """inv, spawns_received, status and error of each log: it failed where a spawn
-    names an output that the log lacks. Spawns before the fault count."""
+    names an output that the log has not yet written. Spawns before the fault count."""
     get = F.try_variant_get("v", "$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>")
     own = log.filter("kind = 'spawn'").select("inv", "seq", F.explode_outer(get).alias("o")).select("inv", "seq", F.col("o.outputId").alias("id"))
-    known = log.filter("id <> 0 and kind <> 'spawn'").select("inv", "id").distinct().withColumn("_known", F.lit(True))
-    bad = F.col("id").isNotNull() & F.col("_known").isNull()
+    known = log.filter("id <> 0 and kind <> 'spawn'").groupBy("inv", "id").agg(F.min("seq").alias("_since"))
+    bad = F.col("id").isNotNull() & (F.col("_since").isNull() | (F.col("_since") > F.col("seq")))
     by_spawn = own.join(known, ["inv", "id"], "left").groupBy("inv", "seq").agg(F.bool_or(bad).alias("bad"))
     fault = by_spawn.groupBy("inv").agg(F.min(F.when(F.col("bad"), F.col("seq"))).alias("_fault"))
     counted = by_spawn.join(fault, "inv").groupBy("inv", "_fault").agg(F.count_if(F.col("_fault").isNull() | (F.col("seq") < F.col("_fault"))).alias("spawns_received"))
@@ -81,49 +86,75 @@ def entries(lines: DataFrame) -> DataFrame:
     """lines: inv, seq, raw. Adds v, id and kind."""
     v = lines.withColumn("v", F.try_parse_json("raw")).filter("v is not null")
     keys = F.filter(F.json_object_keys("raw"), lambda k: k != "id")
-    return v.select("inv", "seq", "v", F.coalesce(F.try_variant_get("v", "$.id", "bigint"), F.lit(0).cast("long")).alias("id"), F.get(keys, 0).alias("kind"))
+    return v.select(*lines.columns, "v", F.coalesce(F.try_variant_get("v", "$.id", "bigint"), F.lit(0).cast("long")).alias("id"), F.get(keys, 0).alias("kind"))
 
 
-def outputs(log: DataFrame) -> DataFrame:
-    """inv, id, files: what each output id stands for. Directories give their
-    files under their path, symlinks themselves; runfiles trees give nothing."""
+def stands_for() -> tuple[Column, Column]:
+    """What an entry (v, kind) stands for as an output: its files, and the path it is
+    listed by. Directories give their files under their path, symlinks themselves;
+    runfiles trees give nothing."""
     get = lambda p, of="string": F.try_variant_get("v", p, of)
     file = "struct<path string, digest struct<hash string, sizeBytes bigint>>"
     one = F.array(F.struct(get("$.file.path").alias("path"), get("$.file.digest.hash").alias("hash"), get("$.file.digest.sizeBytes", "bigint").alias("size")))
     inside = F.transform(F.coalesce(get("$.directory.files", f"array<{file}>"), F.array().cast(f"array<{file}>")), lambda f: F.struct(F.concat_ws("/", get("$.directory.path"), f["path"]).alias("path"), f["digest"]["hash"].alias("hash"), f["digest"]["sizeBytes"].alias("size")))
     link = F.array(F.struct(get("$.unresolvedSymlink.path").alias("path"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("bigint").alias("size")))
-    files = F.when(F.col("kind") == "file", one).when(F.col("kind") == "directory", inside).when(F.col("kind") == "unresolvedSymlink", link).otherwise(F.array().cast(one_type()))
-    return log.filter("id <> 0 and kind <> 'spawn'").select("inv", "id", "kind", files.alias("files"), F.coalesce(get("$.file.path"), get("$.directory.path"), get("$.unresolvedSymlink.path")).alias("path"))
+    files = F.when(F.col("kind") == "file", one).when(F.col("kind") == "directory", inside).when(F.col("kind") == "unresolvedSymlink", link).otherwise(F.array().cast(FILES))
+    return files, F.coalesce(get("$.file.path"), get("$.directory.path"), get("$.unresolvedSymlink.path"))
 
 
-def one_type() -> str:
-    return "array<struct<path:string,hash:string,size:bigint>>"
+def outputs(log: DataFrame) -> DataFrame:
+    """inv, id, since, until, kind, files, path: what each output id stands for from
+    the entry that writes it to the one that writes it anew (until null: to the
+    end). Staged, so that the join with the uses can split an id that many use."""
+    again, (files, path) = Window.partitionBy("inv", "id").orderBy("seq"), stands_for()
+    written = log.filter("id <> 0 and kind <> 'spawn'")
+    return stage(written.select("inv", "id", F.col("seq").alias("since"), F.lead("seq").over(again).alias("until"), "kind", files.alias("files"), path.alias("path")))
 
 
-def spawns(log: DataFrame, strict: bool = True) -> DataFrame:
-    """Spawns with listed and actual outputs. An output id that its log lacks
-    makes the log corrupt: strict stops the job, else its spawns are left out."""
+#: What a file of an output is.
+FILES = "array<struct<path:string,hash:string,size:bigint>>"
+
+
+def spawn_fields(log: DataFrame, *more: str) -> DataFrame:
+    """inv, seq and the fields of every spawn entry; outs are its outputs by id."""
     get = lambda p, of="string": F.try_variant_get("v", p, of)
-    base = log.filter("kind = 'spawn'").select(
+    return log.filter("kind = 'spawn'").select(
         "inv", "seq", get("$.spawn.targetLabel").alias("label"), get("$.spawn.mnemonic").alias("mnemonic"), F.coalesce(get("$.spawn.args", "array<string>"), F.array().cast("array<string>")).alias("args"),
         get("$.spawn.runner").alias("runner"), F.coalesce(get("$.spawn.cacheHit", "boolean"), F.lit(False)).alias("cache_hit"), F.coalesce(get("$.spawn.remoteCacheable", "boolean"), F.lit(False)).alias("remote_cacheable"),
         get("$.spawn.exitCode", "int").alias("exit_code"), get("$.spawn.status").alias("status"), get("$.spawn.digest.hash").alias("digest"),
         _time("$.spawn.metrics.startTime").alias("start_time_ns"), *[_time(f"$.spawn.metrics.{d}").alias(d) for d in _DURATIONS],
-        F.coalesce(get("$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>"), F.array().cast("array<struct<outputId:bigint,invalidOutputPath:string>>")).alias("outs"),
+        F.coalesce(get("$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>"), F.array().cast("array<struct<outputId:bigint,invalidOutputPath:string>>")).alias("outs"), *more,
     ).withColumn("start_time_ns", F.coalesce("start_time_ns", F.lit(None).cast("long")))
-    each = base.select("inv", "seq", F.posexplode("outs").alias("pos", "o"))
-    known = outputs(log).select("inv", F.col("id").alias("out_id"), "kind", "files", "path")
-    found = each.join(known, (each["inv"] == known["inv"]) & (F.col("o.outputId") == F.col("out_id")), "left").select(each["inv"], "seq", "pos", "o", "kind", "files", "path")
+
+
+def finished(fields: DataFrame) -> DataFrame:
+    """Spawns of spawn_fields() that have listed, actual and hash_function beside."""
+    whole = fields.drop("outs").withColumns({"listed": F.coalesce("listed", F.array().cast("array<string>")), "actual": F.coalesce("actual", F.array().cast(FILES))})
+    return whole.withColumn("end_time_ns", F.col("start_time_ns") + F.coalesce("totalTime", F.lit(0).cast("long")))
+
+
+def hash_functions(log: DataFrame) -> DataFrame:
+    name = F.try_variant_get("v", "$.invocation.hashFunctionName", "string")
+    return log.filter("kind = 'invocation'").groupBy("inv").agg(F.max(name).alias("hash_function"))
+
+
+def spawns(log: DataFrame, strict: bool = True) -> DataFrame:
+    """Spawns with listed and actual outputs: an id stands for what was written last
+    before the spawn. An output id that its log has no earlier entry of makes the
+    log corrupt: strict stops the job, else its spawns are left out."""
+    base = spawn_fields(log)
+    each = base.select("inv", "seq", F.posexplode("outs").alias("pos", "o")).withColumn("out_id", F.col("o.outputId"))
+    known = outputs(log).select(F.col("inv").alias("_inv"), F.col("id").alias("_id"), "since", "until", "kind", "files", "path")
+    at = (F.col("inv") == F.col("_inv")) & (F.col("out_id") == F.col("_id")) & (F.col("since") <= F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))
+    found = each.join(known, at, "left").select("inv", "seq", "pos", "o", "kind", "files", "path")
     lost = F.col("o.outputId").isNotNull() & F.col("kind").isNull()
     if strict:
         found = found.withColumn("path", F.when(lost, F.raise_error(F.lit("output id without entry")).cast("string")).otherwise(F.col("path")))
     listed = F.array_sort(F.collect_set(F.coalesce("o.invalidOutputPath", "path")))
-    actual = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "files"))), lambda x: F.coalesce(x["files"], F.array().cast(one_type()))))
+    actual = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "files"))), lambda x: F.coalesce(x["files"], F.array().cast(FILES))))
     grouped = found.groupBy("inv", "seq").agg(listed.alias("listed"), actual.alias("actual"), F.bool_or(lost).alias("corrupt"))
-    hashes = log.filter("kind = 'invocation'").groupBy("inv").agg(F.max(get("$.invocation.hashFunctionName")).alias("hash_function"))
-    none = F.array().cast("array<string>")
-    joined = base.drop("outs").join(grouped, ["inv", "seq"], "left").join(hashes, "inv", "left")
-    joined = joined.withColumns({"listed": F.coalesce("listed", none), "actual": F.coalesce("actual", F.array().cast(one_type())), "corrupt": F.coalesce("corrupt", F.lit(False))})
+    joined = base.join(grouped, ["inv", "seq"], "left").join(hash_functions(log), "inv", "left")
     if not strict:
-        joined = joined.join(joined.groupBy("inv").agg(F.bool_or("corrupt").alias("bad")).filter("bad").select("inv"), "inv", "left_anti")
-    return joined.withColumn("end_time_ns", F.col("start_time_ns") + F.coalesce("totalTime", F.lit(0).cast("long"))).drop("corrupt")
+        bad = grouped.groupBy("inv").agg(F.bool_or("corrupt").alias("bad")).filter("bad").select("inv")
+        joined = joined.join(bad, "inv", "left_anti")
+    return finished(joined.drop("corrupt"))

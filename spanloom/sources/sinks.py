@@ -13,9 +13,11 @@ def resource_columns(df: DataFrame, service: str = "bazel", sdk: str = "spanloom
 
 
 def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
-    """Spans by day of their start; spans without a start go by their end."""
+    """Spans by day of their start; spans without a start go by their end. Days are
+    brought together before, so that not every task writes a file for every day; a
+    day with many spans is split again (rebalancing)."""
     day = F.to_date(to_timestamp(F.coalesce("start_ns", "end_ns", F.lit(0).cast("long"))))
-    resource_columns(spans).withColumn("build_date", day).write.mode(mode).partitionBy("build_date").parquet(path)
+    resource_columns(spans).withColumn("build_date", day).hint("rebalance", "build_date").write.mode(mode).partitionBy("build_date").parquet(path)
 
 
 def write_logs(logs: DataFrame, path: str, mode: str = "append") -> None:
@@ -49,18 +51,40 @@ def write_otlp_json(spans: DataFrame, path: str, batch: int = 512, mode: str = "
     otlp_json(spans, batch).select("value").write.mode(mode).text(path)
 
 
-def idempotent_sink(path: str, keys: tuple[str, ...] = ("trace_id", "span_id")):
-    """For foreachBatch: each micro-batch writes its own folder, named by its
-    number, so a batch that is run again replaces itself; duplicates within a
-    batch go, and so do rows that an earlier batch has written (of which the key
-    columns alone are read)."""
+def idempotent_sink(path: str, keys: tuple[str, ...] = ("trace_id", "span_id"), query: str | None = None):
+    """For foreachBatch: each micro-batch writes its own folder, so a batch that is
+    run again replaces itself; duplicates within a batch go, and so do rows whose
+    keys an earlier batch has written.
+
+    The keys that were written stand beside, in `_keys` by day of the span (readers
+    pass over that folder). A span that comes again has its day, so a batch lists
+    and reads the keys of its own days alone, however many batches came before.
+    Folders are `batch=<number>` for the first query that writes to the path;
+    another one, such as a query with a new checkpoint, which counts from 0 again,
+    writes `batch=<query>-<number>` and overwrites nothing. query: by default the
+    id of the streaming query, which its checkpoint keeps."""
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh, spark = batch.dropDuplicates(list(keys)), batch.sparkSession
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if number and root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            earlier = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < number).select(*keys)
-            fresh = fresh.join(earlier, list(keys), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        sc = spark.sparkContext
+        own = query or sc.getLocalProperty("sql.streaming.queryId") or "batch"
+        at = lambda *parts: sc._jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
+        files = at().getFileSystem(sc._jsc.hadoopConfiguration())
+        if not files.exists(at("_keys", "first")):
+            files.mkdirs(at("_keys", "first", own))  # the first query on this path
+        first = files.exists(at("_keys", "first", own))
+        name = str(number) if first else f"{own}-{number}"
+        day = F.to_date(to_timestamp(F.coalesce("start_ns", "end_ns", F.lit(0).cast("long")))).cast("string")
+        fresh = batch.dropDuplicates(list(keys)).withColumn("_day", day)
+        days = [r[0] for r in fresh.select("_day").distinct().collect()]  # as many as the batch has days
+        held = [f"{path}/_keys/day={d}" for d in days if files.exists(at("_keys", f"day={d}"))]
+        if held:
+            earlier = spark.read.option("basePath", f"{path}/_keys").schema(f"{fresh.select(*keys).schema.toDDL()}, day string, writer string").parquet(*held)
+            other = earlier.filter(F.col("writer") != f"{own} {number}").select(F.col("day").alias("_day"), *keys)
+            fresh = fresh.join(other, ["_day", *keys], "left_anti")
+        fresh.drop("_day").write.mode("overwrite").parquet(f"{path}/batch={name}")
+        written = spark.read.schema(batch.schema).parquet(f"{path}/batch={name}")
+        keyed = written.select(*keys, day.alias("day"), F.lit(f"{own} {number}").alias("writer"))
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "writer").parquet(f"{path}/_keys")
 
     return write

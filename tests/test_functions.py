@@ -96,3 +96,34 @@ def test_tail_and_tree(spark):
     (check,) = traces.trace_check(spans, "t", "id", "up", "id", "r").collect()
     assert (check.span_count, check.has_root, check.dangling) == (5, True, 1)
     assert spark.range(1).select(F.unix_micros(times.to_timestamp(F.lit(1700000000123456999)))).first()[0] == 1700000000123456
+
+
+def test_trees_of_any_depth(spark):
+    """A chain of 100 spans, a wide level, cycles, and what hangs below them."""
+    chain = [("deep", f"c{i:03}", f"c{i - 1:03}" if i else None, i) for i in range(101)]
+    wide = [("wide", "r", None, 0)] + [("wide", f"k{i}", "r", 50 - i) for i in range(40)] + [("wide", f"g{i}", f"k{i}", 0) for i in range(40)]
+    rings = [("ring", "r", None, 9), ("ring", "a", "c", 1), ("ring", "b", "a", 2), ("ring", "c", "b", 3), ("ring", "under", "b", 4), ("ring", "self", "self", 5), ("ring", "lost", "gone", 6), ("ring", "below", "lost", 7), ("ring", "kid", "r", 8)]
+    odd = [("odd", "r", None, -5), ("odd", "x", "r", -9), ("odd", "x", "r", -9), ("odd", None, "r", 1), (None, "y", None, 1)]
+    spans = spark.createDataFrame(chain + wide + rings + odd, "t string, id string, up string, s long")
+    got = {(r.t, r.id): (r.depth, r.place) for r in traces.tree_order(spans, "t", "id", "up", "s", "s").collect()}
+    assert [got["deep", f"c{i:03}"] for i in range(101)] == [(i, i + 1) for i in range(101)]
+    order = ["r"] + [x for i in reversed(range(40)) for x in (f"k{i}", f"g{i}")]
+    assert [got["wide", i][1] for i in order] == list(range(1, 82)) and got["wide", "g7"][0] == 2
+    assert [got["ring", i] for i in ("r", "kid", "a", "b", "c", "under", "self", "lost", "below")] == [(0, 1), (1, 2), *[(None, n) for n in range(3, 10)]]
+    assert got["odd", "r"] == (0, 1) and got["odd", "x"] == (1, 2) and got["odd", None] == got[None, "y"] == (None, None)
+    assert traces.tree_order(spans.limit(0), "t", "id", "up", "s", "s").collect() == []
+
+
+def test_closure_depths_and_modes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("c", "b"), ("d", "e")], "p string, c string")
+    roots = spark.createDataFrame([("a",), ("a",), ("e",), ("none",)], "r string")
+    got = sorted(map(tuple, traces.closure(edges, roots, "p", "c", "r").collect()))
+    assert got == [("a", "a", 0), ("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3), ("e", "e", 0), ("none", "none", 0)]
+    rows = spark.createDataFrame([(k, i) for k in "xyz" for i in range(6)], "k string, seq long")
+    changes = spark.createDataFrame([("x", 2, "on"), ("x", 4, "off"), ("y", 0, "on"), ("x", 4, "off")], "k string, since long, mode string")
+    known = ordered.in_force(rows, changes, ["k"], "seq", "since", "mode")
+    assert sorted(map(tuple, known.collect()), key=str) == sorted([("x", i, None if i < 2 else "on" if i < 4 else "off") for i in range(6)] + [("y", i, "on") for i in range(6)] + [("z", i, None) for i in range(6)], key=str)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # the rows are not sorted
+    many = ordered.numbered(spark.range(500).select(F.lit("hot").alias("k"), (F.lit(7) * F.col("id") % 500).alias("v")), "k", [F.col("v")], "n")
+    assert sorted((r.v, r.n) for r in many.collect()) == [(i, i + 1) for i in range(500)]

@@ -66,3 +66,30 @@ def test_sinks(spark, tmp_path):
     write(spans, 8)
     write(spans.limit(3), 0)
     assert spark.read.parquet(f"{tmp_path}/idem/batch=8").count() == 0
+
+
+def test_sink_of_many_batches(spark, tmp_path):
+    """A batch reads the keys of its own days alone; a new query overwrites nothing."""
+    path, day = f"{tmp_path}/out", 86_400 * 10**9
+    row = lambda i, d: (f"t{i}", f"s{i}", d * day, None)
+    df = lambda rows: spark.createDataFrame(rows, "trace_id string, span_id string, start_ns long, end_ns long")
+    write = sinks.idempotent_sink(path, query="one")
+    write(df([row(1, 1), row(2, 2), row(1, 1)]), 0)
+    write(df([row(2, 2), row(3, 2)]), 1)
+    write(df([row(2, 2), row(3, 2)]), 1)  # run again
+    for n in range(2, 5):
+        write(df([row(10 + n, n)]), n)
+    again = sinks.idempotent_sink(path, query="two")
+    again(df([row(1, 1), row(99, 1)]), 0)
+    got = spark.read.parquet(path)
+    assert sorted(r.span_id for r in got.collect()) == sorted(["s1", "s2", "s3", "s12", "s13", "s14", "s99"])
+    assert {r.batch for r in got.select("batch").collect()} == {"0", "1", "2", "3", "4", "two-0"}
+    read = []
+    real = type(spark.read).parquet
+    try:  # which key folders a late batch looks at
+        type(spark.read).parquet = lambda self, *paths, **o: (read.append(paths), real(self, *paths, **o))[1]
+        write(df([row(50, 3), row(13, 3)]), 5)
+    finally:
+        type(spark.read).parquet = real
+    assert read[0] == (f"{path}/_keys/day=1970-01-04",)
+    assert [r.span_id for r in spark.read.parquet(f"{path}/batch=5").collect()] == ["s50"]
