@@ -72,3 +72,68 @@ def test_repeated_ids_stay_within_the_sample(spark, monkeypatch):
     toxicity.train(table, marks, categories)
     toxicity.train(table, marks, categories, sample=50)
     assert seen == [120, 50]
+
+
+def test_against_a_plain_version(spark):
+    """Features, rates, out-of-fold chain and scores worked out again, row by row."""
+    import re
+
+    docs, labels = corpus(260, 3)
+    docs += [(900, None, "p", 0.1), (901, "Idiot " * 300, "p", 0.1)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string, reject double")
+    chain = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {n: c() for n, c in toxicity.CATEGORIES.items()}, features=40)
+    y = {i: (1 - q, t) for i, q, t in labels}
+
+    def counts(text):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for f in {w, *(w[:k] + "-" for k in (4, 5, 6, 7) if len(w) > k)}:
+                out[f] = out.get(f, 0) + 1
+        return out, len(re.findall(r"[^\W\d_]+", (text or "").lower()))
+
+    told = {i: counts(t) for i, t, *_ in docs}
+    known = sorted(y)
+    clean_words = sum(told[i][1] for i in known if not any(y[i]))
+    score = {}
+    for f in {f for i in known for f in told[i][0]}:
+        if sum(f in told[i][0] for i in known) < 5:
+            continue
+        best = 0.0
+        for k in (0, 1):
+            for least in (1, 2):
+                has, pos = [told[i][0].get(f, 0) >= least for i in known], [y[i][k] == 1 for i in known]
+                n, a, b = len(known), sum(h and p for h, p in zip(has, pos)), sum(h and not p for h, p in zip(has, pos))
+                p = sum(pos)
+                base = (a + b) * (n - a - b) * p * (n - p)
+                gap = a * n - (a + b) * p
+                best = max(best, n * gap * gap / base if gap > 0 and base > 0 else 0.0)
+        score[f] = best
+    top = sorted(score, key=lambda f: (-score[f], f.encode()))[:40]
+    assert list(chain.vocabulary) == top
+    rate = [sum(told[i][0].get(f, 0) for i in known if not any(y[i])) / clean_words for f in top]
+    assert np.allclose(chain.rate, rate)
+
+    def values(i):
+        found, words = told[i]
+        return [min(6.0, max(0.0, (found.get(f, 0) - words * r) / (words * r + 0.25) ** 0.5)) for f, r in zip(top, rate)]
+
+    def fitted(x, t, w):
+        """w is the minimum of the penalised loss: its slope is null there."""
+        x = np.column_stack([np.ones(len(x)), x])
+        slope = x.T @ (t - 1 / (1 + np.exp(-x @ w))) - 3.0 * np.r_[0, w[1:]]
+        return np.abs(slope).max() < 0.05
+
+    x = np.array([values(i) for i in known])
+    t = np.array([y[i] for i in known], float)
+    assert fitted(x, t[:, 0], chain.weights[0])
+    folds, odds = np.array([(i * 2654435761 >> 7) % 3 for i in known]), np.zeros(len(known))
+    for f in range(3):
+        w = toxicity.fit_linear(x[folds != f], t[folds != f, 0])
+        assert fitted(x[folds != f], t[folds != f, 0], w)
+        odds[folds == f] = np.clip(w[0] + x[folds == f] @ w[1:], -15, 15)
+    assert fitted(np.column_stack([x, odds]), t[:, 1], chain.weights[1])
+    for r in toxicity.classify(table, chain).select("row.doc_id", "p_low_quality", "p_toxic", "reject").collect():
+        v, first = values(r.doc_id), chain.weights[0]
+        o = float(np.clip(first[0] + np.dot(v, first[1:]), -15, 15))
+        p = 1 / (1 + np.exp(-np.clip(chain.weights[1][0] + np.dot([*v, o], chain.weights[1][1:]), -15, 15)))
+        assert abs(r.p_low_quality - 1 / (1 + np.exp(-o))) < 1e-4 and abs(r.p_toxic - p) < 1e-4 and r.reject == (r.p_toxic >= 0.4)
