@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, pack, stage
+from .common import blocks, pack, stage, trim
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
@@ -183,7 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
     ids = table.column("doc_id").to_pylist()
     del table, counts
     fold = np.array([hash_fold(i, folds) for i in ids], np.int64)
-    return Chain(names, vocabulary, rate, fit_chain(x, y, fold))
+    chain = Chain(names, vocabulary, rate, fit_chain(x, y, fold))
+    del x, y
+    trim()  # the driver goes on to other work
+    return chain
 
 
 def hash_fold(key: int, folds: int) -> int:

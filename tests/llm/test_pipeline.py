@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from spanloom.llm import toxicity
 from spanloom.llm.pii import ANY
+from tests.llm.test_near_copies import brute as brute_jaccard
 from tests.llm.test_simhash import brute_components, brute_fp
 
 
@@ -66,3 +67,52 @@ def test_stages_and_run(spark, tmp_path):
     assert got == want
     whole = corpus_pipeline.run(spark, d).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in after)
+
+
+def test_near_dedup_keeps_one_of_each_group_by_jaccard(spark):
+    """The stage against exact five-word Jaccard of all pairs, with texts that the
+    fingerprints of op8 would not link."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(40, 200)))]
+        rows.append((10 * i, " ".join(words)))
+        for j in (1, 2):
+            other = list(words)
+            for at in rng.choice(len(words), int(len(words) * rng.uniform(0, 0.05)), replace=False):
+                other[at] = f"x{rng.integers(10**6)}"
+            rows.append((10 * i + j, " ".join(other)))
+    rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "one two"), (2004, "one three")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    want = brute_jaccard(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and 40 < len(set(want.values())) < 110
+    linked = {(a, b) for a, b in want.items() if a != b}
+    prints = {i: brute_fp(t) for i, t in rows}
+    assert any((prints[a] ^ prints[b]).bit_count() > 4 for a, b in linked)
+
+
+def test_stages_on_odd_input(spark, tmp_path):
+    """Columns that clash, nulls everywhere, ties and repeats, a very long text, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, found int, component_id long, keep_id string, length int, ids string"
+    more = ("r", 1, 2, "k", 3, "i")
+    rows = [(1, "Call +1 (386) 555-3733 now", "en", "s", 26), (2, "call +1 (386) 555-3733  now", "en", "s", 27), (2, "Call +1 (386) 555-3733 now ", None, None, None), (None, "no id", "en", None, 5), (3, None, "en", "s", None)]
+    rows += [(4, "", "en", "s", 0), (5, "long words here " * 60_000, "en", "s", 960_000), (6, "tie a b", "en", "s", 7), (6, "tie a b", "en", "s", 7), (7, "tie ab", "en", "s", 6)]
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(*r, *more) for r in rows], schema)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+        out = step(spark, docs, str(tmp_path)).collect()
+        got = sorted(((r.doc_id or 0), "" if name == "best_fit_packing" else r.text or "") for r in out)
+        if name != "best_fit_packing":
+            assert out[0].asDict().keys() == set(docs.columns) and all((r.row, r.found, r.ids) == ("r", 1, "i") for r in out), name
+        if name == "toxicity":
+            assert got == sorted(((r[0] or 0), r[1] or "") for r in rows)
+        elif name == "exact_dedup":  # the longest of equal texts, then the smallest id
+            assert sorted(i for i, _ in got) == [0, 2, 2, 3, 5, 6]
+        elif name == "simhash_near_dedup":  # null ids, and rows of the kept id, stay
+            assert {i for i, _ in got} >= {0, 1, 3, 5} and len(got) < len(rows)
+        elif name == "pii_surrogates":
+            assert len(out) == len(rows) and not any("555-3733" in t for _, t in got) and {r.n_chars for r in out if r.text and r.text.startswith("long")} == {960_000}
+        else:
+            assert {r.doc_id for r in out} == {r[0] for r in rows} and sum(r.length for r in out if r.doc_id == 5) == 180_001
