@@ -159,22 +159,25 @@ def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: s
     of each ancestor, which sort as they stand) doubles in the same way, as many
     rounds as the deepest tree needs; spans are numbered by trace and path over
     ranges, and meet their other columns once, at the end. A path is as long as its
-    span is deep. Rows of one trace and id are one span, with one place; rows
-    without a trace or id have neither depth nor place."""
+    span is deep. Rows of one trace and id are one node of the tree and stand one
+    behind the other; rows without a trace or id have neither depth nor place."""
     c = F.col
     at = F.coalesce(F.col(start), F.col(end), F.lit(0).cast("long"))
     step = F.concat(F.lpad(F.hex(at.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0"), F.hex(F.encode(F.col(span_id).cast("string"), "utf-8")), F.lit("."))
     each = spans.select(F.col(trace).alias("trace"), F.col(span_id).alias("id"), F.struct(F.col(parent).alias("up"), step.alias("path")).alias("own")).filter("trace is not null and id is not null")
-    links = stage(each.groupBy("trace", "id").agg(F.min("own").alias("own")).select("trace", "id", "own.*"))
-    known = stage(depths(links.select("trace", "id", "up")).join(links.select("trace", "id", "path"), ["trace", "id"]))
+    links = stage(each.groupBy("trace", "id").agg(F.min("own").alias("own"), F.count("*").alias("copies")).select("trace", "id", "own.*", "copies"))
+    known = stage(depths(links.select("trace", "id", "up")).join(links.select("trace", "id", "path", "copies"), ["trace", "id"]))
     deepest = known.agg(F.max("depth")).first()[0] or 0
     paths = known.withColumn("up", F.when(c("depth").isNotNull(), c("up")))
     reach = 1
     while reach <= deepest:
         ahead = paths.select(c("trace").alias("_t"), c("id").alias("_i"), c("up").alias("_up"), c("path").alias("_path"))
         met = paths.join(ahead, (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
-        paths = stage(met.select("trace", "id", c("_up").alias("up"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"), "depth"))
+        paths = stage(met.select("trace", "id", c("_up").alias("up"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"), "depth", "copies"))
         reach *= 2
-    placed = numbered(paths.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), "path"), "trace", [c("_lost"), c("path")], "place")
-    told = placed.select(c("trace").alias("_t"), c("id").alias("_i"), "depth", c("place").cast("int").alias("place"))
-    return spans.join(told, (F.col(trace) == c("_t")) & (F.col(span_id) == c("_i")), "left").drop("_t", "_i")
+    rows = paths.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), "path", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    placed = numbered(rows, "trace", [c("_lost"), c("path"), c("_copy")], "_place").filter("_copy = 1")
+    told = placed.select(c("trace").alias("_t"), c("id").alias("_i"), "depth", "_place")
+    met = spans.join(told, (F.col(trace) == c("_t")) & (F.col(span_id) == c("_i")), "left")
+    nth = F.row_number().over(Window.partitionBy("_t", "_i").orderBy(at)) - 1  # of the rows of one id
+    return met.withColumn("place", (c("_place") + nth).cast("int")).drop("_t", "_i", "_place")

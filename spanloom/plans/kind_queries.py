@@ -261,10 +261,10 @@ def log_spawns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories give their files, symlinks themselves, runfiles nothing."""
     suppliers, inv, key = table(spark, sf_dir, "supplier"), word("s_nationkey").alias("inv"), word("s_suppkey")
     row = lambda df, seq, raw: df.select(inv, seq.cast("long").alias("seq"), F.to_json(raw).alias("raw"))
-    heads = row(suppliers.select("s_nationkey").distinct(), lit(0), of(invocation=of(hashFunctionName=F.concat(lit("SHA-"), word("s_nationkey")))))
-    directories = row(suppliers, lit(1), of(id=c("s_suppkey") * 3 + 1, directory=of(path=F.concat(lit("d"), key), files=F.array(of(path=lit("a")), of(path=lit("b"))))))
-    links = row(suppliers, lit(1), of(id=c("s_suppkey") * 3 + 2, unresolvedSymlink=of(path=F.concat(lit("l"), key), targetPath=lit("t"))))
-    trees = row(suppliers, lit(1), of(id=c("s_suppkey") * 3 + 3, runfilesTree=of(path=lit("r"))))
+    heads = row(suppliers.select("s_nationkey").distinct(), lit(-2), of(invocation=of(hashFunctionName=F.concat(lit("SHA-"), word("s_nationkey")))))
+    directories = row(suppliers, lit(-1), of(id=c("s_suppkey") * 3 + 1, directory=of(path=F.concat(lit("d"), key), files=F.array(of(path=lit("a")), of(path=lit("b"))))))
+    links = row(suppliers, lit(-1), of(id=c("s_suppkey") * 3 + 2, unresolvedSymlink=of(path=F.concat(lit("l"), key), targetPath=lit("t"))))
+    trees = row(suppliers, lit(-1), of(id=c("s_suppkey") * 3 + 3, runfilesTree=of(path=lit("r"))))
     outs = F.array(*[of(outputId=c("s_suppkey") * 3 + n) for n in (1, 2, 3)])
     spawns = row(suppliers, c("s_suppkey"), of(spawn=of(outputs=outs, metrics=of(startTime=of(seconds=key, nanos=lit(5)), totalTime=lit("1.5s")))))
     found = exec_log.spawns(exec_log.entries(heads.unionByName(directories).unionByName(links).unionByName(trees).unionByName(spawns)))

@@ -110,7 +110,8 @@ def test_trees_of_any_depth(spark):
     order = ["r"] + [x for i in reversed(range(40)) for x in (f"k{i}", f"g{i}")]
     assert [got["wide", i][1] for i in order] == list(range(1, 82)) and got["wide", "g7"][0] == 2
     assert [got["ring", i] for i in ("r", "kid", "a", "b", "c", "under", "self", "lost", "below")] == [(0, 1), (1, 2), *[(None, n) for n in range(3, 10)]]
-    assert got["odd", "r"] == (0, 1) and got["odd", "x"] == (1, 2) and got["odd", None] == got[None, "y"] == (None, None)
+    twice = traces.tree_order(spans, "t", "id", "up", "s", "s").filter("id = 'x'").collect()
+    assert got["odd", "r"] == (0, 1) and sorted((r.depth, r.place) for r in twice) == [(1, 2), (1, 3)] and got["odd", None] == got[None, "y"] == (None, None)
     assert traces.tree_order(spans.limit(0), "t", "id", "up", "s", "s").collect() == []
 
 
