@@ -1,4 +1,7 @@
-"""Best-fit packing of tokenised documents in bulk-synchronous supersteps.
+"""Best-fit packing of tokenised documents in supersteps over runs of equal length.
+
+Spark tokenises, ranks and places; the supersteps themselves, which see lengths and
+counts alone (at most `capacity` of them), run one after the other on the driver.
 
 1. Tokenise: each task cuts its texts at ASCII white space, tokenises each
    distinct chunk once and gathers the cached ids; the pre-tokeniser never lets a
