@@ -22,7 +22,7 @@ def rfc3339_nanos(text: Column) -> Column:
 
 def duration_ms(seconds: Column, nanos: Column) -> Column:
     """Whole milliseconds, cut off."""
-    return seconds.cast("long") * 1000 + F.expr("0") + (F.coalesce(nanos.cast("long"), F.lit(0).cast("long")) / MILLI).cast("long")
+    return seconds.cast("long") * 1000 + (F.coalesce(nanos.cast("long"), F.lit(0).cast("long")) / MILLI).cast("long")
 
 
 def clamp(start: Column, end: Column, lower: Column, upper: Column) -> tuple[Column, Column]:

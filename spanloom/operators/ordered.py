@@ -4,6 +4,8 @@ one step share partitioning and order, so that one exchange serves them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -89,9 +91,19 @@ def tail(df: DataFrame, keys: list[str], text: str, order: list[str], limit: int
     """keys, tail and chunks (the rows it comes from): the last bytes of each key's
     texts put together, from a whole character on. Where something had to go the
     marker stands in front, and the limit counts it. Rows wholly outside the limit
-    go before any list is made, so a list holds `limit` bytes at most."""
+    go before any list is made, so a list holds `limit` bytes at most.
+
+    Rows are sorted over ranges, newest first, and only ranges that begin within the
+    limit are looked at further: of a key with very many rows, a range or two."""
     filled = df.select(*keys, *order, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    own = F.octet_length("_text")
+    own, newest = F.octet_length("_text"), [F.desc(o) for o in [*order, "_text"]]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = stage(filled.repartitionByRange(parts, *keys, *newest).sortWithinPartitions(*keys, *newest).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy(*keys, "_range").agg(F.sum(own.cast("long")).alias("_bytes"))
+    newer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    close = sizes.withColumn("_newer", F.coalesce(F.sum("_bytes").over(newer), F.lit(0))).filter(F.col("_newer") <= limit)
+    same = (F.col("_range") == F.col("_of")) & reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    filled = ranges.join(close.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_of")), same, "left_semi").drop("_range")
     near = running_bytes(filled, keys, "_text", [*order, "_text"], "_upto", newest_first=True).filter(F.col("_upto") - own <= limit)
     cut = tail_bytes(F.col("_text"), (limit - (F.col("_upto") - own)).cast("int"))
     lists = near.select(*keys, *order, "_upto", F.when(F.col("_upto") > limit, cut).otherwise(F.col("_text")).alias("_text"))

@@ -16,6 +16,9 @@ from ..operators import traces
 #: Kinds of events that carry nothing for a trace.
 IGNORED = ("structuredCommandLine", "convenienceSymlinksIdentified", "workspace", "workspaceConfig", "testProgress", "execRequest", "unknown")
 
+#: Characters of one string that the JSON parser reads.
+STRING_LIMIT = 20_000_000
+
 
 def scan_ndjson(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
     """(events, quarantine). Blank lines are skipped. FAILFAST stops at the first
@@ -44,13 +47,15 @@ def unwrap_envelope(envelopes: DataFrame, column: str = "value") -> DataFrame:
 
 def classify(events: DataFrame, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:
     """(events, quarantine): the type is the first key of id; an event that is no
-    JSON or has no id is quarantined, or stops the job in FAILFAST mode.
+    JSON or has no id is quarantined, or stops the job in FAILFAST mode. Spark's
+    parser reads strings of up to STRING_LIMIT characters; a larger event that it
+    does not read is quarantined with a reason that says so.
 
     What comes from parsing is generated as a row of one: filters on it then read
     the result, where those on a plain column would parse once more each."""
     kind = F.get(F.json_object_keys(F.get_json_object("raw", "$.id")), 0)
     parsed = events.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v"), kind.alias("event_type")))))
-    reason = F.when(F.col("v").isNull(), "not JSON").when(F.col("event_type").isNull(), "missing event id")
+    reason = F.when(F.col("v").isNull() & (F.length("raw") > STRING_LIMIT), "not JSON, or above the parser's limits").when(F.col("v").isNull(), "not JSON").when(F.col("event_type").isNull(), "missing event id")
     parsed = parsed.withColumn("last_message", F.coalesce(F.try_variant_get("v", "$.lastMessage", "boolean"), F.try_variant_get("v", "$.last_message", "boolean"), F.lit(False)))
     if "event_time_ns" not in events.columns:
         parsed = parsed.withColumn("event_time_ns", F.lit(None).cast("long"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import to_timestamp
+from ..operators import ordered
 
 
 def resource_columns(df: DataFrame, service: str = "bazel", sdk: str = "spanloom", version: str = "0.1") -> DataFrame:
@@ -30,10 +31,10 @@ def _attributes(attrs: Column) -> Column:
 
 def otlp_json(spans: DataFrame, batch: int = 512, service: str = "bazel") -> DataFrame:
     """One JSON document (resource, scope, spans) per trace and batch of spans.
-    Batches are numbered within a trace; a document never holds more than
-    `batch` spans, whatever the size of the trace."""
-    order = Window.partitionBy("trace_id").orderBy("start_ns", "span_id")
-    numbered = spans.withColumn("_batch", F.floor((F.row_number().over(order) - 1) / batch))
+    Batches are numbered within a trace, by a sort over ranges; a document never
+    holds more than `batch` spans, whatever the size of the trace."""
+    placed = ordered.numbered(spans, "trace_id", [F.col("start_ns"), F.col("span_id")], "_n")
+    numbered = placed.withColumn("_batch", F.floor((F.col("_n") - 1) / batch))
     code = F.when(F.col("status_code") == "Ok", 1).when(F.col("status_code") == "Error", 2).otherwise(0)
     span = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name",
