@@ -71,7 +71,7 @@ def streamed_spawns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream: lines in no order, keyed state of what an id stands for."""
     lines = log_lines(spark, sf_dir).select("inv", "seq", F.timestamp_seconds(lit(10**9)).alias("at"), "raw")
     folder = _as_files(lines.repartition(8, F.xxhash64("raw")))
-    found = _streamed(incremental.log_spawns(incremental.read_lines(spark, folder, 4)), folder)
+    found = _streamed(incremental.log_spawns(incremental.read_lines(spark, folder, 8)), folder)
     return found.select(F.regexp_replace("inv", "#1$", "").alias("ord"), "mnemonic", F.array_join("listed", ",").alias("listed"))
 
 
@@ -177,7 +177,7 @@ def deep_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT cust, r AS root, r AS node, 0 AS depth FROM o UNION ALL SELECT t.cust, t.root, o.r, t.depth + 1 FROM t JOIN o ON o.cust = t.cust AND (o.r = 2 * t.node OR o.r = 2 * t.node + 1)),
 f AS (SELECT t.cust, root, 'f' || o.ord AS file, row_number() OVER (PARTITION BY t.cust, root ORDER BY depth, 's' || node) AS n FROM t JOIN o ON o.cust = t.cust AND o.r = t.node),
 g AS (SELECT cust, root, count(*) AS total, string_agg(file, ', ' ORDER BY n) FILTER (n <= 20) AS shown FROM f GROUP BY 1, 2)
-SELECT 'c' || g.cust || '#1' AS inv, 'target //order:' || o.ord AS name, total::VARCHAR AS output_count, shown || CASE WHEN total > 20 THEN '... (' || total || ' total)' ELSE '' END AS output_files FROM g JOIN o ON o.cust = g.cust AND o.r = g.root""")
+SELECT 'c' || g.cust || '#1' AS inv, 'target //order:' || o.ord AS name, total::VARCHAR AS output_count, shown || CASE WHEN total > 20 THEN ', ... and ' || (total - 20) || ' more' ELSE '' END AS output_files FROM g JOIN o ON o.cust = g.cust AND o.r = g.root""")
 def target_output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the whole assembly: a customer's orders are targets, and their file
     sets a binary tree; files come by depth, then set, the first twenty of them."""
