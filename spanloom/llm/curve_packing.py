@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from .common import blocks, partitions, stage
 from .packing import gather
 
-#: Distinct chunks a worker process holds before it starts afresh.
-CACHED_CHUNKS = 500_000
+#: Distinct chunks in each of the two generations that a worker process holds: when
+#: one is full it becomes the older, and what is met again moves to the newer.
+CACHED_CHUNKS = 400_000
 #: Text bytes that are tokenised at once (or one document).
 BLOCK_BYTES = 4 << 20
 #: Dimensions and bits of the curve, and buckets that token ids are hashed into.
@@ -82,6 +83,7 @@ class ChunkCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         #: which tokens begin with a space, as the byte-level vocabulary writes it
         self.begins = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -107,9 +109,12 @@ class ChunkCoder:
     def _even(self, texts: pa.Array) -> list[np.ndarray]:
         parts = chunks_of(texts)
         coded = parts.flatten().dictionary_encode()
-        listed, known = coded.dictionary.to_pylist(), self.known
-        if len(known) + len(listed) > CACHED_CHUNKS:
-            known.clear()
+        listed = coded.dictionary.to_pylist()
+        if len(self.known) + len(listed) > CACHED_CHUNKS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        again = [c for c in listed if c not in known and c in before]
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
         fresh = [c for c in listed if c not in known]
         words = [c for c in fresh if _WORD.match(c)]
         known.update(zip(words, self._words(words), strict=True))
