@@ -27,6 +27,7 @@ is told as `late`, as long as the stream is remembered."""
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
@@ -103,40 +104,76 @@ def numbered_entries(stream: DataFrame) -> DataFrame:
     return log.select(F.regexp_replace("inv", "#[0-9]+$", "").alias("file"), "seq", "at", F.to_json(doc).alias("doc"))
 
 
+_MISSING = object()
+
+
 class _Map:
-    """A MapState of JSON values by text keys."""
+    """A MapState of JSON values by text keys. What one call reads and writes is held
+    until save(), so each key meets the store once, and a stream that begins (fresh)
+    is not looked up at all; beyond `most` entries they are saved meanwhile."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str) -> None:
+    def __init__(self, handle: StatefulProcessorHandle, name: str, most: int = 100_000) -> None:
         text = lambda n: T.StructType([T.StructField(n, T.StringType())])
-        self.state = handle.getMapState(name, text("k"), text("v"))
+        self.state, self.most = handle.getMapState(name, text("k"), text("v")), most
+        self.begin()
+
+    def begin(self, fresh: bool = False) -> None:
+        """A call for another key starts; fresh: the store holds nothing of it."""
+        self.held, self.changed, self.empty, self.whole = {}, set(), fresh, fresh
 
-    def get(self, key, default=None):
-        found = self.state.getValue((str(key),)) if self.state.containsKey((str(key),)) else None
-        return default if found is None else json.loads(found[0])
+    def _load(self, key: str, new: bool = False):
+        if key not in self.held:
+            found = None if self.whole or new else self.state.getValue((key,))
+            self.held[key] = _MISSING if found is None else json.loads(found[0])
+        return self.held[key]
+
+    def get(self, key, default=None, new: bool = False):
+        """new: the store is known to have nothing under the key."""
+        found = self._load(str(key), new)
+        return default if found is _MISSING or found is None else found
 
     def put(self, key, value) -> None:
-        self.state.updateValue((str(key),), (json.dumps(value),))
+        self.held[str(key)] = value
+        self.changed.add(str(key))
+        if len(self.held) > self.most:
+            self.save()
 
     def pop(self, key, default=None):
         value = self.get(key, default)
-        self.state.removeKey((str(key),))
+        if self.held[str(key)] is not _MISSING:
+            self.held[str(key)] = _MISSING
+            self.changed.add(str(key))
         return value
 
     def add(self, key, item) -> None:
         self.put(key, [*self.get(key, []), item])
 
     def items(self) -> list[tuple[str, object]]:
-        return [(k[0], json.loads(v[0])) for k, v in self.state.iterator()]
+        if not self.whole:
+            for k, v in self.state.iterator():
+                self.held.setdefault(k[0], json.loads(v[0]))
+            self.whole = True
+        return [(k, v) for k, v in self.held.items() if v is not _MISSING]
 
     def clear(self) -> None:
-        self.state.clear()
+        if not self.empty:
+            self.state.clear()
+        self.begin(fresh=True)
+
+    def save(self) -> None:
+        for key in self.changed:
+            if self.held[key] is not _MISSING:
+                self.state.updateValue((key,), (json.dumps(self.held[key]),))
+            elif not self.empty:
+                self.state.removeKey((key,))
+        self.begin()
 
 
 class _Log:
     """Output ids of one log and what they stand for: an entry before its use."""
 
-    def __init__(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = _Map(handle, "ids")
+    def __init__(self, ids) -> None:
+        self.ids = ids
 
     def take(self, entry: dict) -> dict | None:
         """Keep an entry; of a spawn, what its outputs stand for, or None where one
@@ -163,30 +200,93 @@ class _Log:
         self.ids.clear()
 
 
+#: Log lines meet in this many groups by invocation, each with many small logs.
+LOG_GROUPS = 4096
+#: The small logs of a group are kept on this many pages.
+_PAGES = 4
+#: Ids of a log that stand on its page; those beyond have entries of their own.
+_FEW = 16
+#: Lines of a group that are taken at once.
+_AT_ONCE = 50_000
+
+
+class _Ids:
+    """What the ids of one log stand for: a few on its page, others in the store."""
+
+    def __init__(self, inv: str, at: dict, store: _Map) -> None:
+        self.inv, self.at, self.store = inv, at, store
+
+    def get(self, key):
+        few = self.at["ids"]
+        return few[str(key)] if str(key) in few else self.store.get(f"{self.inv}\x01{key}") if self.at["more"] else None
+
+    def put(self, key, value) -> None:
+        few = self.at["ids"]
+        if str(key) in few or len(few) < _FEW:
+            few[str(key)] = value
+        else:
+            self.at["more"] = True
+            self.store.put(f"{self.inv}\x01{key}", value)
+
+
 class LogReader(StatefulProcessor):
-    """Spawns of one log with their outputs, in the order of its lines."""
+    """Spawns of logs with their outputs, in the order of each log's lines. One group
+    holds many logs; of each the state keeps where it is (and how many lines wait),
+    what its ids stand for, and the lines that wait for a gap. Small logs share
+    pages, so that they do not go to the store one by one."""
 
     def __init__(self, first: int) -> None:
         self.first = first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.log, self.waiting, self.at = _Log(handle), _Map(handle, "waiting"), _Map(handle, "at")
+        every = float("inf")  # saved after each lot
+        self.ids, self.waiting, self.pages = (_Map(handle, n, every) for n in ("ids", "waiting", "pages"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, out = self.at.get("", {"next": self.first, "hash": None, "fault": False}), []
+        lot, size = {}, 0
+        for state in (self.ids, self.waiting, self.pages):
+            state.begin()
         for frame in rows:
-            for seq, doc in zip(frame["seq"], frame["doc"], strict=True):
-                if seq >= at["next"]:
-                    self.waiting.put(seq, json.loads(doc))
-        while not at["fault"] and (entry := self.waiting.pop(at["next"])) is not None:
-            at["hash"] = entry.get("hash") or at["hash"]
-            got = self.log.take(entry)
-            if entry.get("kind") == "spawn":
-                at["fault"] = got is None
-                out.append((entry["number"], at["next"], json.dumps(got | {"hash": at["hash"]}) if got else None))
-            at["next"] += 1
-        self.at.put("", at)
-        yield pd.DataFrame([(f"{key[0]}#{n}", seq, "now" if doc else "fault", "spawn", doc) for n, seq, doc in out], columns=HANDED.names)
+            for inv, seq, doc in zip(frame["inv"], frame["seq"], frame["doc"], strict=True):
+                lot.setdefault(inv, {})[int(seq)] = doc
+            size += len(frame)
+            if size >= _AT_ONCE:
+                yield self._take(lot)
+                lot, size = {}, 0
+        yield self._take(lot)
+
+    def _take(self, lot: dict[str, dict[int, str]]) -> pd.DataFrame:
+        out = []
+        for inv, lines in lot.items():
+            number = zlib.crc32(inv.encode()) % _PAGES
+            page = self.pages.get(number, {})
+            at = page.setdefault(inv, {"next": self.first, "hash": None, "fault": False, "waiting": 0, "ids": {}, "more": False})
+            log = _Log(_Ids(inv, at, self.ids))
+            while not at["fault"] and (doc := self._next(inv, at, lines)) is not None:
+                entry = json.loads(doc)
+                at["hash"] = entry.get("hash") or at["hash"]
+                got = log.take(entry)
+                if entry.get("kind") == "spawn":
+                    at["fault"] = got is None
+                    out.append((inv, at["next"], "now" if got else "fault", "spawn", json.dumps(got | {"hash": at["hash"]}) if got else None))
+                at["next"] += 1
+            for seq, doc in lines.items():
+                if seq >= at["next"] and not at["fault"]:
+                    place = f"{inv}\x01{seq}"
+                    at["waiting"] += self.waiting.get(place, new=not at["waiting"]) is None
+                    self.waiting.put(place, doc)
+            self.pages.put(number, page)
+        for state in (self.ids, self.waiting, self.pages):
+            state.save()
+        return pd.DataFrame(out, columns=HANDED.names)
+
+    def _next(self, inv: str, at: dict, lines: dict[int, str]) -> str | None:
+        """The line that is next in number, of this lot or one that waits."""
+        came = lines.pop(at["next"], None)
+        if at["waiting"] and (kept := self.waiting.pop(f"{inv}\x01{at['next']}")) is not None:
+            at["waiting"] -= 1
+            came = came or kept
+        return came
 
     def close(self) -> None:
         pass
@@ -196,14 +296,12 @@ def log_spawns(lines: DataFrame, first: int = 0) -> DataFrame:
     """Spawns of streamed log lines, as exec_log.spawns() gives those of whole logs
     that are in order; those of a log from its first fault on are left out. State
     is one entry an output id, and lines that wait for a gap."""
-    rows = numbered_entries(lines).withColumn("inv", F.concat_ws("#", "file", F.get_json_object("doc", "$.number")))
-    read = rows.groupBy("inv").transformWithStateInPandas(statefulProcessor=_ByInvocation(first), outputStructType=HANDED, outputMode="Append", timeMode="None")
+    rows = numbered_entries(lines).select(F.concat_ws("#", "file", F.get_json_object("doc", "$.number")).alias("inv"), "seq", "doc").withColumn("lot", F.pmod(F.xxhash64("inv"), F.lit(LOG_GROUPS)))
+    read = rows.groupBy("lot").transformWithStateInPandas(statefulProcessor=LogReader(first), outputStructType=HANDED, outputMode="Append", timeMode="None")
     return spawn_rows(read.filter("phase = 'now'"))
 
 
-class _ByInvocation(LogReader):
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from super().handleInputRows((key[0].rsplit("#", 1)[0],), rows, timerValues)
+_PARTS = ("events", "lines", "held", "labels", "open", "configs", "actions", "pending")
 
 
 class TraceBuilder(StatefulProcessor):
@@ -213,10 +311,22 @@ class TraceBuilder(StatefulProcessor):
         self.drain_ms, self.idle_ms, self.forget_ms, self.first, self.expect_log = drain_ms, idle_ms, forget_ms, first, expect_log
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.log, self.meta_state = handle, _Log(handle), _Map(handle, "meta")
-        for name in ("events", "lines", "held", "labels", "open", "configs", "actions", "pending"):
+        self.handle, self.log, self.meta_state = handle, _Log(_Map(handle, "ids")), _Map(handle, "meta")
+        for name in _PARTS:
             setattr(self, name, _Map(handle, name))
 
+    def _begin(self) -> dict | None:
+        """The stream's state is read as it is needed; of a new one there is none."""
+        self.meta_state.begin()
+        known = self.meta_state.get("")
+        for state in (self.log.ids, *[getattr(self, n) for n in _PARTS]):
+            state.begin(fresh=known is None)
+        return known
+
+    def _save(self) -> None:
+        for state in (self.meta_state, self.log.ids, *[getattr(self, n) for n in _PARTS]):
+            state.save()
+
     def _fresh(self, number: int, event: int) -> dict:
         return {"number": number, "event": event, "line": self.first, "uuid": None, "root_start": None, "started": False, "full": False, "ended": False, "logged": self.expect_log, "fault": False, "hash": None, "last": False, "fetch": None, "closed": False, "due": None}
 
@@ -364,7 +474,7 @@ class TraceBuilder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self.file, self.rows, newest = key[0], [], 0
-        m = self.meta = self.meta_state.get("") or self._fresh(1, self.first)
+        m = self.meta = self._begin() or self._fresh(1, self.first)
         was_last = m["last"]
         for frame in rows:
             newest = max(newest, int(frame["at"].max().timestamp() * 1000))
@@ -384,11 +494,12 @@ class TraceBuilder(StatefulProcessor):
             m["due"] = newest + (self.drain_ms if m["last"] else self.idle_ms)
             self.handle.registerTimer(m["due"])
         self.meta_state.put("", m)
+        self._save()
         yield pd.DataFrame(self.rows, columns=HANDED.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.file, self.rows = key[0], []
-        m = self.meta = self.meta_state.get("")
+        m = self.meta = self._begin()
         if m and m["closed"]:
             self.meta_state.clear()
         elif m:
@@ -399,6 +510,7 @@ class TraceBuilder(StatefulProcessor):
             m = self.meta | {"closed": True, "due": max(m["due"], timerValues.getCurrentWatermarkInMs()) + self.forget_ms}
             self.handle.registerTimer(m["due"])
             self.meta_state.put("", m)
+        self._save()
         yield pd.DataFrame(self.rows, columns=HANDED.names)
 
     def close(self) -> None:

@@ -179,3 +179,45 @@ def test_log_spawns(spark, tmp_path):
     assert [r.seq for r in got.filter("inv = 'g#2'").collect()] == [1]
     files = {r.seq: r.listed for r in want.select("seq", F.col("listed")).collect()}
     assert files[5] == ["a/2.o"] and files[10] == ["a/after.o"]  # the same id, before and after it was written anew
+
+
+def test_keyed_state_meets_the_store_once_a_key():
+    """What a call reads and writes is held until it is saved; a new stream is not looked up."""
+    class Store:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls += 1
+                if name == "getValue":
+                    return self.rows.get(args[0])
+                if name == "updateValue":
+                    self.rows[args[0]] = args[1]
+                if name == "removeKey":
+                    self.rows.pop(args[0], None)
+                if name == "iterator":
+                    return iter(list(self.rows.items()))
+                if name == "clear":
+                    self.rows.clear()
+
+            return call
+
+    store = Store()
+    handle = type("Handle", (), {"getMapState": lambda self, *of: store})()
+    state = incremental._Map(handle, "x")
+    state.begin(fresh=True)
+    for n in range(100):
+        state.add("k", n)
+        state.put("gone", n)
+        state.pop("gone")
+    assert store.calls == 0
+    state.save()
+    assert store.calls == 1 and list(store.rows) == [("k",)]
+    assert state.get("k") == list(range(100)) and state.pop("other", 7) == 7 and state.pop("k") and state.items() == []
+    state.save()
+    assert store.rows == {}
+    small = incremental._Map(handle, "x", most=10)
+    for n in range(35):
+        small.put(n, n)
+    assert len(small.held) <= 11 and sorted(v for _, v in small.items()) == list(range(35))
