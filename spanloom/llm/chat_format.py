@@ -4,8 +4,8 @@ Records come as JSON or VARIANT of many layouts. A record's fingerprint is the
 hash of its sorted nested field paths; a table of declarative mappings, keyed by
 fingerprint, says where the turns are: in a list of messages (with the paths of
 role and text and names for roles) or in fixed fields, one turn each. Rows of
-(conversation, turn, role, text) all have one fingerprint, so their mapping is
-looked up once and reads the gathered turns as they are: JSON and VARIANT, whose
+(conversation, turn, role, text) are gathered, and the fingerprint is that of the
+gathered turns' fields, values emptied; the mapping that it finds reads the turns as they are: JSON and VARIANT, whose
 limits (128 MiB a record, 20,000,000 characters a string) no conversation must
 meet, are not on that way. Records of unknown layout come out with a null mapping;
 one that starts as an object and cannot be read, be it broken or above those
@@ -131,20 +131,28 @@ def canonical(records: DataFrame, json: str, mappings: tuple[Mapping, ...] = MAP
 
 def canonical_rows(rows: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """conv_id, layout, turns and spans of rows of turns, gathered in order and
-    never turned into one text."""
-    by_paths = {tuple(sorted(m.paths)): m for m in mappings}
-    mapping = by_paths[tuple(sorted(ROW_PATHS))]
+    never turned into one text. Each conversation's fingerprint is taken from its
+    turns' fields and looked up in the mappings, as a record's is; one of unknown
+    layout has neither layout, turns nor spans."""
+    # a turn's layout is its JSON with all values emptied, so no limit on records is met; a conversation has few
+    layout = F.to_json(F.struct(*[F.lit("").alias(n) for n in ("turn", "role", "text") if n in rows.columns]))
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    each = rows.select("conv_id", turn.alias("t")).select("conv_id", "t.*")
+    each = rows.select("conv_id", turn.alias("t"), layout.alias("keys")).select("conv_id", "t.*", "keys")
     # places are running sums, so that no conversation is too long for them; the grouping takes the same exchange
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length(_piece(F.col("role"), F.col("text"))).cast("long")
     begin = F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))
     placed = each.withColumn("size", size).withColumn("begin", begin)
     kept = F.struct("turn", "role", "text", "begin")
-    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("turns"))
+    record = F.concat(F.lit('{"turns":['), F.array_join(F.array_sort(F.collect_set("keys")), ","), F.lit("]}"))
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("turns"), fingerprint(record).alias("_print"))
     spans = F.transform("turns", lambda t: _span(t["begin"], t["role"], t["text"]))
-    return grouped.select("conv_id", F.lit(mapping.name).alias("layout"), mapping.named(F.col("turns")).alias("turns"), spans.alias("spans"))
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
+    for m in mappings:
+        if m.turns == "turns" and {m.role, m.text} <= {"role", "text"}:  # others name fields that gathered turns do not have
+            hit = F.col("_print") == m.fingerprint()
+            name, turns = F.when(hit, F.lit(m.name)).otherwise(name), F.when(hit, m.named(F.col("turns")).cast(_TURNS)).otherwise(turns)
+    return grouped.select("conv_id", name.alias("layout"), turns.alias("turns"), F.when(name.isNotNull(), spans).alias("spans"))
 
 
 def _escape(text: Column) -> Column:

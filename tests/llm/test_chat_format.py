@@ -125,3 +125,15 @@ def test_spans_tell_the_mask(spark):
             assert got.formatted[s.start : s.start + s.length] == escaped and got.formatted[at:].startswith("### ")
             at = s.start + s.length + len("</turn>\n")
         assert at == len(got.formatted)
+
+
+def test_rows_take_their_mapping_by_fingerprint(spark):
+    """A conversation of rows is read by the mapping that its own fields' fingerprint
+    finds: one with other names maps them, and without one nothing is read."""
+    rows = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", None)], "conv_id long, turn long, role string, text string")
+    named = cf.Mapping("named", cf.ROW_PATHS, "turns", "role", "text", roles=(("human", "user"), ("gpt", "assistant")))
+    got = cf.canonical_rows(rows, (named,)).first()
+    assert got.layout == "named" and [tuple(t) for t in got.turns] == [("user", "a"), ("assistant", "")]
+    other = cf.Mapping("other", (*cf.ROW_PATHS, "turns[].more"), "turns", "role", "text")
+    got = cf.canonical_rows(rows, (other,)).first()
+    assert got.conv_id == 1 and got.layout is None and got.turns is None and got.spans is None
