@@ -5,6 +5,8 @@ is not bounded by the schema are joined without hints and left to AQE."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,27 +128,28 @@ def trace_check(spans: DataFrame, trace: str, span_id: str, parent: str, name: s
     return by_id.groupBy(trace).agg(F.sum("spans").alias("span_count"), F.bool_or("root").alias("has_root"), F.coalesce(F.sum(F.when(F.col("spans") == 0, F.col("used"))), F.lit(0).cast("long")).alias("dangling"))
 
 
-def depths(links: DataFrame) -> DataFrame:
-    """links (trace, id, up) with depth, 0 for a root, null for what no root is over:
-    spans below a missing parent or in a cycle. Pointer doubling: each round joins
-    every open span to the one that its pointer shows, which doubles the distance,
-    so a tree of depth d takes log2(d) rounds. Rounds carry ids alone and are staged;
-    a cycle stays open, and ends when the distance exceeds the largest trace."""
-    c, whole = F.col, links
-    now = stage(links.select("trace", "id", c("up").alias("at"), F.lit(1).alias("steps")))
+def depths(links: DataFrame, most: Callable[[], int]) -> DataFrame:
+    """n and depth, 0 for a root, of links (n, up: the number of the span over it,
+    null for a root) that a root is over; what hangs in a cycle or below a number
+    that is not there is left out. Pointer doubling: each round joins every open span
+    to the one that its pointer shows, which doubles the distance, so a tree of depth
+    d takes log2(d) rounds. A cycle stays open, and ends when the distance exceeds
+    the largest trace, which `most` counts if it comes to that."""
+    c = F.col
+    now = links.select("n", c("up").alias("at"), F.lit(1).alias("steps"))
     done, open_ = now.filter("at is null"), now.filter("at is not null")
-    reach, most = 1, None
+    reach, bound = 1, None
     while not open_.isEmpty():
-        if most is None and reach >= 4:  # deeper than most: how far can it go
-            most = whole.groupBy("trace").count().agg(F.max("count")).first()[0]
-        if most is not None and reach > most:
+        if bound is None and reach >= 4:  # deeper than most: how far can it go
+            bound = most()
+        if bound is not None and reach > bound:
             break
-        known = done.unionByName(open_).select(c("trace").alias("_t"), c("id").alias("_i"), c("at").alias("_at"), c("steps").alias("_steps"))
-        met = open_.join(known, (c("trace") == c("_t")) & (c("at") == c("_i")))  # who points at nothing leaves
-        moved = stage(met.select("trace", "id", c("_at").alias("at"), (c("steps") + c("_steps")).alias("steps")))
+        known = done.unionByName(open_).select(c("n").alias("at"), c("at").alias("_at"), c("steps").alias("_steps"))
+        met = open_.join(known, "at")  # who points at nothing leaves
+        moved = stage(met.select("n", c("_at").alias("at"), (c("steps") + c("_steps")).alias("steps")))
         done, open_ = done.unionByName(moved.filter("at is null")), moved.filter("at is not null")
         reach *= 2
-    return links.join(done.select("trace", "id", (c("steps") - 1).alias("depth")), ["trace", "id"], "left")
+    return done.select("n", (c("steps") - 1).alias("depth"))
 
 
 def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: str, end: str) -> DataFrame:
@@ -155,28 +158,36 @@ def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: s
     Trees may have any depth. A span that no root is over, be its parent missing or
     in a cycle, has no depth and comes after all others.
 
-    Depths come from pointer doubling over ids. Then each span's path (start and id
-    of each ancestor, which sort as they stand) doubles in the same way, as many
-    rounds as the deepest tree needs; spans are numbered by trace and path over
-    ranges, and meet their other columns once, at the end. A path is as long as its
-    span is deep. Rows of one trace and id are one node of the tree and stand one
-    behind the other; rows without a trace or id have neither depth nor place."""
+    Ids are long, so they meet twice only: spans are numbered by trace, parent, start
+    and id over ranges, which ranks siblings, and take the number of their parent. All
+    rounds work on numbers: depths by pointer doubling, then each span's path (the
+    numbers of its ancestors, eight bytes each, which sort as they stand) in the same
+    way, as many rounds as the deepest tree needs. Spans are placed by trace and path
+    over ranges, and meet their other columns once, at the end. Rows of one trace and
+    id are one node of the tree and stand one behind the other; rows without a trace
+    or id have neither depth nor place."""
     c = F.col
     at = F.coalesce(F.col(start), F.col(end), F.lit(0).cast("long"))
-    step = F.concat(F.lpad(F.hex(at.bitwiseXOR(F.lit(-(2**63)).cast("long"))), 16, "0"), F.hex(F.encode(F.col(span_id).cast("string"), "utf-8")), F.lit("."))
-    each = spans.select(F.col(trace).alias("trace"), F.col(span_id).alias("id"), F.struct(F.col(parent).alias("up"), step.alias("path")).alias("own")).filter("trace is not null and id is not null")
-    links = stage(each.groupBy("trace", "id").agg(F.min("own").alias("own"), F.count("*").alias("copies")).select("trace", "id", "own.*", "copies"))
-    known = stage(depths(links.select("trace", "id", "up")).join(links.select("trace", "id", "path", "copies"), ["trace", "id"]))
-    deepest = known.agg(F.max("depth")).first()[0] or 0
-    paths = known.withColumn("up", F.when(c("depth").isNotNull(), c("up")))
-    reach = 1
+    name = F.encode(c("id").cast("string"), "utf-8")
+    each = spans.select(F.col(trace).alias("trace"), F.col(span_id).alias("id"), F.struct(F.col(parent).alias("up"), at.alias("at")).alias("own")).filter("trace is not null and id is not null")
+    nodes = each.groupBy("trace", "id").agg(F.min("own").alias("own"), F.count("*").alias("copies")).select("trace", "id", "own.*", "copies")
+    parts, order = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), [c("trace"), c("up"), c("at"), name]
+    nodes = stage(nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()))
+    over = nodes.select(c("trace").alias("_t"), c("id").alias("_i"), c("n").alias("_up"))
+    met = nodes.join(over, (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
+    links = stage(met.filter("up is null or _up is not null").select("n", c("_up").alias("up")))
+    deep = stage(depths(links, lambda: nodes.groupBy("trace").count().agg(F.max("count")).first()[0] or 0))
+    deepest = deep.agg(F.max("depth")).first()[0] or 0
+    eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    paths, reach = links.join(deep, "n").select("n", "up", "depth", eight(c("n")).alias("path")), 1
     while reach <= deepest:
-        ahead = paths.select(c("trace").alias("_t"), c("id").alias("_i"), c("up").alias("_up"), c("path").alias("_path"))
-        met = paths.join(ahead, (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
-        paths = stage(met.select("trace", "id", c("_up").alias("up"), F.concat(F.coalesce("_path", F.lit("")), "path").alias("path"), "depth", "copies"))
+        ahead = paths.select(c("n").alias("up"), c("up").alias("_up"), c("path").alias("_path"))
+        paths = stage(paths.join(ahead, "up", "left").select("n", c("_up").alias("up"), "depth", F.coalesce(F.concat("_path", "path"), "path").alias("path")))
         reach *= 2
-    rows = paths.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), "path", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
-    placed = numbered(rows, "trace", [c("_lost"), c("path"), c("_copy")], "_place").filter("_copy = 1")
+    lone = F.concat(eight(c("at").bitwiseXOR(F.lit(-(2**63)).cast("long"))), name)
+    told = nodes.join(paths.select("n", "depth", "path"), "n", "left")
+    rows = told.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), F.coalesce("path", lone).alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    placed = numbered(rows, "trace", [c("_lost"), c("path"), c("_copy")], "_place", ["trace", "id", "depth", "_copy"]).filter("_copy = 1")
     told = placed.select(c("trace").alias("_t"), c("id").alias("_i"), "depth", "_place")
     met = spans.join(told, (F.col(trace) == c("_t")) & (F.col(span_id) == c("_i")), "left")
     nth = F.row_number().over(Window.partitionBy("_t", "_i").orderBy(at)) - 1  # of the rows of one id

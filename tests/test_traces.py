@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import assemble, typed
+from spanloom.operators import assemble, traces, typed
 from spanloom.sources import events as source
 from spanloom.sources import exec_log
 
@@ -191,3 +191,10 @@ def test_clamp_as_of(spark):
     ends = {clamp: {r.name: r.end_ns for r in assemble.build(split, options=assemble.Options(clamp=clamp)).filter("kind = 'action'").collect()} for clamp in ("final", "as_of")}
     assert ends["final"] == {"action T //l:1": 10 * S, "action T //l:2": 10 * S}
     assert ends["as_of"] == {"action T //l:1": 50 * S, "action T //l:2": 10 * S}
+
+
+def test_depths_work_on_numbers(spark):
+    """A chain, a ring, and what hangs below a number that is not there."""
+    links = spark.createDataFrame([(n, n - 1 if n else None) for n in range(9)] + [(20, 22), (21, 20), (22, 21), (30, 99)], "n long, up long")
+    got = {r.n: r.depth for r in traces.depths(links, lambda: 13).collect()}
+    assert got == {n: n for n in range(9)}
