@@ -45,8 +45,10 @@ class Options:
 def attributes(**values: Column) -> Column:
     """A map of the given values as strings, nulls and empty texts left out. Dots
     in keys are written as two underscores."""
-    pairs = [x for k, v in values.items() for x in (F.lit(f"{TOOL}.{k.replace('__', '.')}"), v.cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull() & (v != ""))
+    one = lambda k, v: F.array(F.struct(F.lit(f"{TOOL}.{k.replace('__', '.')}").alias("key"), v.alias("value")))
+    none = F.array().cast("array<struct<key string, value string>>")
+    each = [F.when(F.nullif(v.cast("string"), F.lit("")).isNotNull(), one(k, v.cast("string"))).otherwise(none) for k, v in values.items()]
+    return F.map_from_entries(F.concat(*each))  # without a lambda, which would not be compiled
 
 
 def publishes_all(opts: Column) -> Column:
@@ -242,7 +244,10 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     spans that are out already count as children, but are not built again.
 
     What several branches use is staged once: roots, published actions, targets,
-    the owner of each label, spawns with the action that they match."""
+    the owner of each label, spawns with the action that they match, and the spans
+    that group spans are told by. Actions, tests and spawns are not: a caller that
+    reads their spans more than once stages them, and one that reads a few columns
+    has only those built."""
     c, root = F.col, traces.stage(roots(events))
     shorts = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "end_seq")
 
@@ -288,34 +293,34 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
         missed = placed.filter("not cache_hit").select("inv", "norm")
         missed = missed if early is None or early.spawns is None else missed.unionByName(early.spawns.filter("missed").select("inv", "norm"))
         targets = targets.withColumn("norm", labels.normalize_label(c("label"))).join(missed.distinct().withColumn("missed", F.lit(True)), ["inv", "norm"], "left").withColumn("cached", c("missed").isNull())
-    whole = target_spans(_under_root(targets.withColumn("seq", c("closed_seq")), shorts, options))
+    under_groups = target_spans(_under_root(targets.withColumn("seq", c("closed_seq")), shorts, options))
+    under_groups = under_groups.unionByName(fetch_spans(_under_root(typed.table(events, "fetch"), shorts, options)))
+    under_groups = under_groups.unionByName(aborted_spans(_under_root(typed.table(events, "aborted_label"), shorts, options), options))
 
     configs = ordered.latest(typed.table(events, "configuration").select("inv", "id", "mnemonic", "seq"), ["inv", "id"], [c("seq")]).select("inv", c("id").alias("configuration"), c("mnemonic").alias("config_mnemonic"))
     acts = _under_root(traces.named(actions.join(owners, ["inv", "label"], "left"), configs, ["inv"], "configuration", "config_mnemonic", "config_name"), shorts, options)
-    whole = whole.unionByName(action_spans(acts, options))
+    whole = action_spans(acts, options)
     whole = whole.unionByName(test_spans(_under_root(tests.join(owners, ["inv", "label"]), shorts, options)))
-    whole = whole.unionByName(fetch_spans(_under_root(typed.table(events, "fetch"), shorts, options)))
-    whole = whole.unionByName(aborted_spans(_under_root(typed.table(events, "aborted_label"), shorts, options), options))
     if placed is not None:
         known = traces.stage(action_rows(acts))
         to_action = placed.filter("action_seq is not null").join(known.filter("not orphan").select("inv", c("seq").alias("action_seq"), "action_span", "a_start", "a_end"), ["inv", "action_seq"])
         to_orphan = placed.filter("action_seq is null").join(known.filter("orphan").drop("seq", "orphan"), ["inv", "norm", "mnemonic", "first_candidate"])
         whole = whole.unionByName(spawn_spans(_under_root(to_action.unionByName(to_orphan.select(*to_action.columns)), shorts, options), options))
 
-    whole = traces.stage(whole)  # the group spans are told by their children
-    groups = whole.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns")
+    told = traces.stage(under_groups)  # the group spans are told by their children
+    groups = told.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns")
     if early is not None:
         groups = groups.unionByName(early.children.filter("kind = 'fetch'").select("inv", F.lit("fetches").alias("g"), "start_ns"))
-    open_targets = whole.filter("kind = 'target' and start_ns is not null")
+    open_targets = told.filter("kind = 'target' and start_ns is not null")
     groups = groups.unionByName(open_targets.join(shorts.select("inv", "root_id"), "inv").filter("parent_span_id <> root_id").select("inv", F.when(c("status_code").isNotNull() & c("attrs").getItem(f"{TOOL}.target.abort_reason").isNotNull(), "skipped targets").otherwise("external deps").alias("g"), "start_ns"))
-    groups = groups.unionByName(whole.filter("kind = 'target' and start_ns is null").select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
+    groups = groups.unionByName(told.filter("kind = 'target' and start_ns is null").select("inv", F.lit("skipped targets").alias("g"), c("end_ns").alias("start_ns")))
     grouped = traces.groups(groups, ["inv"], "g", "start_ns").join(shorts, "inv")
     group_spans = _final(grouped, "group", c("root_id"), _group_id(c("g")), c("g"), F.coalesce("first", "root_start"), c("root_end"), status.success_status(F.when(c("g") != "skipped targets", True), ""), F.create_map().cast("map<string,string>"))
 
     attrs = root_attributes(events, options)
     root_rows = root.select("inv", "trace_id", "root_id", "root_start", "root_end", "command", "patterns", "exit_code").join(attrs, "inv", "left")
     root_spans = _final(root_rows, "root", F.lit(None).cast("string"), c("root_id"), labels.root_name(c("command"), c("patterns"), TOOL), c("root_start"), c("root_end"), status.root_status(c("exit_code")), F.coalesce("attrs", F.create_map().cast("map<string,string>")))
-    return root_spans.unionByName(group_spans).unionByName(whole).select(*_SPAN)
+    return root_spans.unionByName(group_spans).unionByName(told).unionByName(whole).select(*_SPAN)
 
 
 def action_rows(acts: DataFrame) -> DataFrame:

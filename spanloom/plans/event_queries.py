@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assemble, typed
+from ..operators.staging import stage
 from ..sources import events as source
 from ..sources import exec_log
 from .queries import _DAY, ns, query, table
@@ -102,7 +103,9 @@ def joined_attributes(attrs: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
 
 
-def with_parent_names(spans: DataFrame) -> DataFrame:
+def with_parent_names(spans: DataFrame, *more: Column) -> DataFrame:
+    """spans without attributes (but `more`, taken from them), with parent_name."""
+    spans = stage(spans.select(*[n for n in spans.columns if n != "attrs"], *more))
     names = spans.select("inv", F.col("span_id").alias("parent_span_id"), F.col("name").alias("parent_name"))
     return spans.join(names, ["inv", "parent_span_id"], "left")
 
@@ -224,13 +227,14 @@ def event_spawn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions and spawns of an execution log: matches, orphans, missing ones, the
     attributes copied to actions and those of the spawns."""
     events, spawns = spawned_build(spark, sf_dir)
-    spans = with_parent_names(assemble.build(events, spawns)).filter("kind in ('action', 'spawn')")
     get = lambda n: F.col("attrs").getItem(f"bazel.{n}")
     act = F.col("kind") == "action"
-    return spans.select(
-        "inv", "kind", "name", "parent_name", "start_ns", "end_ns", "status_code", get("action.spawn.count").alias("n_spawns"), get("action.spawn.missing").alias("missing"),
+    told = [
+        get("action.spawn.count").alias("n_spawns"), get("action.spawn.missing").alias("missing"),
         F.when(act, get("action.spawn.runner")).otherwise(get("spawn.runner")).alias("runner"), F.when(act, get("action.spawn.cache_hit")).otherwise(get("spawn.cache_hit")).alias("hit"),
-        get("spawn.queue_time_ms").alias("queue_ms"), F.when(act, get("action.primary_output")).otherwise(get("spawn.primary_output")).alias("outp"))
+        get("spawn.queue_time_ms").alias("queue_ms"), F.when(act, get("action.primary_output")).otherwise(get("spawn.primary_output")).alias("outp")]
+    spans = with_parent_names(assemble.build(events, spawns), *told).filter("kind in ('action', 'spawn')")
+    return spans.select("inv", "kind", "name", "parent_name", "start_ns", "end_ns", "status_code", "n_spawns", "missing", "runner", "hit", "queue_ms", "outp")
 
 
 @query("""WITH p AS (SELECT 'v' || conv_id || '#1' AS inv, turn AS seq, role = 'user' AS u, text FROM conversations WHERE coalesce(text, '') <> '')

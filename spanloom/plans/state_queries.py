@@ -131,6 +131,7 @@ SELECT inv, kind, name, parent_name, a::BIGINT * 1000000000 AS start_ns, b::BIGI
 
 
 def _told(spans: DataFrame) -> DataFrame:
+    spans = traces.stage(spans)
     names = spans.select("inv", c("span_id").alias("parent_span_id"), c("name").alias("parent_name"))
     get = lambda n: c("attrs").getItem(f"bazel.{n}")
     runner = F.when(c("kind") == "spawn", get("spawn.runner")).otherwise(get("action.spawn.runner"))

@@ -52,8 +52,11 @@ def classify(events: DataFrame, mode: str = "PERMISSIVE") -> tuple[DataFrame, Da
     does not read is quarantined with a reason that says so.
 
     What comes from parsing is generated as a row of one: filters on it then read
-    the result, where those on a plain column would parse once more each."""
-    kind = F.get(F.json_object_keys(F.get_json_object("raw", "$.id")), 0)
+    the result, where those on a plain column would parse once more each. Where an
+    event begins with its id, as they are written, its kind is read off; only others
+    are parsed once more for it."""
+    begins = F.nullif(F.regexp_extract("raw", r'^\s*+\{\s*+"id"\s*+:\s*+\{\s*+"([A-Za-z0-9_]++)"\s*+:', 1), F.lit(""))
+    kind = F.coalesce(begins, F.get(F.json_object_keys(F.get_json_object("raw", "$.id")), 0))
     parsed = events.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v"), kind.alias("event_type")))))
     reason = F.when(F.col("v").isNull() & (F.length("raw") > STRING_LIMIT), "not JSON, or above the parser's limits").when(F.col("v").isNull(), "not JSON").when(F.col("event_type").isNull(), "missing event id")
     parsed = parsed.withColumn("last_message", F.coalesce(F.try_variant_get("v", "$.lastMessage", "boolean"), F.try_variant_get("v", "$.last_message", "boolean"), F.lit(False)))
