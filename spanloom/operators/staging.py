@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: How many files of a partitioned table a task keeps open before it sorts its rows.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage with a table in the folder of spark.checkpoint.dir, partitioned
-    `by` a column if given. A local session without that setting, as in tests, gets
+    `by` a column if given (few values: a task keeps a file open for each, and need
+    not sort its rows). A local session without that setting, as in tests, gets
     a folder of its own; on a cluster the setting must be there."""
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -22,6 +26,13 @@ def stage(df: DataFrame, by: str | None = None) -> DataFrame:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanloom-"))
         base = sc.getCheckpointDir()
     path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(path)
+    if by:
+        before = spark.conf.get(_WRITERS)
+        spark.conf.set(_WRITERS, "32")
+        try:
+            df.write.partitionBy(by).parquet(path)
+        finally:
+            spark.conf.set(_WRITERS, before)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

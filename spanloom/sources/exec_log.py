@@ -75,18 +75,26 @@ def status(log: DataFrame) -> DataFrame:
     return counted.select("inv", "spawns_received", F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, "output id without entry").alias("error"))
 
 
-def _time(path: str) -> Column:
-    get = lambda p, of: F.try_variant_get("v", p, of)
-    text = get(path, "string")
-    dotted = F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)") * SECOND
-    return F.coalesce(dotted.cast("long"), to_nanos(get(f"{path}.seconds", "bigint"), get(f"{path}.nanos", "bigint")), F.when(get(f"{path}.nanos", "bigint").isNotNull(), get(f"{path}.nanos", "bigint")))
+def _time(value: Column) -> Column:
+    """Nanoseconds of a VARIANT: seconds as a text, or seconds and nanos."""
+    get = lambda p, of: F.try_variant_get(value, p, of)
+    dotted = F.regexp_extract(get("$", "string"), r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)") * SECOND
+    whole = F.coalesce(dotted.cast("long"), to_nanos(get("$.seconds", "bigint"), get("$.nanos", "bigint")), F.when(get("$.nanos", "bigint").isNotNull(), get("$.nanos", "bigint")))
+    return F.when(value.isNotNull(), whole)
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """lines: inv, seq, raw. Adds v, id and kind."""
-    v = lines.withColumn("v", F.try_parse_json("raw")).filter("v is not null")
+    """lines: inv, seq, raw. Adds v, id and kind, the first key but for the id.
+
+    What comes from parsing is generated as a row of one: filters on it then read
+    the result, where those on a plain column would parse once more each. Where an
+    entry begins with its kind, or its id and then its kind, as they are written, the
+    kind is read off; only others are parsed once more for it."""
+    begins = F.nullif(F.regexp_extract("raw", r'^\s*+\{\s*+(?:"id"\s*+:\s*+(?:[0-9]++|"[0-9]++")\s*+,\s*+)?+"(?!id")([A-Za-z0-9_]++)"\s*+:', 1), F.lit(""))
     keys = F.filter(F.json_object_keys("raw"), lambda k: k != "id")
-    return v.select(*lines.columns, "v", F.coalesce(F.try_variant_get("v", "$.id", "bigint"), F.lit(0).cast("long")).alias("id"), F.get(keys, 0).alias("kind"))
+    kind = F.coalesce(begins, F.get(keys, 0))
+    parsed = lines.select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("v"), kind.alias("kind"))))).filter("v is not null")
+    return parsed.select(*lines.columns, "v", F.coalesce(F.try_variant_get("v", "$.id", "bigint"), F.lit(0).cast("long")).alias("id"), "kind")
 
 
 def stands_for() -> tuple[Column, Column]:
@@ -116,15 +124,18 @@ FILES = "array<struct<path:string,hash:string,size:bigint>>"
 
 
 def spawn_fields(log: DataFrame, *more: str) -> DataFrame:
-    """inv, seq and the fields of every spawn entry; outs are its outputs by id."""
+    """inv, seq and the fields of every spawn entry; outs are its outputs by id. Times
+    are read by one expression over all, so that the code of a row stays short enough
+    to be compiled."""
     get = lambda p, of="string": F.try_variant_get("v", p, of)
-    return log.filter("kind = 'spawn'").select(
+    times = F.transform(F.array(*[get(f"$.spawn.metrics.{d}", "variant") for d in ("startTime", *_DURATIONS)]), _time)
+    return log.filter("kind = 'spawn'").select("inv", "seq", "v", times.alias("_times"), *more).select(
         "inv", "seq", get("$.spawn.targetLabel").alias("label"), get("$.spawn.mnemonic").alias("mnemonic"), F.coalesce(get("$.spawn.args", "array<string>"), F.array().cast("array<string>")).alias("args"),
         get("$.spawn.runner").alias("runner"), F.coalesce(get("$.spawn.cacheHit", "boolean"), F.lit(False)).alias("cache_hit"), F.coalesce(get("$.spawn.remoteCacheable", "boolean"), F.lit(False)).alias("remote_cacheable"),
         get("$.spawn.exitCode", "int").alias("exit_code"), get("$.spawn.status").alias("status"), get("$.spawn.digest.hash").alias("digest"),
-        _time("$.spawn.metrics.startTime").alias("start_time_ns"), *[_time(f"$.spawn.metrics.{d}").alias(d) for d in _DURATIONS],
+        *[F.col("_times")[i].alias(n) for i, n in enumerate(("start_time_ns", *_DURATIONS))],
         F.coalesce(get("$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>"), F.array().cast("array<struct<outputId:bigint,invalidOutputPath:string>>")).alias("outs"), *more,
-    ).withColumn("start_time_ns", F.coalesce("start_time_ns", F.lit(None).cast("long")))
+    )
 
 
 def finished(fields: DataFrame) -> DataFrame:
@@ -141,10 +152,14 @@ def hash_functions(log: DataFrame) -> DataFrame:
 def spawns(log: DataFrame, strict: bool = True) -> DataFrame:
     """Spawns with listed and actual outputs: an id stands for what was written last
     before the spawn. An output id that its log has no earlier entry of makes the
-    log corrupt: strict stops the job, else its spawns are left out."""
-    base = spawn_fields(log)
+    log corrupt: strict stops the job, else its spawns are left out.
+
+    The parsed log is staged once, spawns in a folder of their own: uses, fields,
+    outputs and hash functions read it there, and nothing is parsed again."""
+    log = stage(log.select("inv", "seq", "id", "kind", "v", (F.col("kind") == "spawn").alias("ran")), by="ran")
+    base = spawn_fields(log.filter("ran"))
     each = base.select("inv", "seq", F.posexplode("outs").alias("pos", "o")).withColumn("out_id", F.col("o.outputId"))
-    known = outputs(log).select(F.col("inv").alias("_inv"), F.col("id").alias("_id"), "since", "until", "kind", "files", "path")
+    known = outputs(log.filter("not ran")).select(F.col("inv").alias("_inv"), F.col("id").alias("_id"), "since", "until", "kind", "files", "path")
     at = (F.col("inv") == F.col("_inv")) & (F.col("out_id") == F.col("_id")) & (F.col("since") <= F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))
     found = each.join(known, at, "left").select("inv", "seq", "pos", "o", "kind", "files", "path")
     lost = F.col("o.outputId").isNotNull() & F.col("kind").isNull()
@@ -153,7 +168,7 @@ def spawns(log: DataFrame, strict: bool = True) -> DataFrame:
     listed = F.array_sort(F.collect_set(F.coalesce("o.invalidOutputPath", "path")))
     actual = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "files"))), lambda x: F.coalesce(x["files"], F.array().cast(FILES))))
     grouped = found.groupBy("inv", "seq").agg(listed.alias("listed"), actual.alias("actual"), F.bool_or(lost).alias("corrupt"))
-    joined = base.join(grouped, ["inv", "seq"], "left").join(hash_functions(log), "inv", "left")
+    joined = base.join(grouped, ["inv", "seq"], "left").join(hash_functions(log.filter("not ran")), "inv", "left")
     if not strict:
         bad = grouped.groupBy("inv").agg(F.bool_or("corrupt").alias("bad")).filter("bad").select("inv")
         joined = joined.join(bad, "inv", "left_anti")

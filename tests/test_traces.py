@@ -198,3 +198,14 @@ def test_depths_work_on_numbers(spark):
     links = spark.createDataFrame([(n, n - 1 if n else None) for n in range(9)] + [(20, 22), (21, 20), (22, 21), (30, 99)], "n long, up long")
     got = {r.n: r.depth for r in traces.depths(links, lambda: 13).collect()}
     assert got == {n: n for n in range(9)}
+
+
+def test_a_log_is_parsed_once(spark):
+    """Spawns come from the staged log alone, and the text is no longer looked at."""
+    rows = [("a", 0, '{"id": 1, "file": {"path": "f"}}'), ("a", 1, '{"spawn": {"outputs": [{"outputId": 1}], "metrics": {"startTime": {"seconds": "2", "nanos": 5}, "totalTime": "1.5s", "queueTime": {"nanos": 7}}}}'), ("a", 2, '{"id": "7", "directory": {"path": "d"}}'), ("a", 3, "no JSON"), ("a", 4, '{"id": 8}'), ("a", 5, '{"file": {"path": "g"}, "id": 9}')]
+    log = exec_log.entries(spark.createDataFrame(rows, "inv string, seq long, raw string"))
+    assert [(r.seq, r.id, r.kind) for r in log.orderBy("seq").collect()] == [(0, 1, "file"), (1, 0, "spawn"), (2, 7, "directory"), (4, 8, None), (5, 9, "file")]
+    spawns = exec_log.spawns(log)
+    (s,) = spawns.collect()
+    assert (s.start_time_ns, s.totalTime, s.queueTime, s.parseTime, s.end_time_ns, s.listed) == (2_000_000_005, 1_500_000_000, 7, None, 3_500_000_005, ["f"])
+    assert "parse_json" not in spawns._jdf.queryExecution().optimizedPlan().toString().lower()
