@@ -9,13 +9,22 @@ from pyspark.sql import DataFrame
 #: How many files of a partitioned table a task keeps open before it sorts its rows.
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
+#: Rows in memory take up to this many times their files, as measured on keys of traces.
+_FACTOR, _TIMES = "spark.sql.sources.fileCompressionFactor", 16.0
+
 
 def stage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut lineage with a table in the folder of spark.checkpoint.dir, partitioned
     `by` a column if given (few values: a task keeps a file open for each, and need
     not sort its rows). A local session without that setting, as in tests, gets
-    a folder of its own; on a cluster the setting must be there."""
+    a folder of its own; on a cluster the setting must be there.
+
+    Spark plans a broadcast by the size of files; staged keys are far larger in
+    memory than there, so the session's factor between the two is raised. What is
+    small indeed is still broadcast, by its size at run time."""
     spark = df.sparkSession
+    if float(spark.conf.get(_FACTOR)) < _TIMES:
+        spark.conf.set(_FACTOR, str(_TIMES))
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:

@@ -209,3 +209,9 @@ def test_a_log_is_parsed_once(spark):
     (s,) = spawns.collect()
     assert (s.start_time_ns, s.totalTime, s.queueTime, s.parseTime, s.end_time_ns, s.listed) == (2_000_000_005, 1_500_000_000, 7, None, 3_500_000_005, ["f"])
     assert "parse_json" not in spawns._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_staged_keys_are_not_broadcast_by_the_size_of_their_files(spark):
+    keys = traces.stage(spark.range(1_000_000).selectExpr("concat('c', id div 100, '#1', id % 100) AS key", "1 AS n"))
+    plan = keys.join(keys.withColumnRenamed("n", "m"), "key")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
