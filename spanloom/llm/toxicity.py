@@ -44,6 +44,8 @@ from .common import blocks, pack, stage, trim
 _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = (4, 5, 6, 7)
 _CACHE = 200_000
+#: Rows of the design matrix that the fit works on at a time.
+_ROWS = 1024
 
 
 def word_features(word: str) -> list[str]:
@@ -81,21 +83,28 @@ def _logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(w[0] + x @ w[1:], -15, 15)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 3.0, steps: int = 10) -> np.ndarray:
-    """Logistic regression with an L2 penalty, by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x])
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.zeros(x.shape[1])
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 3.0, steps: int = 10, odds: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression with an L2 penalty, by Newton's method. odds: further
+    columns. Gradient and Hessian are sums over blocks of rows, so that no copy of
+    the whole of x is made."""
+    n, width = len(x), 1 + x.shape[1] + (0 if odds is None else odds.shape[1])
+    rate = (y.sum() + 0.5) / (n + 1)
+    w = np.zeros(width)
     w[0] = np.log(rate / (1 - rate))
     if y.min(initial=1) == y.max(initial=0):
         return w
-    ridge = np.full(len(w), penalty)
+    ridge = np.full(width, penalty)
     ridge[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -15, 15)))
-        h = (x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x
-        h[np.diag_indices(len(w))] += ridge
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h, g = np.zeros((width, width)), -ridge * w
+        for at in range(0, n, _ROWS):
+            rows = slice(at, at + _ROWS)
+            z = np.column_stack([np.ones(len(y[rows])), x[rows], *([] if odds is None else [odds[rows]])])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -15, 15)))
+            h += (z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z
+            g += z.T @ (y[rows] - p)
+        h[np.diag_indices(width)] += ridge
+        step = np.linalg.solve(h, g)
         w += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-2:
             break
@@ -104,15 +113,15 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 3.0, steps: int =
 
 def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, ...]:
     """labels: one column a category. folds: the fold of each row."""
-    weights, odds = [], []
+    weights, odds = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
-        z = np.column_stack([x, *odds])
-        weights.append(fit_linear(z, labels[:, k]))
-        held = np.zeros(len(z))
+        weights.append(fit_linear(x, labels[:, k], odds=odds))
+        held = np.zeros(len(x))
         for f in np.unique(folds):
             out = folds == f
-            held[out] = _logit(fit_linear(z[~out], labels[~out, k]), z[out])
-        odds.append(held)
+            w = fit_linear(x[~out], labels[~out, k], odds=odds[~out])
+            held[out] = np.clip(w[0] + x[out] @ w[1 : 1 + x.shape[1]] + odds[out] @ w[1 + x.shape[1] :], -15, 15)
+        odds = np.column_stack([odds, held])
     return tuple(weights)
 
 
@@ -177,11 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(n) for n in names), pa.array([c.astype("<i4").tobytes() for c in counts], pa.binary()), pa.array(words, pa.int64())], ["doc_id", *names, "counts", "words"])
 
     table = rows.mapInArrow(design, "doc_id long, " + ", ".join(f"`{n}` int" for n in names) + ", counts binary, words long").toArrow().sort_by("doc_id")  # at most `sample` x `features`
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4").astype(np.float32).reshape(len(table), len(vocabulary))
-    x = surprise(counts, table.column("words").to_numpy().astype(np.float32), rate.astype(np.float32)).astype(np.float64)
+    words, at = table.column("words").to_numpy().astype(np.float32), 0
+    x = np.empty((len(table), len(vocabulary)), np.float32)
+    for chunk in table.column("counts").chunks:  # no second copy of the whole
+        for block in (chunk.slice(i, _ROWS) for i in range(0, len(chunk), _ROWS)):
+            counts = np.frombuffer(b"".join(block.to_pylist()), "<i4").astype(np.float32).reshape(len(block), len(vocabulary))
+            x[at : at + len(block)] = surprise(counts, words[at : at + len(block)], rate.astype(np.float32))
+            at += len(block)
     y = np.column_stack([table.column(n).to_numpy() for n in names]).astype(np.float64).reshape(len(table), len(names))
     ids = table.column("doc_id").to_pylist()
-    del table, counts
+    del table
     fold = np.array([hash_fold(i, folds) for i in ids], np.int64)
     chain = Chain(names, vocabulary, rate, fit_chain(x, y, fold))
     del x, y

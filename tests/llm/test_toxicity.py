@@ -137,3 +137,21 @@ def test_against_a_plain_version(spark):
         o = float(np.clip(first[0] + np.dot(v, first[1:]), -15, 15))
         p = 1 / (1 + np.exp(-np.clip(chain.weights[1][0] + np.dot([*v, o], chain.weights[1][1:]), -15, 15)))
         assert abs(r.p_low_quality - 1 / (1 + np.exp(-o))) < 1e-4 and abs(r.p_toxic - p) < 1e-4 and r.reject == (r.p_toxic >= 0.4)
+
+
+def test_fit_needs_no_copy_of_the_design_matrix():
+    """The driver holds the matrix once: fitting takes a small part of it more, and
+    the weights are those of the whole at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x = rng.random((9000, 200)).astype(np.float32)
+    y = (x[:, 0] + rng.normal(0, 0.3, 9000) > 0.8).astype(np.float64)
+    tracemalloc.start()
+    w = toxicity.fit_linear(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9000 * 200 * 8
+    z = np.column_stack([np.ones(9000), x.astype(np.float64)])
+    gradient = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - 3.0 * np.r_[0, w[1:]]
+    assert np.abs(gradient).max() < 0.1
