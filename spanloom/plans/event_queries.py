@@ -65,7 +65,7 @@ SELECT 'c' || cust || '#1' AS inv, count(*) AS targets, count(*) FILTER (st = 'F
 FROM o LEFT JOIN a USING (cust) GROUP BY cust""")
 def event_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = source.classify(build_events(spark, sf_dir))
-    return assemble.summary(source.bronze(source.invocations(good))).select("inv", "targets", "targets_ok", "targets_failed", "actions", "actions_failed", "summary")
+    return assemble.summary(source.invocations(source.parsed(good))).select("inv", "targets", "targets_ok", "targets_failed", "actions", "actions_failed", "summary")
 
 
 @query("""SELECT 'c' || o_custkey || '#1' AS inv, '//order:' || o_orderkey AS label, o_orderpriority AS kind, epoch_us(o_orderdate::TIMESTAMP) * 1000 AS event_time_ns FROM orders""")

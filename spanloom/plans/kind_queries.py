@@ -318,7 +318,7 @@ def display_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'c' || o_custkey || '#1' AS inv, '//order:' || l_orderkey AS label, count(*) AS actions, count(*) FILTER (l_returnflag = 'R') AS actions_failed FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def actions_per_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = source.classify(build_events(spark, sf_dir))
-    return assemble.action_counts(source.invocations(good))
+    return assemble.action_counts(source.invocations(source.parsed(good)))
 
 
 @query(_TREE + """, x AS (SELECT *, CASE kind WHEN 'root' THEN 0 WHEN 'target' THEN 1 ELSE 2 END AS depth FROM t),

@@ -215,3 +215,12 @@ def test_staged_keys_are_not_broadcast_by_the_size_of_their_files(spark):
     keys = traces.stage(spark.range(1_000_000).selectExpr("concat('c', id div 100, '#1', id % 100) AS key", "1 AS n"))
     plan = keys.join(keys.withColumnRenamed("n", "m"), "key")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_parsed_events_tell_invocations_without_their_text(spark):
+    """A last message of an ignored kind ends its stream, and nothing is parsed again."""
+    rows = [("f", 0, '{"id": {"started": {}}, "started": {"uuid": "u"}}'), ("f", 1, '{"id": {"progress": {}}, "progress": {}}'), ("f", 2, '{"id": {"unknown": {}}, "lastMessage": true}'), ("f", 3, '{"id": {"progress": {}}, "progress": {}}'), ("g", 0, '{"id": {"progress": {}}}')]
+    good, _ = source.classify(spark.createDataFrame(rows, "file string, seq long, raw string"))
+    told = source.invocations(source.parsed(good))
+    assert sorted((r.inv, r.seq) for r in told.collect()) == [("f#1", 0), ("f#1", 1), ("f#1", 2), ("g#1", 0)]
+    assert "parse_json" not in told._jdf.queryExecution().optimizedPlan().toString().lower()
