@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import to_timestamp
-from ..operators import ordered
+from ..operators import ordered, staging
 
 
 def resource_columns(df: DataFrame, service: str = "bazel", sdk: str = "spanloom", version: str = "0.1") -> DataFrame:
@@ -29,12 +29,31 @@ def _attributes(attrs: Column) -> Column:
     return F.transform(F.map_entries(attrs), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
 
 
-def otlp_json(spans: DataFrame, batch: int = 512, service: str = "bazel") -> DataFrame:
+#: Spans of a trace that one task sorts; larger traces are sorted over ranges.
+TRACE_LIMIT = 1_000_000
+
+
+def _places(spans: DataFrame, limit: int) -> DataFrame:
+    """spans with _n, their number in their trace by start and id. Spans are made
+    once; those of a trace then meet in one shuffle, which serves what groups by
+    trace after it. Traces above the limit, at most one in `limit` spans, are told
+    by a count before and numbered by a sort over ranges."""
+    spans, order = staging.stage(spans), [F.col("start_ns"), F.col("span_id")]
+    large = staging.stage(spans.groupBy("trace_id").agg(F.count("*").alias("_of")).filter(F.col("_of") > limit).select(F.col("trace_id").alias("_large")))
+    same, some = F.col("trace_id").eqNullSafe(F.col("_large")), not large.isEmpty()
+    rest = spans.join(F.broadcast(large), same, "left_anti") if some else spans
+    small = rest.withColumn("_n", F.row_number().over(Window.partitionBy("trace_id").orderBy(*order)).cast("long"))
+    if not some:
+        return small
+    return small.unionByName(ordered.numbered(spans.join(F.broadcast(large), same, "left_semi"), "trace_id", order, "_n"))
+
+
+def otlp_json(spans: DataFrame, batch: int = 512, service: str = "bazel", limit: int = TRACE_LIMIT) -> DataFrame:
     """One JSON document (resource, scope, spans) per trace and batch of spans.
-    Batches are numbered within a trace, by a sort over ranges; a document never
-    holds more than `batch` spans, whatever the size of the trace."""
-    placed = ordered.numbered(spans, "trace_id", [F.col("start_ns"), F.col("span_id")], "_n")
-    numbered = placed.withColumn("_batch", F.floor((F.col("_n") - 1) / batch))
+    Batches are numbered within a trace; a document never holds more than `batch`
+    spans, whatever the size of the trace, and no task sorts more than `limit` spans
+    of one trace."""
+    numbered = _places(spans, limit).withColumn("_batch", F.floor((F.col("_n") - 1) / batch))
     code = F.when(F.col("status_code") == "Ok", 1).when(F.col("status_code") == "Error", 2).otherwise(0)
     span = F.struct(
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name",

@@ -48,6 +48,22 @@ def test_progress_stream(spark, tmp_path):
     assert [r.stdout for r in spark.table("progress_rows").orderBy("seq").collect()] == ["hi --define=TOKEN=***", "after the end"]
 
 
+def test_documents_of_large_and_small_traces(spark):
+    """Traces above the limit are sorted over ranges, others meet in one shuffle."""
+    from pyspark.sql import functions as F
+
+    rows = [(t, f"{i:016x}", i % 7) for t, n in (("a", 23), ("b", 4), (None, 9), ("c", 1)) for i in range(n)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, start_ns long").select("*", F.lit(None).cast("string").alias("parent_span_id"), F.lit("n").alias("name"), F.lit("action").alias("kind"), F.lit(9).cast("long").alias("end_ns"), F.lit("Ok").alias("status_code"), F.lit(None).cast("string").alias("status_desc"), F.create_map(F.lit("k"), F.lit("v")).alias("attrs"))
+    for limit in (8, 100):
+        got = {(r.trace_id, r.batch): [s["spanId"] for s in json.loads(r.value)["resourceSpans"][0]["scopeSpans"][0]["spans"]] for r in sinks.otlp_json(spans, batch=5, limit=limit).collect()}
+        for t in ("a", "b", None, "c"):
+            want = [s for s, _ in sorted(((s, at) for x, s, at in rows if x == t), key=lambda r: (r[1], r[0]))]
+            assert [got.pop((t, n)) for n in range(-(-len(want) // 5))] == [want[i : i + 5] for i in range(0, len(want), 5)]
+        assert not got
+    plan = sinks.otlp_json(spans, batch=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_sinks(spark, tmp_path):
     good, _ = source.classify(spark.createDataFrame([("f", i, json.dumps(e)) for i, e in enumerate(scenario())], "file string, seq long, raw string"))
     spans = assemble.build(source.invocations(good)).cache()
