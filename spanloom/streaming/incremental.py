@@ -13,6 +13,9 @@ stream is over. What the state holds:
 - spawns that wait for their action, by their best candidate (MapState);
 - the events that only the end of the build decides: targets, file sets, the root.
 
+Each of these with few entries stands on a page beside the stream's own entry, so a
+small stream meets the store once a batch, whatever it holds.
+
 Handed on at once: fetches; tests and actions whose target is known (actions of an
 invocation with an execution log stay open until it is over, for their spawns);
 spawns whose best candidate is a known action, whichever of the two came first.
@@ -105,21 +108,34 @@ def numbered_entries(stream: DataFrame) -> DataFrame:
 
 
 _MISSING = object()
+#: Entries of a map that stand on a page of its stream; larger ones go to the store.
+_ON_PAGE = 64
 
 
 class _Map:
     """A MapState of JSON values by text keys. What one call reads and writes is held
     until save(), so each key meets the store once, and a stream that begins (fresh)
-    is not looked up at all; beyond `most` entries they are saved meanwhile."""
+    is not looked up at all; beyond `most` entries they are saved meanwhile.
+
+    A map of few entries need not meet the store at all: its owner keeps page() with
+    other such maps in one entry, and hands it back to begin()."""
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, most: int = 100_000) -> None:
         text = lambda n: T.StructType([T.StructField(n, T.StringType())])
         self.state, self.most = handle.getMapState(name, text("k"), text("v")), most
         self.begin()
 
-    def begin(self, fresh: bool = False) -> None:
-        """A call for another key starts; fresh: the store holds nothing of it."""
-        self.held, self.changed, self.empty, self.whole = {}, set(), fresh, fresh
+    def begin(self, fresh: bool = False, page: dict | None = None) -> None:
+        """A call for another key starts; fresh: the store holds nothing of it, and
+        all there is stands on the page, if there is one."""
+        self.held, self.changed, self.empty, self.whole = dict(page or {}), set(page or ()), fresh, fresh
+
+    def page(self) -> dict | None:
+        """All entries, if they are few and none is in the store; else None."""
+        if not self.empty or len(self.held) > 2 * _ON_PAGE:
+            return None
+        there = dict(self.items())
+        return there if len(there) <= _ON_PAGE else None
 
     def _load(self, key: str, new: bool = False):
         if key not in self.held:
@@ -319,13 +335,29 @@ class TraceBuilder(StatefulProcessor):
         """The stream's state is read as it is needed; of a new one there is none."""
         self.meta_state.begin()
         known = self.meta_state.get("")
-        for state in (self.log.ids, *[getattr(self, n) for n in _PARTS]):
-            state.begin(fresh=known is None)
+        pages = known.pop("pages", {}) if known else {}
+        for name, state in self._maps():
+            state.begin(fresh=known is None or name in pages, page=pages.get(name))
         return known
 
-    def _save(self) -> None:
-        for state in (self.meta_state, self.log.ids, *[getattr(self, n) for n in _PARTS]):
-            state.save()
+    def _maps(self) -> list[tuple[str, _Map]]:
+        return [("ids", self.log.ids), *[(n, getattr(self, n)) for n in _PARTS]]
+
+    def _save(self, meta: dict | None) -> None:
+        """Keep the stream, or forget it (meta None). Maps of few entries are kept
+        beside meta, so that a small stream is one entry of the store."""
+        pages = {}
+        for name, state in self._maps():
+            there = state.page() if meta else None
+            if there is None:
+                state.save()
+            else:
+                pages[name] = there
+        if meta:
+            self.meta_state.put("", meta | {"pages": pages})
+        else:
+            self.meta_state.clear()
+        self.meta_state.save()
 
     def _fresh(self, number: int, event: int) -> dict:
         return {"number": number, "event": event, "line": self.first, "uuid": None, "root_start": None, "started": False, "full": False, "ended": False, "logged": self.expect_log, "fault": False, "hash": None, "last": False, "fetch": None, "closed": False, "due": None}
@@ -493,15 +525,15 @@ class TraceBuilder(StatefulProcessor):
                 self.handle.deleteTimer(m["due"])
             m["due"] = newest + (self.drain_ms if m["last"] else self.idle_ms)
             self.handle.registerTimer(m["due"])
-        self.meta_state.put("", m)
-        self._save()
-        yield pd.DataFrame(self.rows, columns=HANDED.names)
+        self._save(m)
+        if self.rows:
+            yield pd.DataFrame(self.rows, columns=HANDED.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.file, self.rows = key[0], []
         m = self.meta = self._begin()
         if m and m["closed"]:
-            self.meta_state.clear()
+            m = None
         elif m:
             self._run(force=True)
             self._finish()
@@ -509,9 +541,9 @@ class TraceBuilder(StatefulProcessor):
                 state.clear()
             m = self.meta | {"closed": True, "due": max(m["due"], timerValues.getCurrentWatermarkInMs()) + self.forget_ms}
             self.handle.registerTimer(m["due"])
-            self.meta_state.put("", m)
-        self._save()
-        yield pd.DataFrame(self.rows, columns=HANDED.names)
+        self._save(m)
+        if self.rows:
+            yield pd.DataFrame(self.rows, columns=HANDED.names)
 
     def close(self) -> None:
         pass

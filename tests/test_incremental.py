@@ -221,3 +221,53 @@ def test_keyed_state_meets_the_store_once_a_key():
     for n in range(35):
         small.put(n, n)
     assert len(small.held) <= 11 and sorted(v for _, v in small.items()) == list(range(35))
+
+
+def test_a_small_stream_is_one_entry_of_the_store():
+    """What a stream holds stands beside its own entry while it is little; a map that
+    has grown goes to the store and is read back from there."""
+    import pandas as pd
+
+    calls, kept, timers = [], {}, set()
+
+    class Store:
+        def __init__(self, name):
+            self.rows = kept.setdefault(name, {})
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "updateValue":
+                    self.rows[args[0]] = args[1]
+                return {"getValue": lambda: self.rows.get(args[0]), "removeKey": lambda: self.rows.pop(args[0], None), "iterator": lambda: iter(list(self.rows.items())), "clear": self.rows.clear}.get(name, lambda: None)()
+
+            return call
+
+    handle = type("Handle", (), {"getMapState": lambda self, name, *of: Store(name), "registerTimer": lambda self, at: timers.add(at), "deleteTimer": lambda self, at: timers.discard(at)})()
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 10**13})()
+
+    def run(cuts, events):
+        kept.clear(), timers.clear(), calls.clear()
+        out = []
+        for part in [events[i::cuts] for i in reversed(range(cuts))]:
+            builder = incremental.TraceBuilder(1000, 1000, 1000, 0, False)
+            builder.init(handle)
+            before = len(calls)
+            frame = pd.DataFrame([(seq, pd.Timestamp(T0), json.dumps(doc)) for seq, doc in part], columns=["seq", "at", "doc"])
+            out += [tuple(r) for f in builder.handleInputRows(("f",), iter([frame]), now) for r in f.itertuples(index=False)]
+            used = len(calls) - before
+        builder = incremental.TraceBuilder(1000, 1000, 1000, 0, False)
+        builder.init(handle)
+        out += [tuple(r) for f in builder.handleExpiredTimer(("f",), now, None) for r in f.itertuples(index=False)]
+        builder.init(handle)
+        assert list(builder.handleExpiredTimer(("f",), now, None)) == [] and not any(kept.values())
+        return sorted(out), used
+
+    doc = lambda kind, **more: {"what": "event", "raw": kind, "type": kind, "norm": "", "mnemonic": "", "output": "", **more}
+    small = [doc("started", uuid="u", start_ns=1), doc("optionsParsed", publishes=True), *[doc("targetConfigured", label=f"//t:{n}") for n in range(8)], *[doc("actionCompleted", label=f"//t:{n}", success=True, start_ns=2, end_ns=3) for n in range(8)], doc("buildFinished", ends=True, last=True)]
+    rows, used = run(3, list(enumerate(small)))
+    assert rows == run(1, list(enumerate(small)))[0] and len([r for r in rows if r[2] == "now"]) == 8
+    assert used <= 2  # its entry is read and written
+    large = [*small[:2], *[doc("targetConfigured", label=f"//t:{n}") for n in range(300)], *[doc("actionCompleted", label=f"//t:{n}", success=True, start_ns=2, end_ns=3) for n in range(300)], small[-1]]
+    rows, used = run(3, list(enumerate(large)))
+    assert rows == run(1, list(enumerate(large)))[0] and len([r for r in rows if r[2] == "now"]) == 300 and used > 300
