@@ -28,8 +28,8 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word Jaccard of 0.8 stays."""
-    return near_copies.keep_one(docs)
+    """One document of each group linked by SimHash, or five-word Jaccard of 0.8, stays."""
+    return near_copies.keep_one_linked(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Near copies: five-word shingles and Jaccard similarity of at least 0.8.
+"""Near copies: SimHash links, and five-word Jaccard similarity of at least 0.8.
 
-The pipeline's near-dedup; op8 keeps the setting of its contract. It takes the
-same way as SimHash, over a wider fingerprint, since 64 bits of a majority vote
-tell nothing sure at 0.8 (such pairs differ by 5 to 12 bits):
+The pipeline's near-dedup, keep_one_linked(). Documents are linked by SimHash as in
+op8 (64 bits of four-word shingles, at most 4 of them different, over its
+byte-position index); and, since 64 bits of a majority vote tell nothing sure at
+0.8 (such pairs differ by 5 to 12 bits), by five-word Jaccard too, which takes the
+same way over a wider fingerprint. A group is what links of either kind connect;
+near_copies() alone has those of Jaccard:
 
 1. Fingerprints: 125 bytes; byte i is the low byte of the least of the XXH64 of
    all shingles under the i-th permutation, so that two texts share a byte with
@@ -38,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, hot_limit, join_hot, stage, utf8
-from .simhash import components, drop_others, shingle_hashes
+from .simhash import components, drop_others, fingerprint_bits, links, shingle_hashes
 
 WORDS, BANDS, WIDTH, SHARED = 5, 25, 5, 72
+#: SimHash: words of a shingle and bits that may differ, as in op8.
+SIM_WORDS, SIM_BITS = 4, 4
 #: The least similarity as a fraction.
 PART, WHOLE = 4, 5
 _FACTORS = np.random.default_rng(8).integers(0, 2**64, (BANDS * WIDTH, 1), np.uint64) | np.uint64(1)
@@ -69,11 +74,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * WHOLE >= (len(a) + len(b) - both) * PART
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text", 8 << 20):
-        sets = [shingle_set(t) for t in utf8(batch.column(1))]
-        fps = [wide_fingerprint(s).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
+def _prints(by_simhash: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 8 << 20):
+            texts = utf8(batch.column(1))
+            sets = [shingle_set(t) for t in texts]
+            fps = [wide_fingerprint(s).tobytes() for s in sets]
+            sims = np.array([fingerprint_bits(shingle_hashes(t, SIM_WORDS)) if by_simhash else 0 for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node_of, sets), pa.int64()), pa.array(fps, pa.binary()), pa.array(sims)], ["doc_id", "node", "fp", "sim"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +189,20 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ours.join(theirs, ["v", "salt"]).select("v", "u", "sv", "su").mapInArrow(_compare, "a long, b long")
 
 
+def _alike(rows: DataFrame) -> DataFrame:
+    """(a, b): the nodes of each group of SimHash fingerprints, linked to its smallest.
+    rows: node and sim, the fingerprint. Fingerprints are linked before any node is
+    looked at, and one that very many nodes have is spread."""
+    held = stage(rows.select("sim", "node").distinct(), "sims")
+    sims = stage(held.groupBy("sim").agg(F.min("node").alias("low"), F.count("*").alias("n")), "sim-nodes")
+    roots = components(links(sims.select(F.col("sim").alias("fp")), SIM_BITS))
+    rooted = sims.join(roots, sims["sim"] == roots["node"], "left").select("sim", "low", "n", F.coalesce("root", "sim").alias("root"))
+    named, limit = stage(rooted, "sim-roots"), hot_limit(held.count())
+    tops = named.groupBy("root").agg(F.min("low").alias("a"), F.count("*").alias("of"))
+    by_sim = stage(join_hot(named, tops, "root", "sim", "of", limit).select("sim", "n", "a"), "by-sim")
+    return join_hot(held, by_sim, "sim", "node", "n", limit).select("a", F.col("node").alias("b")).filter("a <> b")
+
+
 def _with_roots(found: DataFrame, name: str) -> DataFrame:
     """node and its component's smallest node, the smallest itself included."""
     root = F.col("root")
@@ -190,10 +214,11 @@ def _linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and component_id (the least doc_id of its group), a row a row."""
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", by_simhash: bool = False) -> DataFrame:
+    """doc_id and component_id (the least doc_id of its group), a row a row.
+    by_simhash: groups are linked by SimHash fingerprints, too."""
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = stage(chosen.mapInArrow(_prints, "doc_id long, node long, fp binary"), "prints")
+    rows = stage(chosen.mapInArrow(_prints(by_simhash), "doc_id long, node long, fp binary, sim long"), "prints")
     nodes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("fp").alias("fp")), "nodes")
     posted = stage(nodes.select("node", "fp").mapInArrow(_keys, "key long, node long"), "posted")
     listed = posted.join(posted.groupBy("key").count().filter("count > 1").select("key"), "key").join(nodes.select("node", "fp"), "node")
@@ -219,7 +244,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     cells = answers.unionByName(asks).select(F.xxhash64("wide", "i", "j").alias("key"), "node", "part", "asks")
     whole = cells.join(nodes.select("node", "fp"), "node").join(sets, "node").select("key", "node", "part", "asks", "fp", "shingles")
     more = whole.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key(_cell), "a long, b long")
-    found = stage(_with_roots(components(sure.unionByName(more)), "a").withColumnRenamed("node", "b"), "groups")
+    joined = sure.unionByName(more)
+    found = stage(_with_roots(components(joined.unionByName(_alike(rows)) if by_simhash else joined), "a").withColumnRenamed("node", "b"), "groups")
     named = stage(nodes.join(found, nodes["node"] == found["b"], "left").select("node", "low", F.coalesce("a", "node").alias("root")), "rooted")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(named.join(lows, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
@@ -228,3 +254,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one document of each group, as simhash.keep_one does it."""
     return drop_others(docs, near_copies(docs, text, doc_id), doc_id)
+
+
+def keep_one_linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one document of each group that links by SimHash and by Jaccard connect."""
+    return drop_others(docs, near_copies(docs, text, doc_id, by_simhash=True), doc_id)

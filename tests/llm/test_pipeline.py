@@ -92,6 +92,22 @@ def test_near_dedup_keeps_one_of_each_group_by_jaccard(spark):
     assert any((prints[a] ^ prints[b]).bit_count() > 4 for a, b in linked)
 
 
+def test_near_dedup_links_by_simhash_too(spark):
+    """Texts of equal or close SimHash fingerprints whose five-word Jaccard is far
+    below 0.8: a sentence said over and over votes alone, whatever stands around it."""
+    rng = np.random.default_rng(9)
+    said = "one sentence stands here again and again "
+    rows = [(i, said * 60 + " ".join(f"t{i}x{x}" for x in range(30))) for i in range(6)]
+    rows += [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 80))) for i in range(20)]
+    rows += [(None, said * 60 + "no id")]
+    prints = {i: brute_fp(t) for i, t in rows}
+    assert {(prints[0] ^ prints[i]).bit_count() <= 4 for i in range(6)} == {True} and len(set(brute_jaccard(rows[:-1]).values())) == 26
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    groups = brute_components([i for i, _ in rows[:-1]], [prints[i] for i, _ in rows[:-1]])
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(groups.values())) and len(set(groups.values())) == 21
+
+
 def test_stages_on_odd_input(spark, tmp_path):
     """Columns that clash, nulls everywhere, ties and repeats, a very long text, and an empty table."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, row string, found int, component_id long, keep_id string, length int, ids string"
