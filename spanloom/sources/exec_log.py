@@ -76,11 +76,12 @@ def status(log: DataFrame) -> DataFrame:
 
 
 def _time(value: Column) -> Column:
-    """Nanoseconds of a VARIANT: seconds as a text, or seconds and nanos."""
-    get = lambda p, of: F.try_variant_get(value, p, of)
-    dotted = F.regexp_extract(get("$", "string"), r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)") * SECOND
-    whole = F.coalesce(dotted.cast("long"), to_nanos(get("$.seconds", "bigint"), get("$.nanos", "bigint")), F.when(get("$.nanos", "bigint").isNotNull(), get("$.nanos", "bigint")))
-    return F.when(value.isNotNull(), whole)
+    """Nanoseconds of a VARIANT: seconds as a text, or seconds and nanos. Both are
+    read at once, since a text holds no fields and looking for each takes its time."""
+    get = lambda of: F.try_variant_get(value, "$", of)
+    both = get("struct<seconds bigint, nanos bigint>")
+    dotted = F.regexp_extract(get("string"), r"^([0-9]+(?:\.[0-9]+)?)s$", 1).try_cast("decimal(20,9)") * SECOND
+    return F.when(value.isNotNull(), F.coalesce(to_nanos(both["seconds"], both["nanos"]), both["nanos"], dotted.cast("long")))
 
 
 def entries(lines: DataFrame) -> DataFrame:
@@ -124,18 +125,21 @@ FILES = "array<struct<path:string,hash:string,size:bigint>>"
 
 
 def spawn_fields(log: DataFrame, *more: str) -> DataFrame:
-    """inv, seq and the fields of every spawn entry; outs are its outputs by id. Times
-    are read by one expression over all, so that the code of a row stays short enough
-    to be compiled."""
+    """inv, seq and the fields of every spawn entry; outs are its outputs by id. Every
+    field is taken in the first projection, so that a scan of a staged log reads it
+    from its own column and never builds an entry again. Times are then read by one
+    expression over all, so that the code of a row stays short enough to be compiled."""
     get = lambda p, of="string": F.try_variant_get("v", p, of)
-    times = F.transform(F.array(*[get(f"$.spawn.metrics.{d}", "variant") for d in ("startTime", *_DURATIONS)]), _time)
-    return log.filter("kind = 'spawn'").select("inv", "seq", "v", times.alias("_times"), *more).select(
+    names = ("start_time_ns", *_DURATIONS)
+    fields = log.filter("kind = 'spawn'").select(
         "inv", "seq", get("$.spawn.targetLabel").alias("label"), get("$.spawn.mnemonic").alias("mnemonic"), F.coalesce(get("$.spawn.args", "array<string>"), F.array().cast("array<string>")).alias("args"),
         get("$.spawn.runner").alias("runner"), F.coalesce(get("$.spawn.cacheHit", "boolean"), F.lit(False)).alias("cache_hit"), F.coalesce(get("$.spawn.remoteCacheable", "boolean"), F.lit(False)).alias("remote_cacheable"),
         get("$.spawn.exitCode", "int").alias("exit_code"), get("$.spawn.status").alias("status"), get("$.spawn.digest.hash").alias("digest"),
-        *[F.col("_times")[i].alias(n) for i, n in enumerate(("start_time_ns", *_DURATIONS))],
+        F.transform(F.array(*[get(f"$.spawn.metrics.{d}", "variant") for d in ("startTime", *_DURATIONS)]), _time).alias("_times"),
         F.coalesce(get("$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>"), F.array().cast("array<struct<outputId:bigint,invalidOutputPath:string>>")).alias("outs"), *more,
     )
+    before = fields.columns[: fields.columns.index("_times")]
+    return fields.select(*before, *[F.col("_times")[i].alias(n) for i, n in enumerate(names)], "outs", *more)
 
 
 def finished(fields: DataFrame) -> DataFrame:
