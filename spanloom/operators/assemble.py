@@ -15,6 +15,7 @@ from ..functions import ids, labels, redact, status, text
 from ..functions.times import clamp
 from ..sources import exec_log
 from . import ordered, traces, typed
+from .staging import passing
 
 #: Fixed value: what attribute keys and root spans begin with.
 TOOL = "bazel"
@@ -244,8 +245,9 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     spans that are out already count as children, but are not built again.
 
     What several branches use is staged once: roots, published actions, targets,
-    the owner of each label, spawns with the action that they match, and the spans
-    that group spans are told by. Actions, tests and spawns are not: a caller that
+    the owner of each label, spawns with the action that they match (without what
+    can be told from their other columns), and the spans that group spans are told
+    by. Spawns and actions as they are before they have met go when they have. Actions, tests and spawns are not: a caller that
     reads their spans more than once stages them, and one that reads a few columns
     has only those built."""
     c, root = F.col, traces.stage(roots(events))
@@ -255,27 +257,27 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
     done_rows = typed.table(events, "target_completed", options.missing_target_success)
     done = ordered.latest(done_rows, ["inv", "label"], [c("seq")]).withColumnRenamed("event_time_ns", "completed_ns").withColumnRenamed("seq", "closed_seq")
     seen = traces.stage(traces.lifecycle(configured, done, ["inv", "label"]))
-    actions = traces.stage(published_actions(events).drop("event_time_ns"))
+    actions = published_actions(events).drop("event_time_ns")
     tests = typed.table(events, "test_result")
     placed = None
     if spawns is not None:
-        spawns = spawn_keys(spawns)
-        keyed = ordered.latest(actions.select("inv", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), F.coalesce("mnemonic", F.lit("")).alias("mnemonic"), F.coalesce("output", F.lit("")).alias("output"), "seq"), ["inv", "norm", "mnemonic", "output"], [c("seq")]).withColumnRenamed("seq", "action_seq")
-        spawns = traces.stage(spawns)
-        matched = traces.match_ranked(spawns, keyed, ["inv"], ["seq"], "candidates", ["norm", "mnemonic"], "output", "action_seq").drop("rank")
-        placed = traces.stage(spawns.drop("candidates").join(matched, ["inv", "seq"], "left"))
-        lone = placed.filter("action_seq is null")
-        orphan = lone.groupBy("inv", "norm", "mnemonic", "first_candidate").agg(F.min("start_time_ns").alias("start_ns"), F.max("end_time_ns").alias("end_ns"), F.count("*").alias("spawn_count"), F.min_by("label", "seq").alias("label"))
-        told = placed.filter("action_seq is not null").select("inv", "action_seq", F.lit(1).cast("long").alias("spawn_count"), "seq", F.struct(*TOLD).alias("s"))
-        logged = placed.select("inv")
-        if early is not None and early.spawns is not None:
-            told, logged = told.unionByName(early.spawns.select(*told.columns)), logged.unionByName(early.spawns.select("inv"))
-        first = told.groupBy("inv", c("action_seq").alias("seq")).agg(F.sum("spawn_count").alias("spawn_count"), F.min_by("s", told["seq"]).alias("s"))
-        actions = actions.join(first, ["inv", "seq"], "left").join(logged.distinct().withColumn("has_log", F.lit(True)), "inv", "left").withColumns({"orphan": F.lit(False), "has_log": F.coalesce("has_log", F.lit(False))})
-        lost = orphan.select("inv", "label", "mnemonic", c("first_candidate").alias("output"), "start_ns", "end_ns", "spawn_count", F.lit(True).alias("success"), F.lit(True).alias("orphan"), F.lit(True).alias("has_log"), F.lit(-1).cast("long").alias("seq"))
-        actions = traces.stage(actions.unionByName(lost, allowMissingColumns=True))
+        with passing(events.sparkSession) as keep:
+            actions, spawns = traces.stage(actions), traces.stage(spawns)
+            keyed = ordered.latest(actions.select("inv", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), F.coalesce("mnemonic", F.lit("")).alias("mnemonic"), F.coalesce("output", F.lit("")).alias("output"), "seq"), ["inv", "norm", "mnemonic", "output"], [c("seq")]).withColumnRenamed("seq", "action_seq")
+            matched = traces.match_ranked(spawn_keys(spawns), keyed, ["inv"], ["seq"], "candidates", ["norm", "mnemonic"], "output", "action_seq").drop("rank")
+            placed = spawn_keys(keep(spawns.join(matched, ["inv", "seq"], "left"))).drop("candidates")
+            lone = placed.filter("action_seq is null")
+            orphan = lone.groupBy("inv", "norm", "mnemonic", "first_candidate").agg(F.min("start_time_ns").alias("start_ns"), F.max("end_time_ns").alias("end_ns"), F.count("*").alias("spawn_count"), F.min_by("label", "seq").alias("label"))
+            told = placed.filter("action_seq is not null").select("inv", "action_seq", F.lit(1).cast("long").alias("spawn_count"), "seq", F.struct(*TOLD).alias("s"))
+            logged = placed.select("inv")
+            if early is not None and early.spawns is not None:
+                told, logged = told.unionByName(early.spawns.select(*told.columns)), logged.unionByName(early.spawns.select("inv"))
+            first = told.groupBy("inv", c("action_seq").alias("seq")).agg(F.sum("spawn_count").alias("spawn_count"), F.min_by("s", told["seq"]).alias("s"))
+            actions = actions.join(first, ["inv", "seq"], "left").join(logged.distinct().withColumn("has_log", F.lit(True)), "inv", "left").withColumns({"orphan": F.lit(False), "has_log": F.coalesce("has_log", F.lit(False))})
+            lost = orphan.select("inv", "label", "mnemonic", c("first_candidate").alias("output"), "start_ns", "end_ns", "spawn_count", F.lit(True).alias("success"), F.lit(True).alias("orphan"), F.lit(True).alias("has_log"), F.lit(-1).cast("long").alias("seq"))
+            actions = keep(actions.unionByName(lost, allowMissingColumns=True))
     else:
-        actions = without_log(actions)
+        actions = without_log(traces.stage(actions))
 
     # whose child is a label: a target of that label, or of its normal form, or one known by its children alone
     children = actions.select("inv", "label", "start_ns", "end_ns", "seq").unionByName(tests.select("inv", "label", "start_ns", (c("start_ns") + c("duration_ns")).alias("end_ns"), "seq")).filter("label is not null")
@@ -324,9 +326,11 @@ def build(events: DataFrame, spawns: DataFrame | None = None, options: Options =
 
 
 def action_rows(acts: DataFrame) -> DataFrame:
-    """What spawns need of their action: id, bounds, and what an orphan is known by."""
+    """What spawns need of their action: id, bounds, and what an orphan, and only
+    that, is known by."""
     c, (s, e) = F.col, _action_bounds()
-    return acts.select("inv", "seq", "orphan", labels.normalize_label(F.coalesce("label", F.lit(""))).alias("norm"), "mnemonic", c("output").alias("first_candidate"), _action_id().alias("action_span"), s.alias("a_start"), e.alias("a_end"))
+    of_orphan = lambda v: F.when(c("orphan"), v)
+    return acts.select("inv", "seq", "orphan", of_orphan(labels.normalize_label(F.coalesce("label", F.lit("")))).alias("norm"), of_orphan(c("mnemonic")).alias("mnemonic"), of_orphan(c("output")).alias("first_candidate"), _action_id().alias("action_span"), s.alias("a_start"), e.alias("a_end"))
 
 
 def spawn_attributes(options: Options) -> Column:

@@ -3,11 +3,13 @@ customers are invocations, orders targets, lines actions and spawns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assemble, typed
-from ..operators.staging import stage
+from ..operators.staging import passing
 from ..sources import events as source
 from ..sources import exec_log
 from .queries import _DAY, ns, query, table
@@ -103,11 +105,19 @@ def joined_attributes(attrs: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
 
 
-def with_parent_names(spans: DataFrame, *more: Column) -> DataFrame:
-    """spans without attributes (but `more`, taken from them), with parent_name."""
-    spans = stage(spans.select(*[n for n in spans.columns if n != "attrs"], *more))
-    names = spans.select("inv", F.col("span_id").alias("parent_span_id"), F.col("name").alias("parent_name"))
-    return spans.join(names, ["inv", "parent_span_id"], "left")
+#: Kinds of spans that no other span is under.
+_LEAVES = ("spawn", "test", "fetch")
+
+
+def with_parent_names(spark: SparkSession, build: Callable[[], DataFrame], *wanted: str | Column) -> DataFrame:
+    """inv, kind, name, what is wanted of the spans that `build` makes, and
+    parent_name. Spans are staged with these alone, and with the ids that are looked
+    up; what was staged to build them goes."""
+    with passing(spark) as keep:
+        own = F.when(~F.col("kind").isin(*_LEAVES), F.col("span_id")).alias("own")
+        spans = keep(build().select("inv", "kind", "name", own, "parent_span_id", *wanted))
+    names = spans.filter("own is not null").select("inv", F.col("own").alias("parent_span_id"), F.col("name").alias("parent_name"))
+    return spans.drop("own").join(names, ["inv", "parent_span_id"], "left")
 
 
 @query("""WITH o AS (SELECT 'c' || o_custkey || '#1' AS inv, 'target //order:' || o_orderkey AS name, 'bazel.target.kind=' || o_orderpriority || ';bazel.target.label=//order:' || o_orderkey || ';bazel.target.label_short=//order:' || o_orderkey AS a, o_orderstatus AS st FROM orders),
@@ -169,9 +179,9 @@ UNION ALL SELECT inv, 'target', 'target //order:' || ord, 'skipped targets', NUL
 @query(_SIDE + "SELECT * REPLACE (coalesce(start_ns, -1) AS start_ns) FROM x")
 def event_side_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests, fetches, skipped, aborted, synthetic and external targets, groups."""
-    spans = assemble.build(side_events(spark, sf_dir))
     start = F.coalesce("start_ns", F.lit(-1).cast("long")).alias("start_ns")
-    return with_parent_names(spans).select("inv", "kind", "name", "parent_name", start, "end_ns", "status_code", "status_desc")
+    spans = with_parent_names(spark, lambda: assemble.build(side_events(spark, sf_dir)), start, "end_ns", "status_code", "status_desc")
+    return spans.select("inv", "kind", "name", "parent_name", "start_ns", "end_ns", "status_code", "status_desc")
 
 
 @query(_SIDE + """SELECT inv, name, 'bazel.target.label=' || CASE WHEN ext THEN '@ext' ELSE '' END || '//order:' || ord || ';bazel.test.attempt=1;bazel.test.status=' || CASE st WHEN 'F' THEN 'PASSED' ELSE 'FAILED' END AS attrs FROM (SELECT *, 'test //order:' || ord || ' [attempt=1]' AS name FROM s)
@@ -226,14 +236,14 @@ UNION ALL SELECT inv, 'spawn', 'spawn Ship ' || outp, 'action Ship //order:' ||
 def event_spawn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions and spawns of an execution log: matches, orphans, missing ones, the
     attributes copied to actions and those of the spawns."""
-    events, spawns = spawned_build(spark, sf_dir)
     get = lambda n: F.col("attrs").getItem(f"bazel.{n}")
     act = F.col("kind") == "action"
     told = [
         get("action.spawn.count").alias("n_spawns"), get("action.spawn.missing").alias("missing"),
         F.when(act, get("action.spawn.runner")).otherwise(get("spawn.runner")).alias("runner"), F.when(act, get("action.spawn.cache_hit")).otherwise(get("spawn.cache_hit")).alias("hit"),
         get("spawn.queue_time_ms").alias("queue_ms"), F.when(act, get("action.primary_output")).otherwise(get("spawn.primary_output")).alias("outp")]
-    spans = with_parent_names(assemble.build(events, spawns), *told).filter("kind in ('action', 'spawn')")
+    build = lambda: assemble.build(*spawned_build(spark, sf_dir))
+    spans = with_parent_names(spark, build, "start_ns", "end_ns", "status_code", *told).filter("kind in ('action', 'spawn')")
     return spans.select("inv", "kind", "name", "parent_name", "start_ns", "end_ns", "status_code", "n_spawns", "missing", "runner", "hit", "queue_ms", "outp")
 
 
