@@ -4,6 +4,7 @@ one step share partitioning and order, so that one exchange serves them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -48,14 +49,14 @@ def in_force(rows: DataFrame, changes: DataFrame, keys: list[str], seq: str, sin
     return rows.join(facts.hint("shuffle_hash"), at, "left").select(*rows.columns, F.col("_value").alias(value))
 
 
-def numbered(rows: DataFrame, key: str, order: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: list[Column], name: str, keep: list[str] | None = None, by: Callable[[DataFrame], DataFrame] = stage) -> DataFrame:
     """rows with their number within the key, by a sort over ranges: a key with most
     of the rows lies in many ranges, and what each has before it comes from counts.
-    Staged once sorted, so numbers and rows see the same places; of the columns only
-    those to keep are, if they are given."""
+    Staged once sorted (`by` the function that does it), so numbers and rows see the
+    same places; of the columns only those to keep are, if they are given."""
     kept = [*(keep or rows.columns)]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = stage(rows.repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order).select(*kept, F.monotonically_increasing_id().alias("_at"))).withColumn("_range", F.shiftright("_at", 33))
+    placed = by(rows.repartitionByRange(parts, F.col(key), *order).sortWithinPartitions(F.col(key), *order).select(*kept, F.monotonically_increasing_id().alias("_at"))).withColumn("_range", F.shiftright("_at", 33))
     counts = placed.groupBy(key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     ahead = counts.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_ahead"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import normalize_label
 from ..functions.times import clamp
 from .ordered import numbered
-from .staging import stage
+from .staging import passing, stage
 
 
 def lifecycle(configured: DataFrame, completed: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,37 +158,38 @@ def tree_order(spans: DataFrame, trace: str, span_id: str, parent: str, start: s
     Trees may have any depth. A span that no root is over, be its parent missing or
     in a cycle, has no depth and comes after all others.
 
-    Ids are long, so they meet twice only: spans are numbered by trace, parent, start
-    and id over ranges, which ranks siblings, and take the number of their parent. All
-    rounds work on numbers: depths by pointer doubling, then each span's path (the
-    numbers of its ancestors, eight bytes each, which sort as they stand) in the same
-    way, as many rounds as the deepest tree needs. Spans are placed by trace and path
-    over ranges, and meet their other columns once, at the end. Rows of one trace and
-    id are one node of the tree and stand one behind the other; rows without a trace
-    or id have neither depth nor place."""
+    Spans are staged once, whole (hand over what is wanted of them), numbered by
+    trace, parent, start and id over ranges, which ranks siblings. Ids are long and
+    meet once, when spans take the number of their parent. All else works on numbers:
+    depths by pointer doubling, then each span's path (the numbers of its ancestors,
+    eight bytes each, which sort as they stand) in the same way, as many rounds as the
+    deepest tree needs. Spans are placed by trace and path over ranges, and take depth
+    and place by number. Rows of one trace and id are one node of the tree, as the one
+    of the lowest number tells it, and stand one behind the other; rows without a
+    trace or id have neither depth nor place. What was staged on the way goes."""
     c = F.col
     at = F.coalesce(F.col(start), F.col(end), F.lit(0).cast("long"))
-    name = F.encode(c("id").cast("string"), "utf-8")
-    each = spans.select(F.col(trace).alias("trace"), F.col(span_id).alias("id"), F.struct(F.col(parent).alias("up"), at.alias("at")).alias("own")).filter("trace is not null and id is not null")
-    nodes = each.groupBy("trace", "id").agg(F.min("own").alias("own"), F.count("*").alias("copies")).select("trace", "id", "own.*", "copies")
-    parts, order = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), [c("trace"), c("up"), c("at"), name]
-    nodes = stage(nodes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()))
-    over = nodes.select(c("trace").alias("_t"), c("id").alias("_i"), c("n").alias("_up"))
-    met = nodes.join(over, (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
-    links = stage(met.filter("up is null or _up is not null").select("n", c("_up").alias("up")))
-    deep = stage(depths(links, lambda: nodes.groupBy("trace").count().agg(F.max("count")).first()[0] or 0))
-    deepest = deep.agg(F.max("depth")).first()[0] or 0
+    name = F.encode(F.col(span_id).cast("string"), "utf-8")
+    parts, order = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), [c(trace), c(parent), at, name]
     eight = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
-    paths, reach = links.join(deep, "n").select("n", "up", "depth", eight(c("n")).alias("path")), 1
-    while reach <= deepest:
-        ahead = paths.select(c("n").alias("up"), c("up").alias("_up"), c("path").alias("_path"))
-        paths = stage(paths.join(ahead, "up", "left").select("n", c("_up").alias("up"), "depth", F.coalesce(F.concat("_path", "path"), "path").alias("path")))
-        reach *= 2
-    lone = F.concat(eight(c("at").bitwiseXOR(F.lit(-(2**63)).cast("long"))), name)
-    told = nodes.join(paths.select("n", "depth", "path"), "n", "left")
-    rows = told.select("trace", "id", "depth", c("depth").isNull().alias("_lost"), F.coalesce("path", lone).alias("path"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
-    placed = numbered(rows, "trace", [c("_lost"), c("path"), c("_copy")], "_place", ["trace", "id", "depth", "_copy"]).filter("_copy = 1")
-    told = placed.select(c("trace").alias("_t"), c("id").alias("_i"), "depth", "_place")
-    met = spans.join(told, (F.col(trace) == c("_t")) & (F.col(span_id) == c("_i")), "left")
-    nth = F.row_number().over(Window.partitionBy("_t", "_i").orderBy(at)) - 1  # of the rows of one id
-    return met.withColumn("place", (c("_place") + nth).cast("int")).drop("_t", "_i", "_place")
+    with passing(spans.sparkSession) as keep:
+        rows = keep(spans.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_n", F.monotonically_increasing_id()))
+        known = rows.select(c("_n").alias("n"), c(trace).alias("trace"), c(span_id).alias("id"), c(parent).alias("up"), at.alias("at"), name.alias("name")).filter("trace is not null and id is not null")
+        over = known.groupBy(c("trace").alias("_t"), c("id").alias("_i")).agg(F.min("n").alias("_n"), F.min_by("at", "n").alias("_at"), F.count("*").alias("_rows"))
+        again = stage(over.filter("_rows > 1").drop("_rows"))  # few, as a rule
+        each = known.join(again, (c("trace") == c("_t")) & (c("id") == c("_i")), "left").select("n", "trace", "up", "at", "name", F.coalesce("_n", "n").alias("node"), F.coalesce("_at", "at").alias("node_at"))
+        with passing(spans.sparkSession) as keep_paths:
+            met = each.filter("n = node").select("n", "trace", "up").join(over.select("_t", "_i", c("_n").alias("_up")), (c("trace") == c("_t")) & (c("up") == c("_i")), "left")
+            links = stage(met.filter("up is null or _up is not null").select("n", c("_up").alias("up")))
+            deep = stage(depths(links, lambda: known.groupBy("trace").count().agg(F.max("count")).first()[0] or 0))
+            deepest = deep.agg(F.max("depth")).first()[0] or 0
+            paths, reach = links.join(deep, "n").select("n", "up", "depth", eight(c("n")).alias("path")), 1
+            while reach <= deepest:
+                ahead = paths.select(c("n").alias("up"), c("up").alias("_up"), c("path").alias("_path"))
+                paths = stage(paths.join(ahead, "up", "left").select("n", c("_up").alias("up"), "depth", F.coalesce(F.concat("_path", "path"), "path").alias("path")))
+                reach *= 2
+            paths = keep_paths(paths.select(c("n").alias("node"), "depth", "path"))
+        lone = F.concat(eight(c("node_at").bitwiseXOR(F.lit(-(2**63)).cast("long"))), "name")
+        told = each.join(paths, "node", "left").select("n", "trace", "depth", c("depth").isNull().alias("_lost"), F.coalesce("path", lone).alias("path"), "at")
+        placed = numbered(told, "trace", [c("_lost"), c("path"), c("at"), c("n")], "place", ["trace", "n", "depth"], keep)
+    return rows.join(placed.select(c("n").alias("_m"), "depth", c("place").cast("int").alias("place")), c("_n") == c("_m"), "left").drop("_n", "_m")

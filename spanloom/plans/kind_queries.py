@@ -327,7 +327,8 @@ q AS (SELECT *, CASE depth WHEN 0 THEN start_ns WHEN 1 THEN a_start ELSE b_start
 SELECT trace_id, depth::INT AS depth, kind, start_ns, (row_number() OVER (PARTITION BY trace_id ORDER BY s0, s1 NULLS FIRST, i1 NULLS FIRST, s2 NULLS FIRST, i2 NULLS FIRST))::INT AS place FROM q""")
 def trace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span's depth and its place in the order of the tree."""
-    return traces.tree_order(span_tree(spark, sf_dir), "trace_id", "span_id", "parent_span_id", "start_ns", "end_ns").select("trace_id", "depth", "kind", "start_ns", "place")
+    spans = span_tree(spark, sf_dir).select("trace_id", "span_id", "parent_span_id", "kind", "start_ns", "end_ns")
+    return traces.tree_order(spans, "trace_id", "span_id", "parent_span_id", "start_ns", "end_ns").select("trace_id", "depth", "kind", "start_ns", "place")
 
 
 @query(_TREE + """, b AS (SELECT trace_id, (row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, span_id) - 1) // 10 AS batch FROM t) SELECT trace_id, batch, count(*) AS spans FROM b GROUP BY 1, 2""")

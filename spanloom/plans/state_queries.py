@@ -171,7 +171,7 @@ def deep_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = F.col("before").isNull(), F.max("ord").over(Window.partitionBy("cust"))
     linked = orders.withColumn("before", F.lag("ord").over(along)).withColumn("last", last)
     up = F.when(first & (c("cust") % 4 == 0) & (c("last") != c("ord")), c("last")).otherwise(c("before"))
-    return traces.tree_order(linked.withColumn("up", up).withColumn("none", lit(None).cast("long")), "cust", "ord", "up", "ord", "none").select("cust", "ord", "depth", "place")
+    return traces.tree_order(linked.select("cust", "ord", up.alias("up"), lit(None).cast("long").alias("none")), "cust", "ord", "up", "ord", "none").select("cust", "ord", "depth", "place")
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey AS cust, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from spanloom.operators import traces
 from spanloom.operators.staging import passing, stage
 from spanloom.plans import event_queries
 
@@ -50,3 +51,12 @@ def test_spawn_spans_leave_one_table(spark):
     before = folders(spark)
     assert event_queries.event_spawn_spans(spark, SF).count() > 0
     assert len(folders(spark) - before) == 1
+
+
+def test_a_tree_leaves_spans_and_places(spark):
+    before = folders(spark)
+    chain = spark.range(20).select(F.lit("t").alias("t"), "id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"), F.col("id").alias("s"))
+    chain = chain.unionByName(chain.filter("id = 7"))  # a span that came twice
+    got = traces.tree_order(chain, "t", "id", "up", "s", "s")
+    assert len(folders(spark) - before) == 2
+    assert sorted((r.id, r.depth, r.place) for r in got.collect()) == sorted([(i, i, i + 1 + (i > 7)) for i in range(20)] + [(7, 7, 9)])
