@@ -71,8 +71,8 @@ def streamed_spawns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same log as a stream: lines in no order, keyed state of what an id stands for."""
     lines = log_lines(spark, sf_dir).select("inv", "seq", F.timestamp_seconds(lit(10**9)).alias("at"), "raw")
     folder = _as_files(lines.repartition(8, F.xxhash64("raw")))
-    found = _streamed(incremental.log_spawns(incremental.read_lines(spark, folder, 8)), folder)
-    return found.select(F.regexp_replace("inv", "#1$", "").alias("ord"), "mnemonic", F.array_join("listed", ",").alias("listed"))
+    spawns = incremental.log_spawns(incremental.read_lines(spark, folder, 8)).select("inv", "mnemonic", "listed")
+    return _streamed(spawns, folder).select(F.regexp_replace("inv", "#1$", "").alias("ord"), "mnemonic", F.array_join("listed", ",").alias("listed"))
 
 
 def small_builds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,8 @@ _DOC = (
     f"listed array<string>, actual {exec_log.FILES}, hash string, action struct<seq:bigint,label:string,mnemonic:string,output:string,start_ns:bigint,end_ns:bigint>, "
     "action_seq bigint, spawn_count bigint, told string, norm string, missed boolean"
 )
+#: What an entry stands for, as spawns are handed on with.
+_STANDS = f"listed array<string>, actual {exec_log.FILES}, hash string"
 _TOLD = "runner string, cache_hit boolean, remote_cacheable boolean, digest string"
 #: Kinds of events that no span is built from.
 _PASSED = (*source.IGNORED, "progress")
@@ -92,19 +94,35 @@ def numbered_events(stream: DataFrame) -> DataFrame:
     return parsed.select("file", "seq", "at", F.to_json(doc).alias("doc"))
 
 
+def _told_of(log_id: str) -> tuple[Column, Column]:
+    """The stream of a log and the number of its invocation."""
+    return F.regexp_replace(log_id, "#[0-9]+$", ""), F.try_element_at(F.split(log_id, "#"), F.lit(-1)).try_cast("int")
+
+
+def log_entries(stream: DataFrame) -> DataFrame:
+    """inv, seq, doc and raw (of spawns) of execution-log lines (inv, seq, at, raw):
+    what the outputs of a spawn are told by, and no more. The text of a spawn stands
+    beside, so that it is neither written into JSON nor read out of it."""
+    log, (files, path), (file, number) = exec_log.entries(stream), exec_log.stands_for(), _told_of("inv")
+    spawn = F.col("kind") == "spawn"
+    outs = F.try_variant_get("v", "$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>")
+    doc = F.struct("id", "kind", F.when(~spawn, files).alias("files"), F.when(~spawn, path).alias("path"), F.when(~spawn, F.try_variant_get("v", "$.invocation.hashFunctionName", "string")).alias("hash"), F.when(spawn, outs).alias("outs"))
+    return log.select(F.concat_ws("#", file, number.cast("string")).alias("inv"), "seq", F.to_json(doc).alias("doc"), F.when(spawn, F.col("raw")).alias("raw"))
+
+
 def numbered_entries(stream: DataFrame) -> DataFrame:
     """file, seq, at, doc of execution-log lines (inv, seq, at, raw)."""
-    log, (files, path) = exec_log.entries(stream), exec_log.stands_for()
+    log, (files, path), (file, number) = exec_log.entries(stream), exec_log.stands_for(), _told_of("inv")
     get = lambda p, of="string": F.try_variant_get("v", p, of)
     spawn = F.col("kind") == "spawn"
     told = F.struct(get("$.spawn.runner").alias("runner"), F.coalesce(get("$.spawn.cacheHit", "boolean"), F.lit(False)).alias("cache_hit"), F.coalesce(get("$.spawn.remoteCacheable", "boolean"), F.lit(False)).alias("remote_cacheable"), get("$.spawn.digest.hash").alias("digest"))
     doc = F.struct(
-        F.lit("entry").alias("what"), F.try_element_at(F.split("inv", "#"), F.lit(-1)).try_cast("int").alias("number"), "id", "kind", F.when(~spawn, files).alias("files"), F.when(~spawn, path).alias("path"), F.when(spawn, F.col("raw")).alias("raw"),
+        F.lit("entry").alias("what"), number.alias("number"), "id", "kind", F.when(~spawn, files).alias("files"), F.when(~spawn, path).alias("path"), F.when(spawn, F.col("raw")).alias("raw"),
         get("$.invocation.hashFunctionName").alias("hash"), get("$.spawn.outputs", "array<struct<outputId bigint, invalidOutputPath string>>").alias("outs"),
         F.when(spawn, labels.normalize_label(F.coalesce(get("$.spawn.targetLabel"), F.lit("")))).alias("norm"), F.when(spawn, F.coalesce(get("$.spawn.mnemonic"), F.lit(""))).alias("mnemonic"),
         F.when(spawn, F.to_json(told)).alias("told"), F.when(spawn, ~told["cache_hit"]).alias("missed"),
     )
-    return log.select(F.regexp_replace("inv", "#[0-9]+$", "").alias("file"), "seq", "at", F.to_json(doc).alias("doc"))
+    return log.select(file.alias("file"), "seq", "at", F.to_json(doc).alias("doc"))
 
 
 _MISSING = object()
@@ -210,7 +228,7 @@ class _Log:
             if out.get("invalidOutputPath") is None and known[0] is not None:
                 listed.add(known[0])
             actual += known[1]
-        return {"raw": entry["raw"], "listed": sorted(listed, key=lambda p: p.encode()), "actual": actual}
+        return {"raw": entry.get("raw"), "listed": sorted(listed, key=lambda p: p.encode()), "actual": actual}
 
     def clear(self) -> None:
         self.ids.clear()
@@ -224,6 +242,8 @@ _PAGES = 4
 _FEW = 16
 #: Lines of a group that are taken at once.
 _AT_ONCE = 50_000
+#: Lines of a batch that may wait for others of it in memory, for each group.
+_IN_MEMORY = 250_000
 
 
 class _Ids:
@@ -245,11 +265,17 @@ class _Ids:
             self.store.put(f"{self.inv}\x01{key}", value)
 
 
+#: Spawns of streamed logs: doc holds what _STANDS names; phase is now, or fault.
+READ = T.StructType([T.StructField(n, t) for n, t in (("inv", T.StringType()), ("seq", T.LongType()), ("phase", T.StringType()), ("raw", T.StringType()), ("doc", T.StringType()))])
+
+
 class LogReader(StatefulProcessor):
     """Spawns of logs with their outputs, in the order of each log's lines. One group
     holds many logs; of each the state keeps where it is (and how many lines wait),
     what its ids stand for, and the lines that wait for a gap. Small logs share
-    pages, so that they do not go to the store one by one."""
+    pages, so that they do not go to the store one by one. Lines come in no order:
+    those that wait for others of the same batch do so in memory, and go to the
+    store, one by one, only if they are very many or the batch is over."""
 
     def __init__(self, first: int) -> None:
         self.first = first
@@ -263,40 +289,60 @@ class LogReader(StatefulProcessor):
         for state in (self.ids, self.waiting, self.pages):
             state.begin()
         for frame in rows:
-            for inv, seq, doc in zip(frame["inv"], frame["seq"], frame["doc"], strict=True):
-                lot.setdefault(inv, {})[int(seq)] = doc
+            for inv, seq, doc, raw in zip(frame["inv"].tolist(), frame["seq"].tolist(), frame["doc"].tolist(), frame["raw"].tolist(), strict=True):
+                lot.setdefault(inv, {})[seq] = (doc, raw)
             size += len(frame)
             if size >= _AT_ONCE:
                 yield self._take(lot)
-                lot, size = {}, 0
+                size = 0
+                if sum(map(len, lot.values())) > _IN_MEMORY:
+                    self._wait(lot)
         yield self._take(lot)
-
-    def _take(self, lot: dict[str, dict[int, str]]) -> pd.DataFrame:
+        self._wait(lot)
+        self.pages.save()
+
+    def _at(self, inv: str) -> dict:
+        """Where a log is, on its page: changes to it are saved with the page."""
+        number = zlib.crc32(inv.encode()) % _PAGES
+        page = self.pages.get(number, {})
+        self.pages.put(number, page)
+        return page.setdefault(inv, {"next": self.first, "hash": None, "fault": False, "waiting": 0, "ids": {}, "more": False})
+
+    def _take(self, lot: dict[str, dict[int, tuple[str, str | None]]]) -> pd.DataFrame:
+        """The spawns among what is next in number; the lot keeps what has to wait."""
         out = []
-        for inv, lines in lot.items():
-            number = zlib.crc32(inv.encode()) % _PAGES
-            page = self.pages.get(number, {})
-            at = page.setdefault(inv, {"next": self.first, "hash": None, "fault": False, "waiting": 0, "ids": {}, "more": False})
+        for inv, lines in list(lot.items()):
+            at = self._at(inv)
             log = _Log(_Ids(inv, at, self.ids))
-            while not at["fault"] and (doc := self._next(inv, at, lines)) is not None:
-                entry = json.loads(doc)
+            while not at["fault"] and (line := self._next(inv, at, lines)) is not None:
+                entry = json.loads(line[0])
                 at["hash"] = entry.get("hash") or at["hash"]
                 got = log.take(entry)
                 if entry.get("kind") == "spawn":
                     at["fault"] = got is None
-                    out.append((inv, at["next"], "now" if got else "fault", "spawn", json.dumps(got | {"hash": at["hash"]}) if got else None))
+                    out.append((inv, at["next"], "now", line[1], json.dumps({"listed": got["listed"], "actual": got["actual"], "hash": at["hash"]})) if got else (inv, at["next"], "fault", None, None))
                 at["next"] += 1
-            for seq, doc in lines.items():
-                if seq >= at["next"] and not at["fault"]:
-                    place = f"{inv}\x01{seq}"
-                    at["waiting"] += self.waiting.get(place, new=not at["waiting"]) is None
-                    self.waiting.put(place, doc)
-            self.pages.put(number, page)
-        for state in (self.ids, self.waiting, self.pages):
+            later = {} if at["fault"] else {seq: line for seq, line in lines.items() if seq >= at["next"]}
+            if later:
+                lot[inv] = later
+            else:
+                del lot[inv]
+        for state in (self.ids, self.waiting):
             state.save()
-        return pd.DataFrame(out, columns=HANDED.names)
+        return pd.DataFrame(out, columns=READ.names)
 
-    def _next(self, inv: str, at: dict, lines: dict[int, str]) -> str | None:
+    def _wait(self, lot: dict[str, dict[int, tuple[str, str | None]]]) -> None:
+        """Lines that wait go to the store."""
+        for inv, lines in lot.items():
+            at = self._at(inv)
+            for seq, line in lines.items():
+                place = f"{inv}\x01{seq}"
+                at["waiting"] += self.waiting.get(place, new=not at["waiting"]) is None
+                self.waiting.put(place, line)
+        lot.clear()
+        self.waiting.save()
+
+    def _next(self, inv: str, at: dict, lines: dict[int, tuple[str, str | None]]) -> tuple[str, str | None] | None:
         """The line that is next in number, of this lot or one that waits."""
         came = lines.pop(at["next"], None)
         if at["waiting"] and (kept := self.waiting.pop(f"{inv}\x01{at['next']}")) is not None:
@@ -312,9 +358,9 @@ def log_spawns(lines: DataFrame, first: int = 0) -> DataFrame:
     """Spawns of streamed log lines, as exec_log.spawns() gives those of whole logs
     that are in order; those of a log from its first fault on are left out. State
     is one entry an output id, and lines that wait for a gap."""
-    rows = numbered_entries(lines).select(F.concat_ws("#", "file", F.get_json_object("doc", "$.number")).alias("inv"), "seq", "doc").withColumn("lot", F.pmod(F.xxhash64("inv"), F.lit(LOG_GROUPS)))
-    read = rows.groupBy("lot").transformWithStateInPandas(statefulProcessor=LogReader(first), outputStructType=HANDED, outputMode="Append", timeMode="None")
-    return spawn_rows(read.filter("phase = 'now'"))
+    rows = log_entries(lines).withColumn("lot", F.pmod(F.xxhash64("inv"), F.lit(LOG_GROUPS)))
+    read = rows.groupBy("lot").transformWithStateInPandas(statefulProcessor=LogReader(first), outputStructType=READ, outputMode="Append", timeMode="None")
+    return _spawns(read.filter("phase = 'now'").select("inv", "seq", "raw", F.from_json("doc", _STANDS).alias("d")))
 
 
 _PARTS = ("events", "lines", "held", "labels", "open", "configs", "actions", "pending")
@@ -558,11 +604,16 @@ def handed_on(events: DataFrame, lines: DataFrame | None = None, drain_ms: int =
     return rows.withWatermark("at", delay).groupBy("file").transformWithStateInPandas(statefulProcessor=builder, outputStructType=HANDED, outputMode="Append", timeMode="EventTime")
 
 
+def _spawns(rows: DataFrame) -> DataFrame:
+    """Spawns as exec_log.spawns() gives them: inv, seq, raw (known to be a spawn's
+    text) and d with what _STANDS names. Only fields that are read are made."""
+    log = rows.select("inv", "seq", F.try_parse_json("raw").alias("v"), F.lit("spawn").alias("kind"), "d.listed", "d.actual", F.col("d.hash").alias("hash_function"))
+    return exec_log.finished(exec_log.spawn_fields(log, "listed", "actual", "hash_function"))
+
+
 def spawn_rows(rows: DataFrame) -> DataFrame:
     """Spawns as exec_log.spawns() gives them, from handed-on rows."""
-    d = rows.select("inv", "seq", F.from_json("doc", _DOC).alias("d"))
-    log = exec_log.entries(d.select("inv", "seq", F.col("d.raw").alias("raw"), F.col("d.listed").alias("listed"), F.col("d.actual").alias("actual"), F.col("d.hash").alias("hash_function")))
-    return exec_log.finished(exec_log.spawn_fields(log, "listed", "actual", "hash_function"))
+    return _spawns(rows.select("inv", "seq", F.from_json("doc", f"raw string, {_STANDS}").alias("d")).select("inv", "seq", "d.raw", "d"))
 
 
 def spans_of(handed: DataFrame, options: assemble.Options = assemble.Options()) -> DataFrame:
