@@ -3,6 +3,7 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import traces
@@ -22,14 +23,18 @@ def shuffled(spark):
     return {str(files.apply(i).getName()) for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
 
 
-def test_shuffle_files_go_with_the_job_that_stages(spark):
-    before, rows = shuffled(spark), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
-    staged = stage(rows)
+def left(spark, before):
     for _ in range(50):  # files are deleted in the background
         if not shuffled(spark) - before:
             break
         time.sleep(0.2)
-    assert not shuffled(spark) - before
+    return shuffled(spark) - before
+
+
+def test_shuffle_files_go_with_the_job_that_stages(spark):
+    before, rows = shuffled(spark), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    staged = stage(rows)
+    assert not left(spark, before)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert staged.count() == rows.count() == 7
 
@@ -60,3 +65,11 @@ def test_a_tree_leaves_spans_and_places(spark):
     got = traces.tree_order(chain, "t", "id", "up", "s", "s")
     assert len(folders(spark) - before) == 2
     assert sorted((r.id, r.depth, r.place) for r in got.collect()) == sorted([(i, i, i + 1 + (i > 7)) for i in range(20)] + [(7, 7, 9)])
+
+
+@pytest.mark.parametrize("name", ["event_spans"])
+def test_event_queries_hold_staged_tables_only(spark, name):
+    before = shuffled(spark)
+    spans = getattr(event_queries, name)(spark, SF)
+    assert not left(spark, before)
+    assert spans.count() > 0
