@@ -67,7 +67,7 @@ def test_a_tree_leaves_spans_and_places(spark):
     assert sorted((r.id, r.depth, r.place) for r in got.collect()) == sorted([(i, i, i + 1 + (i > 7)) for i in range(20)] + [(7, 7, 9)])
 
 
-@pytest.mark.parametrize("name", ["event_spans"])
+@pytest.mark.parametrize("name", ["event_spans", "event_attributes"])
 def test_event_queries_hold_staged_tables_only(spark, name):
     before = shuffled(spark)
     spans = getattr(event_queries, name)(spark, SF)
